@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pathlore.llm.chat import op8_chat
+from pathlore.llm.exact_dedup import OP3_SQL, op3_exact_dedup
 from pathlore.llm.keyed_ids import op7_keyed_ids
 from pathlore.llm.packing import op1_packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op3_exact_dedup": op3_exact_dedup,
     "op7_keyed_ids": op7_keyed_ids,
+    "op8_chat": op8_chat,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_exact_dedup": OP3_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
