@@ -2,7 +2,7 @@
 
 File format (all little-endian). One shard is ``payload | tables | tail``:
 
-* payload: the ids of all documents of the shard, unsigned 32-bit, nothing between them;
+* payload: the ids of all documents of the shard, unsigned, of 2 or 4 bytes (the tail says), nothing between them;
 * tables, for the shard's rows in file order: key int64, key-is-null uint8, number of ids uint64; then, by hash slot:
   fingerprint uint32, first row uint32, number of rows uint32; then the hash itself: bits of each level in 64-bit words
   and the count of set bits before each word, uint32;
@@ -85,7 +85,8 @@ def fingerprint(keys: np.ndarray) -> np.ndarray:
 class _ShardWriter:
     """Streams one shard to a name of its own, then moves it to its final name, so that a repeated task does no harm."""
 
-    def __init__(self, folder: str, shard: int) -> None:
+    def __init__(self, folder: str, shard: int, width: int) -> None:
+        self.width = width
         self.fs, self.folder = pafs.FileSystem.from_uri(folder)
         self.name = f"shard-{shard:07d}.ids"
         self.temp = f"{self.folder}/_{self.name}.{uuid.uuid4().hex}"
@@ -95,7 +96,7 @@ class _ShardWriter:
         self.counts: list[np.ndarray] = []
 
     def add(self, keys: pa.Array, ids: np.ndarray, counts: np.ndarray) -> None:
-        self.out.write(ids.astype("<u4").tobytes())
+        self.out.write(ids.astype(f"<u{self.width}").tobytes())
         self.keys.append(keys.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
         self.nulls.append(keys.is_null().to_numpy(zero_copy_only=False))
         self.counts.append(counts.astype(np.uint64))
@@ -109,12 +110,12 @@ class _ShardWriter:
         prints, firsts, rows = (np.zeros(len(distinct), np.uint32) for _ in range(3))
         prints[slots], firsts[slots], rows[slots] = fingerprint(distinct), first + nulls.sum(), n
         tables = {"key": keys, "null": nulls.astype(np.uint8), "n_ids": counts, "print": prints, "first": firsts, "rows": rows, "bits": hashed.words, "before": hashed.before}
-        at, places = int(counts.sum()) * 4, {}
+        at, places = int(counts.sum()) * self.width, {}
         for name, table in tables.items():
             self.out.write(table.tobytes())
             places[name] = [at, len(table), table.dtype.str]
             at += table.nbytes
-        tail = json.dumps({"tables": places, "levels": [len(x) for x in hashed.levels]}).encode()
+        tail = json.dumps({"width": self.width, "tables": places, "levels": [len(x) for x in hashed.levels]}).encode()
         self.out.write(tail + np.uint32(len(tail)).tobytes() + MAGIC)
         self.out.close()
         self.fs.move(self.temp, f"{self.folder}/{self.name}")
@@ -137,6 +138,7 @@ class Shard:
         self.keys, self.nulls, self.counts = t["key"], t["null"].astype(bool), t["n_ids"].astype(np.int64)
         self.prints, self.firsts, self.rows = t["print"], t["first"], t["rows"]
         self.starts = np.cumsum(self.counts) - self.counts
+        self.width = tail["width"]
         levels = np.split(t["bits"], np.cumsum(tail["levels"])[:-1]) if tail["levels"] else []
         self.hash = PerfectHash(levels, t["before"])
 
@@ -152,8 +154,10 @@ class Shard:
         return np.where(ok, self.firsts[at].astype(np.int64), -1), np.where(ok, self.rows[at].astype(np.int64), 0)
 
     def ids(self, row: int, rows: int = 1) -> bytes:
-        n = int(self.counts[row : row + rows].sum())
-        return self.file.read_at(4 * n, 4 * int(self.starts[row]))
+        """Ids of so many rows as unsigned 32-bit, little-endian."""
+        n, w = int(self.counts[row : row + rows].sum()), self.width
+        data = self.file.read_at(w * n, w * int(self.starts[row]))
+        return data if w == 4 else np.frombuffer(data, f"<u{w}").astype("<u4").tobytes()
 
 
 def write_ids(
@@ -177,7 +181,7 @@ def write_ids(
         writer, encode = None, tokens.encoder(vocab(), end, drops_space)
         for batch in batches:
             for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
-                writer = writer or _ShardWriter(folder, TaskContext.get().partitionId())
+                writer = writer or _ShardWriter(folder, TaskContext.get().partitionId(), 2 if max(encode.tokenizer.get_vocab_size(), end + 1) <= 1 << 16 else 4)
                 writer.add(part["key"], *encode(part["text"].to_pylist()))
         if writer:
             names = [x.split()[0] for x in _STATS.split(", ")]
