@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pathlore.llm.chat import op8_chat
 from pathlore.llm.exact_dedup import OP3_SQL, op3_exact_dedup
 from pathlore.llm.keyed_ids import op7_keyed_ids
+from pathlore.llm.line_dedup import op10_line_dedup
 from pathlore.llm.near_dedup import op9_near_dedup
 from pathlore.llm.packing import op1_packing
 
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_keyed_ids": op7_keyed_ids,
     "op8_chat": op8_chat,
     "op9_near_dedup": op9_near_dedup,
+    "op10_line_dedup": op10_line_dedup,
 }
 ORACLE_SQL: dict[str, str] = {"op3_exact_dedup": OP3_SQL}
 
