@@ -65,19 +65,19 @@ def unpacked(df: DataFrame, columns: Sequence[str], new: Sequence[str]) -> DataF
 
 
 def arrow_columns(
-    df: DataFrame, fn: Callable[[pa.RecordBatch], list[pa.Array]], new: Sequence[tuple[str, T.DataType]]
+    df: DataFrame, fn: Callable[[pa.RecordBatch], list[pa.Array]], new: Sequence[tuple[str, T.DataType]], drop: Sequence[str] = ()
 ) -> DataFrame:
     """df with columns that fn makes of each Arrow batch (one array per new column, as long as the batch).
 
-    Every other column passes through the batch as it is.
+    Every other column passes through the batch as it is, but for those in drop, which don't come back.
     """
-    schema = T.StructType([*df.schema.fields, *[T.StructField(n, t) for n, t in new]])
+    schema = T.StructType([*[f for f in df.schema.fields if f.name not in drop], *[T.StructField(n, t) for n, t in new]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 made = fn(batch)
-                names = [*batch.schema.names, *[n for n, _ in new]]
-                yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=names)
+                own = [n for n in batch.schema.names if n not in drop]
+                yield pa.RecordBatch.from_arrays([*[batch[n] for n in own], *made], names=[*own, *[n for n, _ in new]])
 
     return df.mapInArrow(run, schema)

@@ -170,8 +170,8 @@ def _source(docs: DataFrame, id_col: str, text: str) -> DataFrame:
 def near_decisions(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each row of docs: k1, k2 (its key), doc_id, n_shingles, component_id, kept. See near_dedup()."""
     source = _source(docs, id_col, text).select("k1", "k2", "_id", "_text")
-    sketched = arrow_columns(source, _sketch, [("n", T.LongType()), ("set", T.BinaryType()), ("sketch", T.BinaryType())])
-    rows = stored(sketched.drop("_text"), "near-rows")
+    sketched = arrow_columns(source, _sketch, [("n", T.LongType()), ("set", T.BinaryType()), ("sketch", T.BinaryType())], drop=["_text"])
+    rows = stored(sketched, "near-rows")
     per_set = rows.where("n > 0").groupBy("set").agg(
         F.count(F.lit(1)).alias("copies"), F.min("_id").alias("least"), F.min(F.struct("k1", "k2")).alias("rep"),
         F.first("n").alias("n"), F.first("sketch").alias("sketch"),

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pathlore.llm.chat import op8_chat
+from pathlore.llm.decontaminate import op5_decontaminate
 from pathlore.llm.exact_dedup import OP3_SQL, op3_exact_dedup
 from pathlore.llm.keyed_ids import op7_keyed_ids
 from pathlore.llm.line_dedup import op10_line_dedup
@@ -16,6 +17,7 @@ from pathlore.llm.packing import op1_packing
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op3_exact_dedup": op3_exact_dedup,
+    "op5_decontaminate": op5_decontaminate,
     "op7_keyed_ids": op7_keyed_ids,
     "op8_chat": op8_chat,
     "op9_near_dedup": op9_near_dedup,
