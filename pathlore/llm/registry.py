@@ -13,10 +13,12 @@ from pathlore.llm.keyed_ids import op7_keyed_ids
 from pathlore.llm.line_dedup import op10_line_dedup
 from pathlore.llm.near_dedup import op9_near_dedup
 from pathlore.llm.packing import op1_packing
+from pathlore.llm.toxicity import op4_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_toxicity": op4_toxicity,
     "op5_decontaminate": op5_decontaminate,
     "op7_keyed_ids": op7_keyed_ids,
     "op8_chat": op8_chat,
