@@ -6,7 +6,7 @@ the ``|`` of every ``<|`` (and, in roles, a line break), so no text can look lik
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pathlore.llm._common import read, stored, text_or_empty
@@ -72,12 +72,14 @@ def format_chats(
     rows = turns.select(
         F.col(conv).alias("conv_id"), F.col(turn).cast("long").alias("turn"), text_or_empty(role).alias("role"), text_or_empty(text).alias("text")
     ).withColumn("stretch", F.greatest(F.coalesce(F.floor(F.col("turn") / STRETCH), F.lit(0)), F.lit(0)))
-    rows = rows.withColumn("cost", turn_tokens(F.col("role"), F.col("text")))
+    # the sums are made by a window, not by a fold over the collected turns: that would be worked out anew for each turn
+    order = Window.partitionBy("conv_id", "stretch").orderBy("turn", "role", "text")
+    rows = rows.withColumn("cost", turn_tokens(F.col("role"), F.col("text"))).withColumns(
+        {"pos": F.row_number().over(order), "cum": F.sum("cost").over(order.rowsBetween(Window.unboundedPreceding, 0))}
+    )
     grouped = (
         rows.groupBy("conv_id", "stretch")
-        .agg(F.sort_array(F.collect_list(F.struct(F.coalesce("turn", F.lit(-(2**63))).alias("turn"), "role", "text", "cost"))).alias("sorted"))
-        .withColumn("sums", F.expr("aggregate(sorted, array(0L), (a, t) -> concat(a, array(element_at(a, -1) + t.cost)))"))
-        .withColumn("turns", F.expr("transform(sorted, (t, i) -> struct(i + 1 AS pos, sums[i + 1] AS cum, t.cost AS cost, t.role AS role, t.text AS text))"))
+        .agg(F.sort_array(F.collect_list(F.struct("pos", "cum", "cost", "role", "text"))).alias("turns"))
         .select("conv_id", "stretch", "turns", (F.col("turns")[0]["role"] == "system").alias("opens"))
     )
     first = grouped.where("stretch = 0").withColumn("has_system", F.col("opens")).withColumn("system", F.when(F.col("opens"), F.col("turns")[0]))
