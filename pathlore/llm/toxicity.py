@@ -103,7 +103,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grade: np.ndarray, ridge: flo
     keep = index[col] >= 0
     of, col, values = of[keep], index[col[keep]], values[keep].astype(float)
 
-    share = np.clip([np.mean(grade <= k) if len(grade) else 0.5 for k in range(n_grades - 1)], 1e-3, 1 - 1e-3)
+    share = np.clip([np.mean(grade <= k) if len(grade) else 1.0 for k in range(n_grades - 1)], 1e-3, 1 - 1e-3)
     cuts = np.log(share / (1 - share))
     param = np.concatenate([np.zeros(len(useful)), [cuts[0]], np.log(np.maximum(np.diff(cuts), 1e-2))])
     d, n = len(useful), max(1, len(rows))
@@ -154,7 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str =
 
 def score(docs: DataFrame, model: OrdinalModel, text: str = "text", columns: list[str] | None = None) -> DataFrame:
     """docs (or those columns of it) with severity (the expected grade), p_toxic (of a grade above 0) and toxic
-    (p_toxic >= REJECT); own columns of these names give way. Every whole text is scored; null and empty texts have
+    (p_toxic >= REJECT); own columns of these names give way. Without labelled rows nothing is toxic. Every whole text is scored; null and empty texts have
     no features and the grades of the cuts alone, but are never toxic. Other columns and repeated rows make no
     difference; an empty table gives no rows.
     """
