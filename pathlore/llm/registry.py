@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from pathlore.llm.chat import op8_chat
 from pathlore.llm.decontaminate import op5_decontaminate
 from pathlore.llm.exact_dedup import OP3_SQL, op3_exact_dedup
@@ -13,10 +14,13 @@ from pathlore.llm.keyed_ids import op7_keyed_ids
 from pathlore.llm.line_dedup import op10_line_dedup
 from pathlore.llm.near_dedup import op9_near_dedup
 from pathlore.llm.packing import op1_packing
+from pathlore.llm.quality import op2_quality
 from pathlore.llm.toxicity import op4_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "pipeline": corpus_pipeline.run,
     "op1_packing": op1_packing,
+    "op2_quality": op2_quality,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_toxicity": op4_toxicity,
     "op5_decontaminate": op5_decontaminate,

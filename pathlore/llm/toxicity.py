@@ -23,7 +23,7 @@ SPACE, SAMPLE, FEATURES = 1 << 22, 20_000, 2048
 #: Lengths of stems in characters, and words remembered at most.
 STEMS, MEMO_WORDS = (4, 5, 6), 400_000
 #: Rows of which so few have a word, or whose grades it tells apart by fewer standard errors, give it no weight.
-LEAST_ROWS, LEAST_Z = 5, 4.0
+LEAST_ROWS, LEAST_Z = 3, 3.0
 #: Rejected are rows whose probability of a grade above 0 is at least this.
 REJECT = 0.3
 _EDGE = re.compile(rb"^[\x00-/:-@\[-`{-\x7f]+|[\x00-/:-@\[-`{-\x7f]+$")
