@@ -26,6 +26,8 @@ BASE, RATE, TOP = 1.001, 20.0, 2**16 - 2
 BANDS, ROWS = 32, 4
 #: Pairs are verified when their estimate is at least this: five standard errors under 0.75.
 LIKELY = 0.55
+#: Rounds of pairs with a leading text before buckets are looked at pair by pair.
+ROUNDS = 5
 #: Buckets of more texts have their remaining pairs found by rare shingles instead of by pairing.
 LARGE_BUCKET = 48
 
@@ -137,23 +139,41 @@ class _Links:
         close = (of * F.least("n", "n_b") >= share * F.greatest("n", "n_b")) & (F.col("label") != F.col("label_b")) & (F.col("node") < F.col("b"))
         return keyed.join(other, "shingle").where(close).select(F.col("node").alias("a"), "b").distinct()
 
+    def labelled(self, members: DataFrame, labels: DataFrame | None) -> DataFrame:
+        if labels is None:
+            return members.withColumn("label", F.col("node"))
+        return members.join(bounded(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
+
     def all(self) -> DataFrame:
         bands = stored(self.classes.select("node", "sketch").mapInArrow(_bands, "band int, key long, node long"), "near-bands")
-        buckets = bands.groupBy("band", "key").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("lead"))
+        buckets = bands.groupBy("band", "key").agg(F.count(F.lit(1)).alias("k"))
         shared = stored(buckets.where("k > 1"), "near-buckets")
         members = stored(bands.join(bounded(shared), ["band", "key"]), "near-members")
-        # first every bucket's texts with its least: links that tie up most of a group of copies
-        stars = members.where("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-        links = self.verified(stars)
-        # then the pairs of buckets whose texts these links don't hold together
-        labels = stored(components(links), "near-labels")
-        labelled = stored(members.join(bounded(labels), "node", "left").select("band", "key", "k", "lead", "node", F.coalesce("label", "node").alias("label")), "near-labelled")
-        loose = labelled.groupBy("band", "key").agg(F.count(F.lit(1)).alias("k"), F.min("label").alias("low"), F.max("label").alias("high")).where("k > 2 and low < high")
+        # first rounds that try a text with the leading text of one of its buckets, each round with other leaders: a
+        # pair for a text at most, and enough to tie up most groups of copies
+        links, labels = None, None
+        for turn in range(ROUNDS):
+            labelled = self.labelled(members, labels)
+            order = F.struct(F.xxhash64("node", F.lit(turn)), "node", "label")
+            leads = labelled.groupBy("band", "key").agg(F.min(order).alias("lead"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+            leads = stored(leads.select("band", "key", F.col("lead.node").alias("lead"), F.col("lead.label").alias("lead_label")), "near-leads")
+            if not leads.take(1):
+                break
+            apart = labelled.join(bounded(leads), ["band", "key"]).where("label != lead_label")
+            pairs = apart.groupBy("node").agg(F.min(F.struct(F.xxhash64("lead", F.lit(turn)), "lead")).alias("lead")).select(F.col("lead.lead").alias("a"), F.col("node").alias("b"))
+            found = self.verified(stored(pairs, "near-pairs"))
+            links = found if links is None else links.unionByName(found)
+            labels = stored(components(links), "near-labels")
+        if links is None:
+            return self.classes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+        # then every pair of a bucket whose texts these links don't hold together
+        labelled = stored(self.labelled(members, labels), "near-labelled")
+        loose = labelled.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
         open_ = stored(loose.select("band", "key"), "near-open")
         rest = stored(labelled.join(bounded(open_), ["band", "key"], "left_semi"), "near-rest")
-        few = rest.where(F.col("k") <= LARGE_BUCKET).select("band", "key", "lead", "node", "label")
+        few = rest.where(F.col("k") <= LARGE_BUCKET).select("band", "key", "node", "label")
         other = few.select("band", "key", F.col("node").alias("b"), F.col("label").alias("label_b"))
-        pairs = few.join(other, ["band", "key"]).where("node < b and label != label_b and node != lead and b != lead").select(F.col("node").alias("a"), "b").distinct()
+        pairs = few.join(other, ["band", "key"]).where("node < b and label != label_b").select(F.col("node").alias("a"), "b").distinct()
         links = links.unionByName(self.verified(stored(pairs, "near-pairs")))
         many = stored(rest.where(F.col("k") > LARGE_BUCKET).groupBy("node").agg(F.min("label").alias("label")), "near-many")
         if many.count():
