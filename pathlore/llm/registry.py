@@ -15,6 +15,7 @@ from pathlore.llm.line_dedup import op10_line_dedup
 from pathlore.llm.near_dedup import op9_near_dedup
 from pathlore.llm.packing import op1_packing
 from pathlore.llm.quality import op2_quality
+from pathlore.llm.substring_dedup import op6_substring_dedup
 from pathlore.llm.toxicity import op4_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_toxicity": op4_toxicity,
     "op5_decontaminate": op5_decontaminate,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_keyed_ids": op7_keyed_ids,
     "op8_chat": op8_chat,
     "op9_near_dedup": op9_near_dedup,
