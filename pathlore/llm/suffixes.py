@@ -21,7 +21,9 @@ def _types(s: np.ndarray) -> np.ndarray:
 
 class _Inducer:
     def __init__(self, s: np.ndarray, is_s: np.ndarray) -> None:
-        self.s, self.is_s, self.sigma = s, is_s, 257
+        self.s, self.sigma = s, 257
+        self.wanted = {True: is_s.copy(), False: ~is_s}
+        self.wanted[True][-1] = False
         sizes = np.bincount(s, minlength=self.sigma)
         self.end = np.cumsum(sizes)
         self.start = self.end - sizes
@@ -29,8 +31,8 @@ class _Inducer:
 
     def _place(self, sa: np.ndarray, batch: np.ndarray, to_s: bool, at: np.ndarray) -> None:
         """Puts the suffixes before those of batch, if of the wanted type, at their buckets' next places."""
-        j = batch[batch > 0] - 1
-        j = j[self.is_s[j] == to_s]
+        j = batch - 1  # before the first place comes the end, which is of neither wanted kind
+        j = j[self.wanted[to_s][j]]
         if not len(j):
             return
         c = self.s[j]
@@ -47,7 +49,7 @@ class _Inducer:
 
     def __call__(self, lms: np.ndarray) -> np.ndarray:
         """All suffixes, given the leftmost S suffixes in their order."""
-        sa = np.full(len(self.s), -1, np.int64)
+        sa = np.full(len(self.s), -1, np.int32)
         c = self.s[lms]
         order = np.argsort(c, kind="stable")
         counts = np.bincount(c, minlength=self.sigma)
@@ -94,7 +96,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     s = np.append(text.astype(np.int16) + 1, np.int16(0))
     is_s = _types(s)
     induce = _Inducer(s, is_s)
-    lms = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
+    lms = (np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1).astype(np.int32)
     sa = induce(lms)
     is_lms = np.zeros(len(s), bool)
     is_lms[lms] = True
@@ -128,12 +130,15 @@ def common_prefixes(text: np.ndarray, sa: np.ndarray) -> np.ndarray:
     compared, eight bytes at a time.
     """
     n = len(text)
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, np.int32)
     before[sa[1:]] = sa[:-1]
     padded = np.concatenate([text, np.zeros(8, np.uint8)])
     words = np.lib.stride_tricks.sliding_window_view(padded, 8)
-    prior = np.concatenate([[-1], text[:-1].astype(np.int64)])
-    own = np.flatnonzero((before < 0) | (np.arange(n) == 0) | (before == 0) | (prior != prior[before]))
+    prior = np.concatenate([[0], text[:-1]]).astype(np.int16)
+    prior[0] = -1
+    first = (before <= 0) | (prior != prior[before])
+    first[:1] = True
+    own = np.flatnonzero(first)
     out = np.zeros(n, np.int64)
     live = own[before[own] >= 0]
     done = 0
@@ -147,5 +152,5 @@ def common_prefixes(text: np.ndarray, sa: np.ndarray) -> np.ndarray:
         out[live] += run
         live = live[run == 8]
         done += 8
-    base = np.maximum.accumulate(np.where(np.isin(np.arange(n), own, assume_unique=True), np.arange(n), 0))
+    base = np.maximum.accumulate(np.where(first, np.arange(n), 0))
     return out[base] - (np.arange(n) - base)
