@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 
 #: Name of the struct that carries a row's own columns past an operator's columns.
 ROW = "_row"
+#: The local folder of a session without a shared one, made when first wanted.
+_LOCAL: list[str] = []
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -24,8 +26,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or where unset a local one (tests)."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
-        conf = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", conf)
+        if not _LOCAL:
+            _LOCAL.append("file://" + tempfile.mkdtemp(prefix="spark-shared-"))
+        conf = _LOCAL[0]
     return conf.rstrip("/")
 
 
