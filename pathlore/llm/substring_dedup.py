@@ -120,31 +120,53 @@ def _anchor_rows(parts: int):
     return run
 
 
-def _shared_anchors(rows: pd.DataFrame) -> pd.DataFrame:
-    """(rid, places): anchors of a part that two rows have."""
-    known = rows[rows["rid"].notna()]
-    out = [(int(r), d) for r, d in zip(known["rid"], known["data"], strict=True)]
-    h, rid, at, mark = [], [], [], []
-    for data in rows.loc[rows["rid"].isna(), "data"]:
-        n, d = np.frombuffer(data, "<u4", 2)
-        docs = np.frombuffer(data, "<i8", d, 8)
-        o = 8 + 8 * int(d)
-        h.append(np.frombuffer(data, "<u4", n, o).astype(np.uint64) | np.frombuffer(data, "u1", n, o + 4 * int(n)).astype(np.uint64) << np.uint64(32))
-        at.append(np.frombuffer(data, "<u4", n, o + 5 * int(n)))
-        marks = np.frombuffer(data, "<u2", n, o + 9 * int(n))
-        rid.append(docs[marks & 0x7FFF])
-        mark.append(marks >> 15)
-    if h:
-        h, rid, at, mark = map(np.concatenate, (h, rid, at, mark))
-        order = np.argsort(h, kind="stable")
-        h, rid, at, mark = h[order], rid[order], at[order], mark[order]
-        starts = _runs(h)
-        several = (np.minimum.reduceat(rid, starts) != np.maximum.reduceat(rid, starts)) | (np.maximum.reduceat(mark, starts) > 0)
-        keep = np.flatnonzero(np.repeat(several, np.diff(np.append(starts, len(h)))) & (mark == 0))
-        keep = keep[np.argsort(rid[keep], kind="stable")]
-        for group in np.split(keep, _runs(rid[keep])[1:]) if len(keep) else []:
-            out.append((int(rid[group[0]]), at[group].astype("<u4").tobytes()))
-    return pd.DataFrame(out, columns=["rid", "places"])
+def _shared_anchors(homes: int):
+    """(home, data): anchors of a part that two rows have, together for each group of rows."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        known = rows[rows["rid"].notna()]
+        place = [np.frombuffer(d, "<u4") for d in known["data"]]
+        of = [np.full(len(x), int(r)) for r, x in zip(known["rid"], place, strict=True)]
+        h, rid, at, mark = [], [], [], []
+        for data in rows.loc[rows["rid"].isna(), "data"]:
+            n, d = (int(x) for x in np.frombuffer(data, "<u4", 2))
+            docs = np.frombuffer(data, "<i8", d, 8)
+            o = 8 + 8 * d
+            h.append(np.frombuffer(data, "<u4", n, o).astype(np.uint64) | np.frombuffer(data, "u1", n, o + 4 * n).astype(np.uint64) << np.uint64(32))
+            at.append(np.frombuffer(data, "<u4", n, o + 5 * n))
+            marks = np.frombuffer(data, "<u2", n, o + 9 * n)
+            rid.append(docs[marks & 0x7FFF])
+            mark.append(marks >> 15)
+        if h:
+            h, rid, at, mark = map(np.concatenate, (h, rid, at, mark))
+            order = np.argsort(h, kind="stable")
+            h, rid, at, mark = h[order], rid[order], at[order], mark[order]
+            starts = _runs(h)
+            several = (np.minimum.reduceat(rid, starts) != np.maximum.reduceat(rid, starts)) | (np.maximum.reduceat(mark, starts) > 0)
+            keep = np.repeat(several, np.diff(np.append(starts, len(h)))) & (mark == 0)
+            of.append(rid[keep])
+            place.append(at[keep])
+        of, place = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (of, place))
+        order = np.argsort(of % homes, kind="stable")
+        of, place = of[order], place[order]
+        out = [
+            (int(of[g[0]] % homes), np.array([len(g)], "<u4").tobytes() + of[g].astype("<i8").tobytes() + place[g].astype("<u4").tobytes())
+            for g in (np.split(np.arange(len(of)), _runs(of % homes)[1:]) if len(of) else [])
+        ]
+        return pd.DataFrame(out, columns=["home", "data"])
+
+    return run
+
+
+def _by_row(rows: pd.DataFrame) -> pd.DataFrame:
+    """(rid, places): all shared anchors of each row of a group."""
+    sizes = [int(np.frombuffer(d, "<u4", 1)[0]) for d in rows["data"]]
+    rid = np.concatenate([np.frombuffer(d, "<i8", n, 4) for d, n in zip(rows["data"], sizes, strict=True)])
+    at = np.concatenate([np.frombuffer(d, "<u4", n, 4 + 8 * n) for d, n in zip(rows["data"], sizes, strict=True)])
+    order = np.lexsort((at, rid))
+    rid, at = rid[order], at[order]
+    groups = np.split(at, _runs(rid)[1:])
+    return pd.DataFrame({"rid": rid[_runs(rid)], "places": [g.astype("<u4").tobytes() for g in groups]})
 
 
 def _covered(rid: np.ndarray, low: np.ndarray, high: np.ndarray) -> list[tuple]:
@@ -191,8 +213,8 @@ def _context_rows(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _batches(batches):
             context, doc, at = [], [], []
-            for i, (text, lists) in enumerate(zip(rows["text"], rows["places"], strict=True)):
-                places = np.sort(np.concatenate([np.frombuffer(x, "<u4") for x in lists])).astype(np.int64)
+            for i, (text, data) in enumerate(zip(rows["text"], rows["places"], strict=True)):
+                places = np.frombuffer(data, "<u4").astype(np.int64)
                 b = np.frombuffer(bytes([OUTSIDE]) * (LENGTH - ANCHOR) + text.encode() + bytes([OUTSIDE]) * LENGTH, np.uint8)
                 context.append(np.lib.stride_tricks.sliding_window_view(b, SPAN)[places])
                 doc.append(np.full(len(places), i))
@@ -295,10 +317,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     size = rest.select(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(8, size // (16 * SHARD_BYTES) * 4)
     pieces = rest.select("rid", "text").mapInArrow(_anchor_rows(parts), "part long, rid long, data binary")
-    shared = stored(pieces.groupBy("part").applyInPandas(_shared_anchors, "rid long, places binary"), "bytes-anchors")
-    about = shared.select(F.sum(F.octet_length("places"))).first()[0] or 0
+    # two steps, so that a row's places come together in one row, however many parts they were found in
+    shared = pieces.groupBy("part").applyInPandas(_shared_anchors(parts), "home long, data binary")
+    places = stored(shared.groupBy("home").applyInPandas(lambda rows: _by_row(rows), "rid long, places binary"), "bytes-places")
+    about = places.select(F.sum(F.octet_length("places"))).first()[0] or 0
     shards = max(8, about // 4 * SPAN // SHARD_BYTES)
-    places = stored(shared.groupBy("rid").agg(F.collect_list("places").alias("places")), "bytes-places")
     contexts = rest.select("rid", "k1", "text").join(bounded(places), "rid").mapInArrow(_context_rows(shards), "part long, rid long, low binary, high binary, data binary")
     found = stored(contexts.groupBy("part").applyInPandas(_repeats, "rid long, low binary, high binary"), "bytes-spans")
     spans = stored(found.groupBy("rid").agg(F.collect_list("low").alias("lows"), F.collect_list("high").alias("highs")), "bytes-row-spans")
