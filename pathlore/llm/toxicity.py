@@ -7,16 +7,18 @@ hashed words and stems of a text, log(1 + count). The score is the expected grad
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pathlore.llm._common import arrow_columns, packed, read, text_or_empty, unpacked
+from pathlore.llm._common import arrow_columns, packed, read, stored, text_or_empty, unpacked
 
 #: Hashed words, rows to fit on at most (about, drawn by a hash of the id), and words that may have a weight.
 SPACE, SAMPLE, FEATURES = 1 << 22, 20_000, 2048
@@ -146,12 +148,38 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str =
         made = [features(t) for t in batch["text"].to_pylist()]
         return [pa.array([s.astype("<i4").tobytes() for s, _ in made], pa.binary()), pa.array([v.astype("<f4").tobytes() for _, v in made], pa.binary())]
 
-    found = arrow_columns(rows, of, [("slots", T.BinaryType()), ("values", T.BinaryType())], drop=["text"])
-    got = sorted(found.select("id", "slots", "values", "toxic").collect())  # bounded by sample
-    sparse = [(np.frombuffer(r["slots"], "<i4"), np.frombuffer(r["values"], "<f4")) for r in got]
+    found = stored(arrow_columns(rows, of, [("slots", T.BinaryType()), ("values", T.BinaryType())], drop=["text"]), "toxicity-features")
+    # the words that tell grades apart are chosen from counts, so that the driver gets no other feature
+    n, rate = found.agg(F.count(F.lit(1)), F.coalesce(F.avg((F.col("toxic") > 0).cast("double")), F.lit(0.0))).first()
+    seen = found.select("slots", "toxic").mapInPandas(_counts, "slot int, seen long, bad long").groupBy("slot").agg(F.sum("seen").alias("seen"), F.sum("bad").alias("bad"))
+    z = F.abs(F.col("bad") - F.col("seen") * rate) / F.sqrt(F.greatest(F.col("seen") * (rate * (1 - rate)), F.lit(1e-9)))
+    useful = seen.where(F.col("seen") >= LEAST_ROWS).select("slot", z.alias("z")).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "slot").limit(FEATURES)
+    slots = np.array(sorted(r["slot"] for r in useful.collect()), np.int32)
+
+    def chosen(batch: pa.RecordBatch) -> list[pa.Array]:
+        out: list[tuple[bytes, bytes]] = []
+        for own, values in zip(batch["slots"].to_pylist(), batch["values"].to_pylist(), strict=True):
+            own, values = np.frombuffer(own, "<i4"), np.frombuffer(values, "<f4")
+            keep = np.isin(own, slots, assume_unique=True)
+            out.append((own[keep].tobytes(), values[keep].tobytes()))
+        return [pa.array([o[i] for o in out], pa.binary()) for i in (0, 1)]
+
+    new = [("own", T.BinaryType()), ("value", T.BinaryType())]
+    got = sorted(arrow_columns(found, chosen, new, drop=["slots", "values"]).select("id", "own", "value", "toxic").collect())  # bounded by sample
+    sparse = [(np.frombuffer(r["own"], "<i4"), np.frombuffer(r["value"], "<f4")) for r in got]
     return fit(sparse, severity(sparse, np.array([r["toxic"] for r in got], np.int64)))
 
 
+def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For each feature of a batch, how many rows have it and how many of them are toxic."""
+    for batch in batches:
+        own = [np.frombuffer(s, "<i4") for s in batch["slots"]]
+        if own:
+            slot, at = np.unique(np.concatenate(own), return_inverse=True)
+            toxic = np.repeat((batch["toxic"] > 0).to_numpy(), [len(s) for s in own])
+            yield pd.DataFrame({"slot": slot, "seen": np.bincount(at, minlength=len(slot)), "bad": np.bincount(at, weights=toxic, minlength=len(slot)).astype(np.int64)})
+
+
 def score(docs: DataFrame, model: OrdinalModel, text: str = "text", columns: list[str] | None = None) -> DataFrame:
     """docs (or those columns of it) with severity (the expected grade), p_toxic (of a grade above 0) and toxic
     (p_toxic >= REJECT); own columns of these names give way. Without labelled rows nothing is toxic. Every whole text is scored; null and empty texts have
