@@ -27,7 +27,7 @@ BANDS, ROWS = 32, 4
 #: Pairs are verified when their estimate is at least this: five standard errors under 0.75.
 LIKELY = 0.55
 #: Rounds of pairs with a leading text before buckets are looked at pair by pair.
-ROUNDS = 5
+ROUNDS = 3
 #: Buckets of more texts have their remaining pairs found by rare shingles instead of by pairing.
 LARGE_BUCKET = 48
 
@@ -124,20 +124,22 @@ class _Links:
     def rare_pairs(self, nodes: DataFrame) -> DataFrame:
         """Every pair (a, b) of nodes (node, label) of different labels that can be similar, by prefix filtering.
 
-        Texts of similarity s with n shingles share one of their n - ceil(s n) + 1 rarest, so that only those are
-        joined; shingles that are frequent among these nodes come last.
+        Of two texts of similarity s, the larger (n shingles) has one of its n - ceil(s n) + 1 rarest shingles in
+        common with the m - ceil(2 s / (1 + s) m) + 1 rarest of the smaller, so that only those are joined; shingles
+        that are frequent among these nodes come last.
         """
         share, of = shingles.SIMILAR
         rows = stored(self.texts(nodes.select("node")).mapInArrow(_shingle_rows, "node long, shingle long"), "near-shingles")
         counts = stored(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "near-df")
         ranked = rows.join(bounded(counts), "shingle", "left").select("node", F.struct(F.coalesce("df", F.lit(1)).alias("df"), "shingle").alias("s"))
-        prefix = ranked.groupBy("node").agg(F.sort_array(F.collect_list("s")).alias("all")).select(
-            "node", F.size("all").alias("n"), F.explode(F.expr(f"filter(slice(all, 1, size(all) - ceil({share} * size(all) / {of}) + 1), s -> s.df > 1)")).alias("s")
+        head = F.expr(f"transform(slice(all, 1, size(all) - ceil({share} * size(all) / {of}) + 1), (s, i) -> struct(s.df, s.shingle, i AS place))")
+        prefix = ranked.groupBy("node").agg(F.sort_array(F.collect_list("s")).alias("all")).select("node", F.size("all").alias("n"), F.explode(F.filter(head, lambda s: s["df"] > 1)).alias("s"))
+        keyed = stored(prefix.join(bounded(nodes), "node").select("node", "n", "label", F.col("s.shingle").alias("shingle"), F.col("s.place").alias("place")), "near-prefix")
+        smaller = keyed.where(F.expr(f"place <= n - ceil({2 * share} * n / {of + share})")).select(
+            "shingle", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b")
         )
-        keyed = stored(prefix.join(nodes, "node").select("node", "n", "label", F.col("s.shingle").alias("shingle")), "near-prefix")
-        other = keyed.select("shingle", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"))
-        close = (of * F.least("n", "n_b") >= share * F.greatest("n", "n_b")) & (F.col("label") != F.col("label_b")) & (F.col("node") < F.col("b"))
-        return keyed.join(other, "shingle").where(close).select(F.col("node").alias("a"), "b").distinct()
+        close = (F.col("n_b") * of >= F.col("n") * share) & (F.col("label") != F.col("label_b")) & (F.struct("n_b", "b") < F.struct("n", "node"))
+        return keyed.join(smaller, "shingle").where(close).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
 
     def labelled(self, members: DataFrame, labels: DataFrame | None) -> DataFrame:
         if labels is None:
