@@ -34,7 +34,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows, their texts without the runs of lines that an earlier row or place has; n_chars is of the new text."""
-    out = _columns(line_dedup.line_dedup(_carried(docs)), docs, "text")
+    out = _columns(line_dedup.line_dedup(_carried(docs), long_lines=True), docs, "text")
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 

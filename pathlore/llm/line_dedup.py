@@ -2,7 +2,8 @@
 
 The fingerprint of a place is the hash of GRAM lines in a row. Of each WINDOW fingerprints in a row the least is
 selected, so that every run of GRAM + WINDOW - 1 repeated lines shares a selected fingerprint with its first copy.
-The first place (by id, then line) with a fingerprint is its source; each later place is matched against the source's
+With long_lines each line of LEAST_CHARS characters or more is a fingerprint too, so that none with an earlier copy
+stays, alone or in a run. The first place (by id, then line) with a fingerprint is its source; each later place is matched against the source's
 lines, extended both ways, and the matched run is deleted.
 """
 
@@ -20,10 +21,12 @@ LEAST_CHARS = 50
 
 #: Places whose fingerprint is the least of a window of them (the first of equal ones).
 _SELECTED = """
-CASE WHEN size(hashes) < {gram} THEN cast(array() as array<struct<fp:bigint,pos:int>>)
+CASE WHEN size(grams) = 0 THEN cast(array() as array<struct<fp:bigint,pos:int>>)
 ELSE array_distinct(transform(sequence(0, greatest(size(grams) - {window}, 0)),
        w -> array_min(transform(slice(grams, w + 1, {window}), (g, i) -> struct(g AS fp, w + i AS pos))))) END
 """
+#: Places of long lines, by the hash of the line alone.
+_LONG = "transform(longs, i -> struct(xxhash64(slice(hashes, i + 1, 1)) AS fp, i AS pos))"
 #: The first line and the line after the last of the run about pos in which the document equals the source, whose
 #: lines are shift before.
 _RUN = """
@@ -41,14 +44,17 @@ def _keyed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     return rows.withColumn("k2", F.xxhash64("_text")).withColumn("_lines", F.split("_text", "\n"))
 
 
-def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", gram: int = GRAM, window: int = WINDOW, least_chars: int = LEAST_CHARS) -> DataFrame:
+def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", gram: int = GRAM, window: int = WINDOW, least_chars: int = LEAST_CHARS, long_lines: bool = False) -> DataFrame:
     """k1, k2 (a row's key) and runs (low, high: a line and the one after the last), ascending and apart."""
+    # equal lines are equally long: spaces at the end don't count
+    longs = f"filter(transform(_lines, (x, i) -> if(length(rtrim(x)) >= {least_chars}, i, -1)), i -> i >= 0)" if long_lines else "cast(array() as array<int>)"
     lines = _keyed(docs, id_col, text).select(
-        "k1", "k2", F.transform("_lines", lambda x: F.xxhash64(F.rtrim(x))).alias("hashes"), F.transform("_lines", lambda x: F.length(x)).alias("chars")
+        "k1", "k2", F.transform("_lines", lambda x: F.xxhash64(F.rtrim(x))).alias("hashes"), F.transform("_lines", lambda x: F.length(x)).alias("chars"), F.expr(longs).alias("longs")
     )
     hashed = stored(lines.dropDuplicates(["k1", "k2"]), "line-hashes")
-    grams = F.expr(f"transform(sequence(0, size(hashes) - {gram}), i -> xxhash64(slice(hashes, i + 1, {gram})))")
-    selected = hashed.where(F.size("hashes") >= gram).withColumn("grams", grams).select("k1", "k2", F.explode(F.expr(_SELECTED.format(gram=gram, window=window))).alias("s"))
+    grams = F.expr(f"CASE WHEN size(hashes) < {gram} THEN cast(array() as array<bigint>) ELSE transform(sequence(0, size(hashes) - {gram}), i -> xxhash64(slice(hashes, i + 1, {gram}))) END")
+    fingerprints = F.array_union(F.expr(_SELECTED.format(window=window)), F.expr(_LONG))
+    selected = hashed.where((F.size("hashes") >= gram) | (F.size("longs") > 0)).withColumn("grams", grams).select("k1", "k2", F.explode(fingerprints).alias("s"))
     places = stored(selected.select("k1", "k2", "s.fp", "s.pos"), "line-places")
     first = places.groupBy("fp").agg(F.min(F.struct("k1", "k2", "pos")).alias("src"), F.count(F.lit(1)).alias("n")).where("n > 1")
     sources = stored(first.select("fp", "src"), "line-sources")
@@ -56,9 +62,12 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", g
     # places of one alignment of two documents are looked at together
     aligned = stored(
         matches.select("k1", "k2", F.col("src.k1").alias("s1"), F.col("src.k2").alias("s2"), (F.col("pos") - F.col("src.pos")).alias("shift"), "pos")
-        .groupBy("k1", "k2", "s1", "s2", "shift").agg(F.collect_set("pos").alias("places")),
+        .groupBy("k1", "k2", "s1", "s2", "shift").agg(F.sort_array(F.collect_set("pos")).alias("places"))
+        # a place right after another of its alignment lies in the same run
+        .withColumn("places", F.expr("filter(places, (p, i) -> i = 0 OR get(places, i - 1) < p - 1)")),
         "line-aligned",
     )
+    hashed = hashed.drop("longs")
     source = hashed.select(F.col("k1").alias("s1"), F.col("k2").alias("s2"), F.col("hashes").alias("source"))
     wanted = stored(aligned.select("s1", "s2").distinct(), "line-wanted")
     few = stored(source.join(bounded(wanted), ["s1", "s2"], "left_semi"), "line-source-hashes")
@@ -79,7 +88,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **li
 
     Lines end at a line break and are equal when they are but for spaces at their ends. A run is deleted where a
     selected fingerprint of it has an earlier source (also in the row itself) and the matched run has at least
-    LEAST_CHARS characters; what is left is joined by line breaks, and a row whose lines all go stays with an empty
+    LEAST_CHARS characters (with long_lines: each line of so many, without spaces at its end, that has an earlier
+    copy, and the run about it); what is left is joined by line breaks, and a row whose lines all go stays with an empty
     text. Earlier means a smaller id (null first), for rows of one id a smaller hash of the text, then an earlier line;
     rows that repeat id and text share their fate. Null texts are empty, and have no run. An empty table gives no rows.
     """
@@ -98,5 +108,5 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **li
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated runs of lines in all documents."""
-    out = line_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = line_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"), long_lines=True)
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"), (F.col("n_removed") < F.col("n_lines")).alias("kept"))
