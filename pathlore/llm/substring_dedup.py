@@ -5,6 +5,10 @@ documents have are found by their hashes; the bytes about each (every string tha
 go to the shard of the anchor's bytes. A shard's suffix array and common prefixes give its equal strings, and each
 that a smaller document has too is removed. Pieces and contexts that repeat within a batch are settled there, so that
 a very frequent passage reaches a shard once for each batch, not once for each document.
+
+An anchor with more contexts than a shard should have is hot: its contexts may all differ, and would all go to one
+shard. Each of their strings that hold it goes to the shard of the string's own 128-bit hash instead, once for each
+batch and row of least id, so that what comes together there are equal strings alone.
 """
 
 from __future__ import annotations
@@ -26,6 +30,10 @@ LENGTH, ANCHOR = 50, 20
 SPAN = 2 * LENGTH - ANCHOR  # bytes about an anchor that its strings can reach
 #: Text of a batch, and contexts of a shard, at about so many bytes.
 BATCH_BYTES, SHARD_BYTES = 4 << 20, 3 << 20
+#: Occurrences in a batch from which a piece counts as shared though one row has them all, so that one entry stands for them.
+MANY = 64
+#: Contexts whose strings are made at once, and bytes of a string's entry.
+STRINGS_AT_ONCE, STRING_BYTES = 1 << 14, 40
 #: A byte that UTF-8 never has.
 OUTSIDE = 0xFF
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -96,7 +104,8 @@ def _anchor_rows(parts: int):
             if not len(starts):
                 continue
             sizes = np.diff(np.append(starts, len(h)))
-            shared = np.repeat(np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts), sizes)
+            shared = np.repeat((np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts)) | (sizes > MANY), sizes)
+            sizes = np.repeat(sizes, sizes)
             first = np.zeros(len(h), bool)
             first[starts] = True
             out: list[tuple] = []
@@ -114,20 +123,22 @@ def _anchor_rows(parts: int):
                 head = np.array([len(group), len(docs)], "<u4").tobytes() + rids[docs].astype("<i8").tobytes()
                 marks = (own | np.where(shared[group], 1 << 15, 0)).astype("<u2")
                 low = h[group] & np.uint64((1 << 40) - 1)
-                out.append((p, None, head + (low & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + (low >> np.uint64(32)).astype("u1").tobytes() + at[group].astype("<u4").tobytes() + marks.tobytes()))
+                out.append((p, None, head + (low & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + (low >> np.uint64(32)).astype("u1").tobytes() + at[group].astype("<u4").tobytes() + marks.tobytes() + sizes[group[shared[group]]].astype("<u4").tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate([pa.int64(), pa.int64(), pa.binary()])], names=["part", "rid", "data"])
 
     return run
 
 
-def _shared_anchors(homes: int):
-    """(home, data): anchors of a part that two rows have, together for each group of rows."""
+def _shared_anchors(homes: int, most: int):
+    """(home, data): anchors of a part that two rows have, together for each group of rows; for home -1 the part's
+    anchors with more than most places (by part and low hash) and how many."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         known = rows[rows["rid"].notna()]
         place = [np.frombuffer(d, "<u4") for d in known["data"]]
         of = [np.full(len(x), int(r)) for r, x in zip(known["rid"], place, strict=True)]
-        h, rid, at, mark = [], [], [], []
+        h, rid, at, mark, count = [], [], [], [], []
+        hot, sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for data in rows.loc[rows["rid"].isna(), "data"]:
             n, d = (int(x) for x in np.frombuffer(data, "<u4", 2))
             docs = np.frombuffer(data, "<i8", d, 8)
@@ -137,11 +148,15 @@ def _shared_anchors(homes: int):
             marks = np.frombuffer(data, "<u2", n, o + 9 * n)
             rid.append(docs[marks & 0x7FFF])
             mark.append(marks >> 15)
+            count.append(np.ones(n, np.int64))
+            count[-1][mark[-1] > 0] = np.frombuffer(data, "<u4", -1, o + 11 * n)
         if h:
-            h, rid, at, mark = map(np.concatenate, (h, rid, at, mark))
+            h, rid, at, mark, count = map(np.concatenate, (h, rid, at, mark, count))
             order = np.argsort(h, kind="stable")
-            h, rid, at, mark = h[order], rid[order], at[order], mark[order]
+            h, rid, at, mark, count = h[order], rid[order], at[order], mark[order], count[order]
             starts = _runs(h)
+            total = np.add.reduceat(count, starts)
+            hot, sizes = h[starts][total > most] | np.uint64(int(rows["part"].iloc[0]) << 40), total[total > most]
             several = (np.minimum.reduceat(rid, starts) != np.maximum.reduceat(rid, starts)) | (np.maximum.reduceat(mark, starts) > 0)
             keep = np.repeat(several, np.diff(np.append(starts, len(h)))) & (mark == 0)
             of.append(rid[keep])
@@ -153,14 +168,18 @@ def _shared_anchors(homes: int):
             (int(of[g[0]] % homes), np.array([len(g)], "<u4").tobytes() + of[g].astype("<i8").tobytes() + place[g].astype("<u4").tobytes())
             for g in (np.split(np.arange(len(of)), _runs(of % homes)[1:]) if len(of) else [])
         ]
+        if len(hot):
+            out.append((-1, np.array([len(hot)], "<u4").tobytes() + hot.astype("<u8").tobytes() + sizes.astype("<i8").tobytes()))
         return pd.DataFrame(out, columns=["home", "data"])
 
     return run
 
 
 def _by_row(rows: pd.DataFrame) -> pd.DataFrame:
-    """(rid, places): all shared anchors of each row of a group."""
+    """(rid, places): all shared anchors of each row of a group; without a rid, the hot anchors and their places' number."""
     sizes = [int(np.frombuffer(d, "<u4", 1)[0]) for d in rows["data"]]
+    if rows["home"].iloc[0] < 0:
+        return pd.DataFrame({"rid": pd.array([None] * len(rows), "Int64"), "places": [d[4:] for d in rows["data"]]})
     rid = np.concatenate([np.frombuffer(d, "<i8", n, 4) for d, n in zip(rows["data"], sizes, strict=True)])
     at = np.concatenate([np.frombuffer(d, "<u4", n, 4 + 8 * n) for d, n in zip(rows["data"], sizes, strict=True)])
     order = np.lexsort((at, rid))
@@ -190,6 +209,10 @@ def joined(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return low[first], reach[last]
 
 
+#: Kinds of what a string's entry has: two hashes, key, rid, low and high.
+_ENTRY = ("<u8", "<u8", "<i8", "<i8", "<u4", "<u4")
+
+
 def _settled(context: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of equal contexts: which rows have a larger key than the least (all their strings go), and which stand for the
     rest (one of the least key; the others of it too, as each has its own places)."""
@@ -207,8 +230,43 @@ def _settled(context: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return gone, ~gone
 
 
-def _context_rows(parts: int):
-    """(part, rid, low, high, data): contexts for a shard, or spans already known to go."""
+def _gone(h1: np.ndarray, h2: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Which of the strings of these hashes have a larger key than the least of equal ones."""
+    order = np.lexsort((key, h2, h1))
+    a, b = h1[order], h2[order]
+    first = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+    out = np.empty(len(h1), bool)
+    out[order] = key[order] > key[order][np.maximum.accumulate(np.where(first, np.arange(len(a)), 0))]
+    return out
+
+
+def _strings(context: np.ndarray, rid: np.ndarray, key: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """(h1, h2, key, rid, low, high), some at a time: the strings of contexts that hold the anchor, and the bytes that
+    they cover; places of one row with one context that lie close together are one."""
+    if not len(context):
+        return
+    words = np.ascontiguousarray(context).view("<u8")
+    order = np.lexsort((at, _mixed([words[:, i] for i in range(words.shape[1])]), rid))
+    context, words, rid, key, at = context[order], words[order], rid[order], key[order], at[order]
+    more = (rid[1:] == rid[:-1]) & (words[1:] == words[:-1]).all(axis=1) & (at[1:] - at[:-1] <= LENGTH)
+    first = np.flatnonzero(np.concatenate([[True], ~more]))
+    last = np.append(first[1:], len(at)) - 1
+    context, rid, key, low, high = context[first], rid[first], key[first], at[first], at[last] + LENGTH
+    for c in range(0, len(context), STRINGS_AT_ONCE):
+        part = slice(c, c + STRINGS_AT_ONCE)
+        bad = np.cumsum(np.pad(context[part] == OUTSIDE, ((0, 0), (1, 0))), axis=1)
+        made = []
+        for o in range(LENGTH - ANCHOR + 1):
+            inside = np.flatnonzero(bad[:, o + LENGTH] == bad[:, o])
+            w = [np.ascontiguousarray(context[part][inside, o + i : o + i + 8]).view("<u8").ravel() for i in (*range(0, LENGTH - 8, 8), LENGTH - 8)]
+            h2 = _mixed([(x ^ (x >> np.uint64(31))) * _M2 for x in w[::-1]])
+            made.append((_mixed(w), h2, key[part][inside], rid[part][inside], low[part][inside] + o, high[part][inside] + o))
+        yield tuple(np.concatenate(x) for x in zip(*made, strict=True))
+
+
+def _context_rows(parts: int, hot: np.ndarray, hot_parts: int, anchor_parts: int):
+    """(part, rid, low, high, data): contexts for a shard, strings of hot anchors for one of the shards after these, or
+    spans already known to go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _batches(batches):
@@ -223,10 +281,25 @@ def _context_rows(parts: int):
             rids, keys = np.array(rows["rid"], np.int64), np.array(rows["k1"], np.int64)
             gone, stays = _settled(context, keys[doc])
             sizes = np.array([len(t.encode()) for t in rows["text"]], np.int64)[doc]
-            out = [(r % parts, r, a, b, None) for r, a, b in _covered(rids[doc[gone]], np.maximum(at[gone], 0), np.minimum(at + SPAN, sizes)[gone])]
+            spans = [(rids[doc[gone]], np.maximum(at[gone], 0), np.minimum(at + SPAN, sizes)[gone])]
+            out = []
             piece = np.ascontiguousarray(context[:, LENGTH - ANCHOR : LENGTH])
             words = [np.ascontiguousarray(piece[:, o : o + 8]).view("<u8").ravel() for o in (0, 8, ANCHOR - 8)]
-            part = (_mixed(words) % np.uint64(parts)).astype(np.int64)
+            h = _mixed(words)
+            if len(hot):
+                apart = stays & np.isin((h >> np.uint64(40)) % np.uint64(anchor_parts) << np.uint64(40) | h & np.uint64((1 << 40) - 1), hot)
+                stays &= ~apart
+                for made in _strings(context[apart], rids[doc[apart]], keys[doc[apart]], at[apart]):
+                    least = ~_gone(*made[:3])
+                    spans.append(tuple(x[~least] for x in made[3:]))
+                    part = parts + (made[0][least] % np.uint64(hot_parts)).astype(np.int64)
+                    order = np.argsort(part, kind="stable")
+                    kept = [x[least][order].astype(t) for x, t in zip(made, _ENTRY, strict=True)]
+                    starts = _runs(part[order])
+                    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(order)], strict=False):
+                        out.append((int(part[order[a]]), None, None, None, np.array([b - a], "<u4").tobytes() + b"".join(x[a:b].tobytes() for x in kept)))
+            out += [(r % parts, r, a, b, None) for r, a, b in _covered(*(np.concatenate(x) for x in zip(*spans, strict=True)))]
+            part = (h % np.uint64(parts)).astype(np.int64)
             keep = np.flatnonzero(stays)
             keep = keep[np.argsort(part[keep], kind="stable")]
             for group in np.split(keep, _runs(part[keep])[1:]) if len(keep) else []:
@@ -277,6 +350,20 @@ def _repeats(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["rid", "low", "high"])
 
 
+def _equal_strings(rows: pd.DataFrame) -> pd.DataFrame:
+    """(rid, low, high): spans of a shard's strings that a smaller document has."""
+    columns: list[list[np.ndarray]] = [[] for _ in _ENTRY]
+    for data in rows["data"]:
+        n, o = int(np.frombuffer(data, "<u4", 1)[0]), 4
+        for own, kind in zip(columns, _ENTRY, strict=True):
+            own.append(np.frombuffer(data, kind, n, o))
+            o += n * np.dtype(kind).itemsize
+    h1, h2, key, rid, low, high = map(np.concatenate, columns)
+    gone = _gone(h1, h2, key)
+    out = _covered(rid[gone], low[gone].astype(np.int64), high[gone].astype(np.int64))
+    return pd.DataFrame(out, columns=["rid", "low", "high"])
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Final spans and what is left of each row."""
     for batch in batches:
@@ -318,12 +405,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     parts = max(8, size // (16 * SHARD_BYTES) * 4)
     pieces = rest.select("rid", "text").mapInArrow(_anchor_rows(parts), "part long, rid long, data binary")
     # two steps, so that a row's places come together in one row, however many parts they were found in
-    shared = pieces.groupBy("part").applyInPandas(_shared_anchors(parts), "home long, data binary")
-    places = stored(shared.groupBy("home").applyInPandas(lambda rows: _by_row(rows), "rid long, places binary"), "bytes-places")
+    shared = pieces.groupBy("part").applyInPandas(_shared_anchors(parts, SHARD_BYTES // SPAN), "home long, data binary")
+    placed = stored(shared.groupBy("home").applyInPandas(lambda rows: _by_row(rows), "rid long, places binary"), "bytes-places")
+    # 16 bytes for each anchor of more than SHARD_BYTES of contexts
+    parted = [np.frombuffer(r.places, "<u8").reshape(2, -1) for r in placed.where("rid IS NULL").collect()]
+    hot, n_hot = np.concatenate([np.zeros((2, 0), np.uint64), *parted], axis=1)
+    hot_parts = max(8, int(n_hot.sum()) * (LENGTH - ANCHOR + 1) * STRING_BYTES // SHARD_BYTES)
+    places = placed.where("rid IS NOT NULL")
     about = places.select(F.sum(F.octet_length("places"))).first()[0] or 0
     shards = max(8, about // 4 * SPAN // SHARD_BYTES)
-    contexts = rest.select("rid", "k1", "text").join(bounded(places), "rid").mapInArrow(_context_rows(shards), "part long, rid long, low binary, high binary, data binary")
-    found = stored(contexts.groupBy("part").applyInPandas(_repeats, "rid long, low binary, high binary"), "bytes-spans")
+    contexts = rest.select("rid", "k1", "text").join(bounded(places), "rid").mapInArrow(_context_rows(shards, hot, hot_parts, parts), "part long, rid long, low binary, high binary, data binary")
+
+    def repeats(rows: pd.DataFrame) -> pd.DataFrame:
+        return (_repeats if rows["part"].iloc[0] < shards else _equal_strings)(rows)
+
+    found = stored(contexts.groupBy("part").applyInPandas(repeats, "rid long, low binary, high binary"), "bytes-spans")
     spans = stored(found.groupBy("rid").agg(F.collect_list("low").alias("lows"), F.collect_list("high").alias("highs")), "bytes-row-spans")
     schema = "doc_id long, n_bytes long, spans array<struct<low:long,high:long>>, kept binary"
     cut = rest.join(bounded(spans), "rid", "left").select("doc_id", "text", "lows", "highs").mapInArrow(_cut, schema)
