@@ -9,6 +9,8 @@ up in the whole document's set.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -70,10 +72,10 @@ class Items:
                     out.update((w, int(items[k, r])) for k in range(a, b))
         return out
 
-    def hits(self, texts: list[str | None]) -> list[list[dict]]:
+    def hits(self, texts: list[str | None], memory: shingles.Words | None = None) -> list[list[dict]]:
         """For each text the items it contains, the fullest first."""
         share, of = shingles.SIMILAR
-        hashes = [shingles.shingle_hashes(t) for t in texts]
+        hashes = [shingles.shingle_hashes(t, memory=memory) for t in texts]
         some = [i for i, h in enumerate(hashes) if len(h)]
         out: list[list[dict]] = [[] for _ in texts]
         sets: dict[int, np.ndarray] = {}
@@ -107,11 +109,16 @@ def contained_items(
         few = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(groups)) == g).collect()  # of bounded size
         shared = spark.sparkContext.broadcast(Items([tuple(r) for r in sorted(few, key=lambda r: (r.id is None, r.id or 0, r.text))]))
 
-        def found(batch: pa.RecordBatch, shared=shared) -> list[pa.Array]:
-            out: list[list[dict]] = []
-            for i in range(0, batch.num_rows, 200):
-                out += shared.value.hits(batch["_text"].slice(i, 200).to_pylist())
-            return [pa.array(out, pa.list_(pa.struct([("item_id", pa.int64()), ("containment", pa.float64())])))]
+        def found(shared=shared) -> Callable[[pa.RecordBatch], list[pa.Array]]:
+            memory = shingles.Words()
+
+            def of(batch: pa.RecordBatch) -> list[pa.Array]:
+                out: list[list[dict]] = []
+                for i in range(0, batch.num_rows, 200):
+                    out += shared.value.hits(batch["_text"].slice(i, 200).to_pylist(), memory)
+                return [pa.array(out, pa.list_(pa.struct([("item_id", pa.int64()), ("containment", pa.float64())])))]
+
+            return of
 
         more = arrow_columns(rows, found, [("_more", _HITS)], drop=["_text"] if g == groups - 1 else [])
         rows = more.withColumn("_hits", F.concat("_hits", "_more")).drop("_more")

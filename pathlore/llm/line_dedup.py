@@ -12,8 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathlore.llm._common import packed, read, stored, text_or_empty, unpacked
-from pathlore.llm.components import bounded
+from pathlore.llm._common import bounded, packed, read, stored, text_or_empty, unpacked
 
 GRAM, WINDOW = 2, 2
 #: Runs of fewer characters stay.

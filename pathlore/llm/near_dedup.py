@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pathlore.llm import shingles
-from pathlore.llm._common import arrow_columns, packed, read, stored, text_or_empty, unpacked
-from pathlore.llm.components import bounded, components
+from pathlore.llm._common import Tables, arrow_columns, bounded, packed, read, rows_of, slices, stored, text_or_empty, unpacked
+from pathlore.llm.components import components
 
 #: Parameters of the sketch: base, rate of the variates, largest register less one.
 BASE, RATE, TOP = 1.001, 20.0, 2**16 - 2
@@ -26,10 +26,11 @@ BASE, RATE, TOP = 1.001, 20.0, 2**16 - 2
 BANDS, ROWS = 32, 4
 #: Pairs are verified when their estimate is at least this: five standard errors under 0.75.
 LIKELY = 0.55
-#: Rounds of pairs with a leading text before buckets are looked at pair by pair.
-ROUNDS = 3
-#: Buckets of more texts have their remaining pairs found by rare shingles instead of by pairing.
-LARGE_BUCKET = 48
+#: Rounds of pairs with a leading text of a bucket.
+ROUNDS = 2
+#: Groups of so many texts at most have the pairs of their buckets looked at one by one; larger ones are compared with
+#: what most of the group has. Both find every link.
+SMALL_GROUP = 32
 
 
 def registers(least: np.ndarray) -> np.ndarray:
@@ -52,135 +53,203 @@ def likely_jaccard(more: np.ndarray, less: np.ndarray, n_a: np.ndarray, n_b: np.
     return j[np.arange(len(j)), np.argmax(score, axis=1)]
 
 
-def _sketch(batch: pa.RecordBatch) -> list[pa.Array]:
-    sets = [shingles.shingle_set(t) for t in batch["_text"].to_pylist()]
-    some = [s for s in sets if len(s)]
-    rows = (r.tobytes() for r in registers(shingles.minima(some, BANDS * ROWS)))
-    return [
-        pa.array([len(s) for s in sets], pa.int64()),
-        pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-        pa.array([next(rows) if len(s) else None for s in sets], pa.binary()),
-    ]
+def _sketch():
+    memory = shingles.Words()
+
+    def of(batch: pa.RecordBatch) -> list[pa.Array]:
+        sets = [shingles.shingle_set(t.as_py(), memory=memory) for t in batch["_text"]]
+        some = [s for s in sets if len(s)]
+        rows = (r.tobytes() for r in registers(shingles.minima(some, BANDS * ROWS)))
+        return [
+            pa.array([len(s) for s in sets], pa.int64()),
+            pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
+            pa.array([next(rows) if len(s) else None for s in sets], pa.binary()),
+        ]
+
+    return of
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A key for each band of each text: its registers and the band's number, mixed."""
+    band = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     for batch in batches:
-        keys = np.frombuffer(b"".join(batch["sketch"].to_pylist()), "<i8")
-        node = np.repeat(batch["node"].to_numpy(), BANDS)
-        band = np.tile(np.arange(BANDS, dtype=np.int32), batch.num_rows)
-        yield pa.RecordBatch.from_arrays([pa.array(band), pa.array(keys), pa.array(node)], names=["band", "key", "node"])
+        keys = np.frombuffer(b"".join(batch["sketch"].to_pylist()), "<u8").reshape(-1, BANDS) ^ band
+        keys = (keys ^ (keys >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+        yield pa.RecordBatch.from_arrays([pa.array((keys ^ (keys >> np.uint64(29))).ravel().view(np.int64)), pa.array(np.repeat(batch["node"].to_numpy(), BANDS))], names=["key", "node"])
+
 
+def _estimate():
+    def of(batch: pa.RecordBatch) -> list[pa.Array]:
+        a, b = (np.frombuffer(b"".join(batch[c].to_pylist()), "<u2").reshape(batch.num_rows, -1) for c in ("sketch_a", "sketch_b"))
+        more, less = (a > b).sum(axis=1), (a < b).sum(axis=1)
+        return [pa.array(likely_jaccard(more, less, batch["n_a"].to_numpy().astype(float), batch["n_b"].to_numpy().astype(float)))]
 
-def _estimate(batch: pa.RecordBatch) -> list[pa.Array]:
-    a, b = (np.frombuffer(b"".join(batch[c].to_pylist()), "<u2").reshape(batch.num_rows, -1) for c in ("sketch_a", "sketch_b"))
-    more, less = (a > b).sum(axis=1), (a < b).sum(axis=1)
-    return [pa.array(likely_jaccard(more, less, batch["n_a"].to_numpy().astype(float), batch["n_b"].to_numpy().astype(float)))]
+    return of
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keeps the pairs whose full shingle sets are similar; rows of one a mostly come one after another."""
     share, of = shingles.SIMILAR
+    memory = shingles.Words()
     at, own = None, None
     for batch in batches:
         ok = []
         for a, text_a, text_b in zip(batch["a"].to_pylist(), batch["text_a"], batch["text_b"], strict=True):
             if a != at:
-                at, own = a, shingles.shingle_set(text_a.as_py())
-            other = shingles.shingle_set(text_b.as_py())
+                at, own = a, shingles.shingle_set(text_a.as_py(), memory=memory)
+            other = shingles.shingle_set(text_b.as_py(), memory=memory)
             both = len(np.intersect1d(own, other, assume_unique=True))
             ok.append(of * both >= share * (len(own) + len(other) - both))
-        yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(ok))
+        yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
-def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    memory = shingles.Words()
     for batch in batches:
-        for node, text in zip(batch["node"].to_pylist(), batch["text"], strict=True):
-            own = shingles.shingle_set(text.as_py()).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), node)), pa.array(own)], names=["node", "shingle"])
+        for part in slices(batch):
+            sets = [shingles.shingle_set(t.as_py(), memory=memory).view(np.int64) for t in part["text"]]
+            ends = np.cumsum([0, *map(len, sets)])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets)))
+            yield pa.RecordBatch.from_arrays([part["node"], lists], names=["node", "own"])
 
 
 class _Links:
-    """Finds and verifies links between the classes of equal shingle sets."""
+    """Finds and verifies links between the classes of equal shingle sets.
+
+    Texts meet in buckets of equal bands. A group of copies of one text meets in many buckets, and most pairs in it
+    needn't be looked at: first each text is tried with a leading text of its buckets, the one that meets most others,
+    which a copy of nearly all others is. Only buckets whose texts these links don't hold together are looked at
+    further. A pair of similarity 0.75 that no band holds and no group brings together is missed, once in 190,000 times.
+    """
 
-    def __init__(self, docs: DataFrame, classes: DataFrame) -> None:
+    def __init__(self, docs: DataFrame, classes: DataFrame, keep: Tables | None = None) -> None:
         self.docs, self.classes = docs, classes
+        self.keep = Tables() if keep is None else keep
 
-    def texts(self, nodes: DataFrame) -> DataFrame:
-        """node, text for a stored table of nodes; a class's text is that of the row its key names."""
-        wanted = stored(self.classes.join(bounded(nodes), "node", "left_semi").select("node", "k1", "k2"), "near-wanted")
-        return stored(self.docs.join(bounded(wanted), ["k1", "k2"]).select("node", "text"), "near-texts")
+    def texts_of(self, nodes: DataFrame) -> DataFrame:
+        """node, text for a stored table of nodes; a class's text is that of one of the rows its key names."""
+        wanted = self.keep(self.classes.join(bounded(nodes), "node", "left_semi").select("node", "k1", "k2"), "near-wanted")
+        found = self.docs.join(bounded(wanted), ["k1", "k2"]).select("node", "k1", "k2", "text")
+        # a row that repeats both key columns gives its node once
+        return self.keep(found.dropDuplicates(["node"]).select("node", "text"), "near-texts")
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
+    def verified(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
         """The links among pairs (a, b): first by likelihood from the sketches, then by full sets."""
         sketches = self.classes.select("node", "n", "sketch")
         side = lambda x: sketches.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
         both = pairs.join(side("a"), "a").join(side("b"), "b")
-        likely = stored(arrow_columns(both, _estimate, [("estimate", T.DoubleType())]).where(F.col("estimate") >= LIKELY).select("a", "b"), "near-likely")
-        nodes = stored(likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))).distinct(), "near-nodes")
-        texts = self.texts(nodes)
+        likely = self.keep(arrow_columns(both, _estimate, [("estimate", T.DoubleType())]).where(F.col("estimate") >= LIKELY).select("a", "b"), "near-likely")
         text_of = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}"))
-        return stored(likely.join(text_of("b"), "b").join(text_of("a"), "a").mapInArrow(_verify, "a long, b long").distinct(), "near-links")
-
-    def rare_pairs(self, nodes: DataFrame) -> DataFrame:
-        """Every pair (a, b) of nodes (node, label) of different labels that can be similar, by prefix filtering.
+        return self.keep(text_of("b").join(bounded(likely), "b").join(text_of("a"), "a").mapInArrow(_verify, "a long, b long").distinct(), "near-links")
+
+    def led(self, active: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Links of the texts with leaders of their buckets (key, node, meets), and the bucket rows still open after them:
+        those of texts that the bucket's leader isn't known to be connected with."""
+        leads = active.groupBy("key").agg(F.max(F.struct("meets", "node")).alias("lead"), F.count(F.lit(1)).alias("k")).where("k > 1")
+        leads = self.keep(leads.select("key", F.col("lead.node").alias("lead"), F.col("lead.meets").alias("lead_meets")), "near-leads")
+        tried = self.keep(active.join(bounded(leads), "key").where("node != lead"), "near-tried")
+        pairs = tried.groupBy("node").agg(F.max(F.struct("lead_meets", "lead")).alias("lead")).select(F.col("lead.lead").alias("a"), F.col("node").alias("b"))
+        links = self.verified(self.keep(pairs, "near-pairs"), texts)
+        # a text's label is its leader, or the leader's leader
+        leader = links.select(F.col("b").alias("node"), F.col("a").alias("label"))
+        upper = links.select(F.col("b").alias("label"), F.col("a").alias("upper"))
+        labels = self.keep(leader.join(bounded(upper, links), "label", "left").select("node", F.coalesce("upper", "label").alias("label")), "near-labels")
+        lead_labels = labels.select(F.col("node").alias("lead"), F.col("label").alias("lead_label"))
+        named = self.labelled(tried, labels).join(bounded(lead_labels, labels), "lead", "left")
+        return links, self.keep(named.where(F.col("label") != F.coalesce("lead_label", "lead")).select("key", "node", "meets"), "near-active")
+
+    def labelled(self, members: DataFrame, labels: DataFrame) -> DataFrame:
+        return members.join(bounded(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
 
-        Of two texts of similarity s, the larger (n shingles) has one of its n - ceil(s n) + 1 rarest shingles in
-        common with the m - ceil(2 s / (1 + s) m) + 1 rarest of the smaller, so that only those are joined; shingles
-        that are frequent among these nodes come last.
+    def labels(self) -> DataFrame:
+        """node, label for all nodes with links: the same label for those that links of texts with a bucket in common connect."""
+        bands = self.keep(self.classes.select("node", "sketch").mapInArrow(_bands, "key long, node long"), "near-bands")
+        shared = self.keep(bands.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "near-buckets")
+        members = self.keep(bands.join(bounded(shared), "key"), "near-members")
+        meets = self.keep(members.groupBy("node").agg(F.sum("k").alias("meets")), "near-meets")
+        texts = self.texts_of(meets)
+        active = members.select("key", "node").join(bounded(meets), "node")
+        links = None
+        for _ in range(ROUNDS):
+            found, active = self.led(active, texts)
+            links = found if links is None else links.unionByName(found)
+            if not rows_of(active):
+                break
+        labels = components(links)
+        self.keep.append(labels)
+        labelled = self.keep(self.labelled(members.select("key", "node"), labels), "near-labelled")
+        ends = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("node").alias("first")).where("low < high")
+        open_ = self.keep(ends.select("key", "first"), "near-open")
+        if not rows_of(open_):
+            return labels
+        rest = self.keep(labelled.join(bounded(open_), "key"), "near-rest")
+        # texts of open buckets that have texts in common are a group
+        own = rest.groupBy("node").agg(F.min("label").alias("label"))
+        groups = components(rest.select(F.col("node").alias("a"), F.col("first").alias("b")))
+        self.keep.append(groups)
+        grouped = self.keep(own.join(bounded(groups.withColumnRenamed("label", "grp"), groups), "node").select("node", "label", "grp"), "near-grouped")
+        sizes = self.keep(grouped.groupBy("grp").agg(F.count(F.lit(1)).alias("members")), "near-sizes")
+        sized = self.keep(grouped.join(bounded(sizes), "grp"), "near-sized")
+        few = rest.join(bounded(sized).where(F.col("members") <= SMALL_GROUP).select("node"), "node", "left_semi").select("key", "node", "label")
+        other = few.select("key", F.col("node").alias("b"), F.col("label").alias("label_b"))
+        pairs = few.join(other, "key").where("node < b and label != label_b").select(F.col("node").alias("a"), "b").distinct()
+        more = [self.verified(self.keep(pairs, "near-pairs"), texts)]
+        many = self.keep(sized.where(F.col("members") > SMALL_GROUP), "near-many")
+        if rows_of(many):
+            more += self.in_groups(many, texts)
+        if not sum(map(rows_of, more)):
+            return labels
+        for found in more:
+            links = links.unionByName(found)
+        labels = components(links)
+        self.keep.append(labels)
+        return labels
+
+    def in_groups(self, nodes: DataFrame, texts: DataFrame) -> list[DataFrame]:
+        """Links that connect all similar texts of a group, for nodes (node, label, grp, members); exact.
+
+        The core of a group holds the shingles that most of its texts have. What a text lacks of it, or has beside it,
+        is its difference D. With d = |D| and n shingles, texts are similar if ``g + g' <= 14 |D and D'|``, where
+        ``g = 7 d - n``. So the text of least g is similar to every text that has no part of D in common with some
+        similar text, and to all that are similar by their g alone. The others have one of the rarest of D in common: of
+        a similar pair each has that overlap, and by its own size at least ``(3 g - 4 n) / 21``, so that only so many of
+        D's elements are joined; edits that no other text has are in no join at all.
         """
+        sets = texts.join(bounded(nodes.select("node"), nodes), "node", "left_semi").mapInArrow(_set_rows, "node long, own array<long>")
+        sets = self.keep(sets.join(bounded(nodes), "node"), "near-sets")
+        counts = self.keep(sets.select("grp", "members", F.explode("own").alias("x")).groupBy("grp", "x").agg(F.count(F.lit(1)).alias("c"), F.first("members").alias("members")), "near-counts")
+        cores = self.keep(counts.where("2 * c > members").groupBy("grp").agg(F.collect_list("x").alias("core")), "near-cores")
+        core = F.coalesce("core", F.array().cast("array<long>"))
+        apart = sets.join(bounded(cores), "grp", "left").select(
+            "node", "label", "grp", F.size("own").alias("n"), F.concat(F.array_except("own", core), F.array_except(core, F.col("own"))).alias("apart")
+        )
+        apart = self.keep(apart.withColumn("d", F.size("apart")).withColumn("g", F.expr("7 * d - n")), "near-apart")
+        leads = apart.groupBy("grp").agg(F.min(F.struct("g", "node", "label")).alias("lead"))
+        leads = self.keep(leads.select("grp", F.col("lead.g").alias("least_g"), F.col("lead.node").alias("lead"), F.col("lead.label").alias("lead_label")), "near-group-leads")
+        led = apart.join(bounded(leads), "grp").withColumn("close", F.expr("g + least_g <= 0"))
+        links = self.keep(led.where("close AND node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b")), "near-led")
+
+        # rarest first; an element's count is that of the texts whose D holds it
+        common = F.expr("greatest(1, ceil((g + least_g) / 14), ceil((3 * g - 4 * n) / 21))")
+        rare = counts.select("grp", "x", F.expr("if(2 * c > members, members - c, c)").alias("c")).where("c > 1")
+        rare = self.keep(rare, "near-rare")
+        rows = led.where(common <= F.col("d")).select(
+            "node", "grp", "n", "d", "g", F.when(F.col("close"), F.col("lead_label")).otherwise(F.col("label")).alias("label"), common.alias("common"), F.explode("apart").alias("x")
+        )
+        ranked = rows.join(bounded(rare), ["grp", "x"], "left").groupBy("node", "grp", "n", "d", "g", "label", "common").agg(
+            F.sort_array(F.collect_list(F.struct(F.coalesce("c", F.lit(1)).alias("c"), "x"))).alias("all")
+        )
+        heads = ranked.select("node", "grp", "n", "d", "g", "label", F.posexplode(F.expr("slice(all, 1, cast(d - common + 1 AS int))")).alias("p", "s")).where("s.c > 1")
+        heads = self.keep(heads.select("node", "grp", "n", "d", "g", "label", "p", F.col("s.x").alias("x")), "near-heads")
+        other = heads.select("grp", "x", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "d", "g", "label", "p")])
         share, of = shingles.SIMILAR
-        rows = stored(self.texts(nodes.select("node")).mapInArrow(_shingle_rows, "node long, shingle long"), "near-shingles")
-        counts = stored(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "near-df")
-        ranked = rows.join(bounded(counts), "shingle", "left").select("node", F.struct(F.coalesce("df", F.lit(1)).alias("df"), "shingle").alias("s"))
-        head = F.expr(f"transform(slice(all, 1, size(all) - ceil({share} * size(all) / {of}) + 1), (s, i) -> struct(s.df, s.shingle, i AS place))")
-        prefix = ranked.groupBy("node").agg(F.sort_array(F.collect_list("s")).alias("all")).select("node", F.size("all").alias("n"), F.explode(F.filter(head, lambda s: s["df"] > 1)).alias("s"))
-        keyed = stored(prefix.join(bounded(nodes), "node").select("node", "n", "label", F.col("s.shingle").alias("shingle"), F.col("s.place").alias("place")), "near-prefix")
-        smaller = keyed.where(F.expr(f"place <= n - ceil({2 * share} * n / {of + share})")).select(
-            "shingle", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b")
+        close = F.expr(
+            f"node < node_b AND label != label_b AND {of} * least(n, n_b) >= {share} * greatest(n, n_b) AND g + g_b > 0 AND g + g_b <= 14 * least(d - p, d_b - p_b)"
         )
-        close = (F.col("n_b") * of >= F.col("n") * share) & (F.col("label") != F.col("label_b")) & (F.struct("n_b", "b") < F.struct("n", "node"))
-        return keyed.join(smaller, "shingle").where(close).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-
-    def labelled(self, members: DataFrame, labels: DataFrame | None) -> DataFrame:
-        if labels is None:
-            return members.withColumn("label", F.col("node"))
-        return members.join(bounded(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
-
-    def all(self) -> DataFrame:
-        bands = stored(self.classes.select("node", "sketch").mapInArrow(_bands, "band int, key long, node long"), "near-bands")
-        buckets = bands.groupBy("band", "key").agg(F.count(F.lit(1)).alias("k"))
-        shared = stored(buckets.where("k > 1"), "near-buckets")
-        members = stored(bands.join(bounded(shared), ["band", "key"]), "near-members")
-        # first rounds that try a text with the leading text of one of its buckets, each round with other leaders: a
-        # pair for a text at most, and enough to tie up most groups of copies
-        links, labels = None, None
-        for turn in range(ROUNDS):
-            labelled = self.labelled(members, labels)
-            order = F.struct(F.xxhash64("node", F.lit(turn)), "node", "label")
-            leads = labelled.groupBy("band", "key").agg(F.min(order).alias("lead"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-            leads = stored(leads.select("band", "key", F.col("lead.node").alias("lead"), F.col("lead.label").alias("lead_label")), "near-leads")
-            if not leads.take(1):
-                break
-            apart = labelled.join(bounded(leads), ["band", "key"]).where("label != lead_label")
-            pairs = apart.groupBy("node").agg(F.min(F.struct(F.xxhash64("lead", F.lit(turn)), "lead")).alias("lead")).select(F.col("lead.lead").alias("a"), F.col("node").alias("b"))
-            found = self.verified(stored(pairs, "near-pairs"))
-            links = found if links is None else links.unionByName(found)
-            labels = stored(components(links), "near-labels")
-        if links is None:
-            return self.classes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-        # then every pair of a bucket whose texts these links don't hold together
-        labelled = stored(self.labelled(members, labels), "near-labelled")
-        loose = labelled.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-        open_ = stored(loose.select("band", "key"), "near-open")
-        rest = stored(labelled.join(bounded(open_), ["band", "key"], "left_semi"), "near-rest")
-        few = rest.where(F.col("k") <= LARGE_BUCKET).select("band", "key", "node", "label")
-        other = few.select("band", "key", F.col("node").alias("b"), F.col("label").alias("label_b"))
-        pairs = few.join(other, ["band", "key"]).where("node < b and label != label_b").select(F.col("node").alias("a"), "b").distinct()
-        links = links.unionByName(self.verified(stored(pairs, "near-pairs")))
-        many = stored(rest.where(F.col("k") > LARGE_BUCKET).groupBy("node").agg(F.min("label").alias("label")), "near-many")
-        if many.count():
-            links = links.unionByName(self.verified(stored(self.rare_pairs(many), "near-pairs")))
-        return links
+        pairs = self.keep(heads.join(other, ["grp", "x"]).where(close).select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct(), "near-rare-pairs")
+        of_node = lambda x: apart.select(F.col("node").alias(x), F.col("g").alias(f"g_{x}"), F.col("apart").alias(f"apart_{x}"))
+        both = pairs.join(of_node("b"), "b").join(of_node("a"), "a").where("g_a + g_b <= 14 * size(array_intersect(apart_a, apart_b))")
+        return [links, self.keep(both.select("a", "b"), "near-links")]
 
 
 def _source(docs: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -191,20 +260,21 @@ def _source(docs: DataFrame, id_col: str, text: str) -> DataFrame:
 
 def near_decisions(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each row of docs: k1, k2 (its key), doc_id, n_shingles, component_id, kept. See near_dedup()."""
+    keep = Tables()
     source = _source(docs, id_col, text).select("k1", "k2", "_id", "_text")
     sketched = arrow_columns(source, _sketch, [("n", T.LongType()), ("set", T.BinaryType()), ("sketch", T.BinaryType())], drop=["_text"])
-    rows = stored(sketched, "near-rows")
+    rows = keep(sketched, "near-rows")
     per_set = rows.where("n > 0").groupBy("set").agg(
         F.count(F.lit(1)).alias("copies"), F.min("_id").alias("least"), F.min(F.struct("k1", "k2")).alias("rep"),
         F.first("n").alias("n"), F.first("sketch").alias("sketch"),
     )
-    classes = stored(per_set.select("set", "copies", "least", "rep.k1", "rep.k2", "n", "sketch", F.monotonically_increasing_id().alias("node")), "near-classes")
-    links = _Links(source.select("k1", "k2", F.col("_text").alias("text")), classes).all()
-    labels = stored(components(links), "near-labels")
-    named = stored(classes.select("set", "copies", "least", "node").join(bounded(labels), "node", "left").withColumn("label", F.coalesce("label", "node")), "near-named")
-    smallest = stored(named.groupBy("label").agg(F.min("least").alias("component_id"), F.sum("copies").alias("rows")).where("rows > 1"), "near-smallest")
-    of_set = stored(named.join(bounded(smallest), "label").select("set", "component_id", F.lit(True).alias("grouped")), "near-sets")
+    classes = keep(per_set.select("set", "copies", "least", "rep.k1", "rep.k2", "n", "sketch", F.monotonically_increasing_id().alias("node")), "near-classes")
+    labels = _Links(source.select("k1", "k2", F.col("_text").alias("text")), classes, keep).labels()
+    named = keep(classes.select("set", "copies", "least", "node").join(bounded(labels), "node", "left").withColumn("label", F.coalesce("label", "node")), "near-named")
+    smallest = keep(named.groupBy("label").agg(F.min("least").alias("component_id"), F.sum("copies").alias("rows")).where("rows > 1"), "near-smallest")
+    of_set = keep(named.join(bounded(smallest), "label").select("set", "component_id", F.lit(True).alias("grouped")), "near-sets")
     decided = rows.join(bounded(of_set), "set", "left").withColumn("component_id", F.when(F.col("grouped"), F.col("component_id")).otherwise(F.col("_id")))
+    keep.drop(rows, of_set)
     return decided.select("k1", "k2", F.col("_id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", F.col("_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 

@@ -10,7 +10,7 @@ is fitted on rows which the weights haven't seen.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,7 +34,7 @@ STRETCH = 64
 SHORT = 4
 #: Labelled rows to learn from at most (about, drawn by a hash of the id); a fifth of them fits the temperature.
 SAMPLE = 20_000
-MEMO_WORDS = 400_000
+MEMO_WORDS = 100_000
 #: Scores from this on are predicted to be good.
 GOOD = 0.7
 REPEAT = 0
@@ -53,7 +53,7 @@ INDEX = _index_vectors()
 _RUNS = re.compile(r"(.)\1+", re.S)
 
 
-class _Terms(dict):
+class Terms(dict):
     """word -> hashed term; bounded."""
 
     def __missing__(self, word: bytes) -> int:
@@ -68,13 +68,10 @@ class _Terms(dict):
         return out
 
 
-_TERMS = _Terms()
-
-
-def terms(text: str | None) -> np.ndarray:
+def terms(text: str | None, memory: Terms | None = None) -> np.ndarray:
     """Hashed terms of a whole text, in order."""
     words = (text or "").encode("utf-8", "surrogatepass").split()
-    out = np.fromiter(map(_TERMS.__getitem__, words), np.uint16, len(words))
+    out = np.fromiter(map((Terms() if memory is None else memory).__getitem__, words), np.uint16, len(words))
     if len(words) > 1:
         same = np.fromiter((a == b for a, b in zip(words[1:], words[:-1], strict=True)), bool, len(words) - 1)
         out[1:][same] = REPEAT
@@ -200,8 +197,12 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text
     empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
-    made = arrow_columns(rows, lambda b: [pa.array([terms(t).astype("<u2").tobytes() for t in b["text"].to_pylist()], pa.binary())], [("codes", T.BinaryType())], drop=["text"])
-    codes = stored(made, "quality-codes")
+
+    def coded() -> Callable[[pa.RecordBatch], list[pa.Array]]:
+        memory = Terms()
+        return lambda batch: [pa.array([terms(t.as_py(), memory).astype("<u2").tobytes() for t in batch["text"]], pa.binary())]
+
+    codes = stored(arrow_columns(rows, coded, [("codes", T.BinaryType())], drop=["text"]), "quality-codes")
     shared = docs.sparkSession.sparkContext.broadcast(word_vectors(codes))
 
     known = labels.where(F.col("quality").isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
@@ -211,7 +212,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text
     def pool(batch: pa.RecordBatch) -> list[pa.Array]:
         return [pa.array([pooled(np.frombuffer(c, "<u2"), shared.value).tobytes() for c in batch["codes"].to_pylist()], pa.binary())]
 
-    learn = sorted(arrow_columns(codes.join(F.broadcast(drawn), "doc_id"), pool, [("x", T.BinaryType())], drop=["codes"]).collect())  # bounded by sample
+    learn = sorted(arrow_columns(codes.join(F.broadcast(drawn), "doc_id"), lambda: pool, [("x", T.BinaryType())], drop=["codes"]).collect())  # bounded by sample
     x = np.array([np.frombuffer(r["x"], np.float32) for r in learn], np.float64).reshape(len(learn), 6 * DIM)
     net = docs.sparkSession.sparkContext.broadcast(train(x, np.array([r["quality"] for r in learn], np.int64)))
 
@@ -219,7 +220,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text
         p = net.value.probabilities(np.array([pooled(np.frombuffer(c, "<u2"), shared.value) for c in batch["codes"].to_pylist()], np.float64))
         return [pa.array(p), pa.array((p >= GOOD).astype(np.int32))]
 
-    return arrow_columns(codes, scored, [("score", T.DoubleType()), ("predicted", T.IntegerType())], drop=["codes"])
+    return arrow_columns(codes, lambda: scored, [("score", T.DoubleType()), ("predicted", T.IntegerType())], drop=["codes"])
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,31 +10,32 @@ import xxhash
 #: Words in a shingle, and the share of shingles in common that makes texts near duplicates (as a fraction).
 WIDTH = 5
 SIMILAR = (75, 100)
-#: Words remembered at most.
-MEMO_WORDS = 400_000
+#: Words remembered at most, by a task.
+MEMO_WORDS = 100_000
 _MULTIPLIER, _FINAL = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
-class _Words(dict):
+class Words(dict):
+    """word -> hash: the memory of a task, bounded."""
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) > MEMO_WORDS:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= 64:
+            if len(self) >= MEMO_WORDS:
+                self.clear()
+            self[word] = h
         return h
 
 
-_WORDS = _Words()
-
-
-def word_hashes(text: str | None) -> np.ndarray:
+def word_hashes(text: str | None, memory: Words | None = None) -> np.ndarray:
     """A hash for each word ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z lower-cased."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map((Words() if memory is None else memory).__getitem__, words), np.uint64, len(words))
 
 
-def shingle_hashes(text: str | None, width: int = WIDTH) -> np.ndarray:
+def shingle_hashes(text: str | None, width: int = WIDTH, memory: Words | None = None) -> np.ndarray:
     """A hash for each shingle in the order of the text; a shorter text is one shingle, one without words has none."""
-    w = word_hashes(text)
+    w = word_hashes(text, memory)
     if not len(w):
         return w
     n = max(1, len(w) - width + 1)
@@ -47,9 +48,9 @@ def shingle_hashes(text: str | None, width: int = WIDTH) -> np.ndarray:
     return h
 
 
-def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
+def shingle_set(text: str | None, width: int = WIDTH, memory: Words | None = None) -> np.ndarray:
     """The distinct shingle hashes, ascending."""
-    return np.unique(shingle_hashes(text, width))
+    return np.unique(shingle_hashes(text, width, memory))
 
 
 def minima(sets: Sequence[np.ndarray], registers: int, seed: int = 1) -> np.ndarray:

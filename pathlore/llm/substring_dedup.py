@@ -22,8 +22,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathlore.llm._common import read, stored, text_or_empty
-from pathlore.llm.components import bounded
+from pathlore.llm._common import bounded, read, stored, text_or_empty
 from pathlore.llm.suffixes import common_prefixes, suffix_array
 
 LENGTH, ANCHOR = 50, 20

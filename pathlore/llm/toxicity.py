@@ -7,7 +7,7 @@ hashed words and stems of a text, log(1 + count). The score is the expected grad
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,8 +22,8 @@ from pathlore.llm._common import arrow_columns, packed, read, stored, text_or_em
 
 #: Hashed words, rows to fit on at most (about, drawn by a hash of the id), and words that may have a weight.
 SPACE, SAMPLE, FEATURES = 1 << 22, 20_000, 2048
-#: Lengths of stems in characters, and words remembered at most.
-STEMS, MEMO_WORDS = (4, 5, 6), 400_000
+#: Lengths of stems in characters, and words that a task remembers at most.
+STEMS, MEMO_WORDS = (4, 5, 6), 100_000
 #: Rows of which so few have a word, or whose grades it tells apart by fewer standard errors, give it no weight.
 LEAST_ROWS, LEAST_Z = 3, 3.0
 #: Rejected are rows whose probability of a grade above 0 is at least this.
@@ -31,13 +31,13 @@ REJECT = 0.3
 _EDGE = re.compile(rb"^[\x00-/:-@\[-`{-\x7f]+|[\x00-/:-@\[-`{-\x7f]+$")
 
 
-class _Words(dict):
+class Words(dict):
     """word -> its row in ``slots``: hashes of the word, without what is no letter or digit at its ends, and of its
     first characters, which stand for a stem; bounded."""
 
     def __init__(self) -> None:
         super().__init__()
-        self.slots = np.zeros((1 << 16, 1 + len(STEMS)), np.int32)
+        self.slots = np.zeros((1 << 14, 1 + len(STEMS)), np.int32)
 
     def __missing__(self, word: bytes) -> int:
         if (row := len(self)) == len(self.slots):
@@ -48,18 +48,17 @@ class _Words(dict):
         self[word] = row
         return row
 
+    def rows(self, words: list[bytes]) -> np.ndarray:
+        if len(self) > MEMO_WORDS:
+            self.clear()
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return self.slots[at]
 
-_WORDS = _Words()
 
-
-def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+def features(text: str | None, memory: Words | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Hashed words and stems of a whole text, ascending, and their log(1 + count)."""
-    global _WORDS
-    if len(_WORDS) > MEMO_WORDS:
-        _WORDS = _Words()
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    rows = np.fromiter(map(_WORDS.__getitem__, words), np.int64, len(words))
-    slots = np.sort(_WORDS.slots[rows], axis=1)
+    slots = np.sort((Words() if memory is None else memory).rows(words), axis=1)
     fresh = np.concatenate([np.ones((len(slots), 1), bool), slots[:, 1:] != slots[:, :-1]], axis=1)  # a short word is its own stem
     found, counts = np.unique(slots[fresh], return_counts=True)
     return found, np.log1p(counts).astype(np.float32)
@@ -144,9 +143,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str =
     drawn = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text).alias("text")).join(F.broadcast(drawn), "id")
 
-    def of(batch: pa.RecordBatch) -> list[pa.Array]:
-        made = [features(t) for t in batch["text"].to_pylist()]
-        return [pa.array([s.astype("<i4").tobytes() for s, _ in made], pa.binary()), pa.array([v.astype("<f4").tobytes() for _, v in made], pa.binary())]
+    def of() -> Callable[[pa.RecordBatch], list[pa.Array]]:
+        memory = Words()
+
+        def found(batch: pa.RecordBatch) -> list[pa.Array]:
+            made = [features(t.as_py(), memory) for t in batch["text"]]
+            return [pa.array([s.astype("<i4").tobytes() for s, _ in made], pa.binary()), pa.array([v.astype("<f4").tobytes() for _, v in made], pa.binary())]
+
+        return found
 
     found = stored(arrow_columns(rows, of, [("slots", T.BinaryType()), ("values", T.BinaryType())], drop=["text"]), "toxicity-features")
     # the words that tell grades apart are chosen from counts, so that the driver gets no other feature
@@ -165,7 +169,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str =
         return [pa.array([o[i] for o in out], pa.binary()) for i in (0, 1)]
 
     new = [("own", T.BinaryType()), ("value", T.BinaryType())]
-    got = sorted(arrow_columns(found, chosen, new, drop=["slots", "values"]).select("id", "own", "value", "toxic").collect())  # bounded by sample
+    got = sorted(arrow_columns(found, lambda: chosen, new, drop=["slots", "values"]).select("id", "own", "value", "toxic").collect())  # bounded by sample
     sparse = [(np.frombuffer(r["own"], "<i4"), np.frombuffer(r["value"], "<f4")) for r in got]
     return fit(sparse, severity(sparse, np.array([r["toxic"] for r in got], np.int64)))
 
@@ -182,18 +186,25 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def score(docs: DataFrame, model: OrdinalModel, text: str = "text", columns: list[str] | None = None) -> DataFrame:
     """docs (or those columns of it) with severity (the expected grade), p_toxic (of a grade above 0) and toxic
-    (p_toxic >= REJECT); own columns of these names give way. Without labelled rows nothing is toxic. Every whole text is scored; null and empty texts have
-    no features and the grades of the cuts alone, but are never toxic. Other columns and repeated rows make no
+    (p_toxic >= REJECT); own columns of these names give way. Without labelled rows nothing is toxic. Every whole text
+    is scored; null and empty texts have no features and the grades of the cuts alone, but are never toxic. Ids aren't
+    read: null, tied and repeated ones are scored like others, by their text. Repeated rows and other columns make no
     difference; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of bounded size
     own = docs.columns if columns is None else columns
     rows = docs.select(packed(docs.select(*[F.col(f"`{c}`") for c in own])), text_or_empty(F.col(f"`{text}`")).alias("_text"))
 
-    def scored(batch: pa.RecordBatch) -> list[pa.Array]:
-        p = shared.value.grades(np.array([shared.value.logit(features(t)) for t in batch["_text"].to_pylist()]))
-        some = np.array([bool(t.strip()) for t in batch["_text"].to_pylist()])
-        return [pa.array(p @ np.arange(p.shape[1])), pa.array(1 - p[:, 0]), pa.array((1 - p[:, 0] >= REJECT) & some)]
+    def scored() -> Callable[[pa.RecordBatch], list[pa.Array]]:
+        memory = Words()
+
+        def of(batch: pa.RecordBatch) -> list[pa.Array]:
+            texts = batch["_text"].to_pylist()
+            p = shared.value.grades(np.array([shared.value.logit(features(t, memory)) for t in texts]))
+            some = np.array([bool(t.strip()) for t in texts])
+            return [pa.array(p @ np.arange(p.shape[1])), pa.array(1 - p[:, 0]), pa.array((1 - p[:, 0] >= REJECT) & some)]
+
+        return of
 
     new = [("severity", T.DoubleType()), ("p_toxic", T.DoubleType()), ("toxic", T.BooleanType())]
     return unpacked(arrow_columns(rows, scored, new, drop=["_text"]), own, [n for n, _ in new])

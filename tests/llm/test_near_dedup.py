@@ -6,6 +6,7 @@ import pytest
 
 from pathlore.llm import near_dedup as nd
 from pathlore.llm import shingles
+from pathlore.llm._common import stored
 from pathlore.llm.components import components
 from pathlore.llm.near_dedup import likely_jaccard, near_decisions, op9_near_dedup, registers
 
@@ -73,22 +74,47 @@ def copies(seed, n, base_words=60, groups=3):
     return out
 
 
-@pytest.mark.parametrize("large", [48, 3])
-def test_groups_of_copies_lose_no_link(spark, monkeypatch, large):
-    monkeypatch.setattr(nd, "LARGE_BUCKET", large)
-    rows = copies(large, 240)
+@pytest.mark.parametrize(("small", "rounds"), [(32, 2), (3, 1), (0, 0)])
+def test_groups_of_copies_lose_no_link(spark, monkeypatch, small, rounds):
+    monkeypatch.setattr(nd, "SMALL_GROUP", small)
+    monkeypatch.setattr(nd, "ROUNDS", max(1, rounds))
+    if not rounds:  # no pair that a leader makes is thought likely, so that groups are compared as they are
+        monkeypatch.setattr(nd._Links, "verified", lambda self, pairs, texts: self.keep(pairs.limit(0), "none"))
+    rows = copies(small, 240)
+    rows += rows[::7]  # repeated rows lose none either
     assert got(near_decisions(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))) == brute(rows)
 
 
-def test_rare_pairs_find_every_similar_pair(spark):
+@pytest.mark.parametrize("with_base", [True, False])
+def test_a_star_of_copies(spark, with_base):
+    """Copies that are near one text, but not near each other; and the same without that text."""
+    rng = random.Random(11)
+    base = ["b%d" % i for i in range(100)]
+    rows = [(5, " ".join(base)), (5, " ".join(base))] if with_base else []
+    for i in range(10, 610):
+        text = list(base)
+        for at in rng.sample(range(100), 2 if i % 3 else 4):
+            text[at] = "x%d-%d" % (i, at)
+        rows.append((i, " ".join(text)))
+    assert got(near_decisions(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))) == brute(rows)
+
+
+def test_groups_find_every_similar_pair(spark):
+    """One group, no buckets, no leaders: what in_groups() links connects what links of any pair connect."""
     rows = copies(5, 90)
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    classes = docs.selectExpr("doc_id AS node", "doc_id AS k1", "xxhash64(text) AS k2")
-    finder = nd._Links(docs.selectExpr("doc_id AS k1", "xxhash64(text) AS k2", "text"), classes)
-    pairs = {tuple(r) for r in finder.rare_pairs(classes.selectExpr("node", "node AS label")).collect()}
+    docs = spark.createDataFrame(rows + rows[:20], "doc_id long, text string")
+    keyed = docs.selectExpr("doc_id AS node", "doc_id AS k1", "xxhash64(text) AS k2")
+    finder = nd._Links(docs.selectExpr("doc_id AS k1", "xxhash64(text) AS k2", "text"), keyed.distinct())
+    nodes = stored(keyed.selectExpr("node", "node AS label", "0L AS grp", "90L AS members").distinct(), "nodes")
+    found = finder.in_groups(nodes, finder.texts_of(nodes.select("node").transform(lambda t: stored(t, "nodes"))))
+    links = found[0].unionByName(found[1])
     sets = [sets_of(t) for _, t in rows]
-    want = {(i, j) for i in range(90) for j in range(i + 1, 90) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
-    assert want and want <= pairs
+    similar = lambda i, j: 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])
+    pairs = {tuple(sorted(r)) for r in links.collect()}
+    assert pairs and all(similar(*p) for p in pairs)
+    label = {r.node: r.label for r in components(links).collect()}
+    want = [(i, j) for i in range(90) for j in range(i + 1, 90) if similar(i, j)]
+    assert want and all(label[i] == label[j] for i, j in want)
 
 
 def test_odd_rows(spark, odd, empty):

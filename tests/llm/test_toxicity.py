@@ -37,11 +37,13 @@ def test_ordinal_fit_shares_weights_and_orders_grades():
 
 def test_memory_of_words_is_bounded(monkeypatch):
     monkeypatch.setattr(tx, "MEMO_WORDS", 50)
-    before = [tx.features("alpha beta %d" % i) for i in range(3)]
+    memory = tx.Words()
+    before = [tx.features("alpha beta %d" % i, memory) for i in range(3)]
     for i in range(300):
-        tx.features("x%d" % i)
+        tx.features("x%d" % i, memory)
+        assert len(memory) < 60
     for i, (slots, values) in enumerate(before):
-        again = tx.features("alpha beta %d" % i)
+        again = tx.features("alpha beta %d" % i, memory)
         assert (again[0] == slots).all() and (again[1] == values).all()
 
 
