@@ -1,10 +1,11 @@
 """Repeated byte strings removed, by suffix arrays over shards that bring equal strings together.
 
 A string of LENGTH bytes holds a selected anchor: of its ANCHOR-byte pieces, those of least hash. Anchors that two
-documents have are found by their hashes; the bytes about each (every string that holds the anchor lies within them)
+documents have are found by their hashes; the bytes about each (the strings whose first anchor of least hash it is)
 go to the shard of the anchor's bytes. A shard's suffix array and common prefixes give its equal strings, and each
 that a smaller document has too is removed. Pieces and contexts that repeat within a batch are settled there, so that
-a very frequent passage reaches a shard once for each batch, not once for each document.
+a very frequent passage reaches a shard once for each batch, not once for each document. A context that shares with no
+other document any of the pieces of which each of its strings holds one isn't sorted.
 
 An anchor with more contexts than a shard should have is hot: its contexts may all differ, and would all go to one
 shard. Each of their strings that hold it goes to the shard of the string's own 128-bit hash instead, once for each
@@ -31,8 +32,8 @@ SPAN = 2 * LENGTH - ANCHOR  # bytes about an anchor that its strings can reach
 BATCH_BYTES, SHARD_BYTES = 4 << 20, 3 << 20
 #: Occurrences in a batch from which a piece counts as shared though one row has them all, so that one entry stands for them.
 MANY = 64
-#: Contexts whose strings are made at once, and bytes of a string's entry.
-STRINGS_AT_ONCE, STRING_BYTES = 1 << 14, 40
+#: Contexts that are made at once, those whose strings are made at once, and bytes of a string's entry.
+CONTEXTS_AT_ONCE, STRINGS_AT_ONCE, STRING_BYTES = 1 << 17, 1 << 14, 40
 #: A byte that UTF-8 never has.
 OUTSIDE = 0xFF
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -229,6 +230,40 @@ def _settled(context: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return gone, ~gone
 
 
+def _ranges(doc: np.ndarray, place: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For anchors of documents, in order of place: the first and the last start of the strings that are each one's own,
+    those in which it is the first of least hash. Equal strings have equal anchors, so it is at one place in them."""
+    reach = LENGTH - ANCHOR
+    low, high = place - reach, place.copy()
+    step = 1
+    while step < len(place):
+        near = np.flatnonzero((doc[step:] == doc[:-step]) & (place[step:] - place[:-step] <= reach))
+        if not len(near):
+            break
+        later, less = near + step, h[near + step] < h[near]
+        low[later[~less]] = np.maximum(low[later[~less]], place[near[~less]] + 1)
+        high[near[less]] = np.minimum(high[near[less]], place[later[less]] - reach - 1)
+        step += 1
+    return low, high
+
+
+def _met(context: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Contexts one of whose strings may be in a context of another key: each string holds one of these three pieces whole."""
+    out, n = np.zeros(len(context), bool), 2 * ANCHOR
+    for o in range(LENGTH - 2 * ANCHOR, LENGTH - ANCHOR + 1, ANCHOR // 2):
+        piece = np.ascontiguousarray(context[:, o : o + n])
+        own = np.flatnonzero((piece != OUTSIDE).all(axis=1))
+        if not len(own):
+            continue
+        words = piece[own].view("<u8")
+        h = _mixed([words[:, i] for i in range(words.shape[1])])
+        order = np.argsort(h, kind="stable")
+        starts = _runs(h[order])
+        several = np.minimum.reduceat(key[own][order], starts) != np.maximum.reduceat(key[own][order], starts)
+        out[own[order[np.repeat(several, np.diff(np.append(starts, len(h))))]]] = True
+    return out
+
+
 def _gone(h1: np.ndarray, h2: np.ndarray, key: np.ndarray) -> np.ndarray:
     """Which of the strings of these hashes have a larger key than the least of equal ones."""
     order = np.lexsort((key, h2, h1))
@@ -269,47 +304,58 @@ def _context_rows(parts: int, hot: np.ndarray, hot_parts: int, anchor_parts: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _batches(batches):
-            context, doc, at = [], [], []
-            for i, (text, data) in enumerate(zip(rows["text"], rows["places"], strict=True)):
-                places = np.frombuffer(data, "<u4").astype(np.int64)
-                b = np.frombuffer(bytes([OUTSIDE]) * (LENGTH - ANCHOR) + text.encode() + bytes([OUTSIDE]) * LENGTH, np.uint8)
-                context.append(np.lib.stride_tricks.sliding_window_view(b, SPAN)[places])
-                doc.append(np.full(len(places), i))
-                at.append(places - (LENGTH - ANCHOR))
-            context, doc, at = np.concatenate(context), np.concatenate(doc), np.concatenate(at)
+            texts = [t.encode() for t in rows["text"]]
+            edge = bytes([OUTSIDE]) * LENGTH
+            data = np.frombuffer(edge[: LENGTH - ANCHOR] + b"".join(t + edge for t in texts), np.uint8)
+            sizes = np.array([len(t) for t in texts], np.int64)
+            base = np.cumsum(sizes + LENGTH) - sizes - LENGTH
+            places = [np.frombuffer(d, "<u4") for d in rows["places"]]
+            doc, at = np.repeat(np.arange(len(texts)), [len(x) for x in places]), np.concatenate(places).astype(np.int64) - (LENGTH - ANCHOR)
+            starts = base[doc] + at + LENGTH - ANCHOR
+            word = np.lib.stride_tricks.sliding_window_view(data, 8)
+            h = _mixed([word[starts + LENGTH - ANCHOR + o].view("<u8").ravel() for o in (0, 8, ANCHOR - 8)])
+            low, high = _ranges(doc, at + LENGTH - ANCHOR, h)
+            low, high = np.maximum(low, 0), np.minimum(high, sizes[doc] - LENGTH)
+            own = np.flatnonzero(low <= high)
+            high += LENGTH
             rids, keys = np.array(rows["rid"], np.int64), np.array(rows["k1"], np.int64)
-            gone, stays = _settled(context, keys[doc])
-            sizes = np.array([len(t.encode()) for t in rows["text"]], np.int64)[doc]
-            spans = [(rids[doc[gone]], np.maximum(at[gone], 0), np.minimum(at + SPAN, sizes)[gone])]
-            out = []
-            piece = np.ascontiguousarray(context[:, LENGTH - ANCHOR : LENGTH])
-            words = [np.ascontiguousarray(piece[:, o : o + 8]).view("<u8").ravel() for o in (0, 8, ANCHOR - 8)]
-            h = _mixed(words)
-            if len(hot):
-                apart = stays & np.isin((h >> np.uint64(40)) % np.uint64(anchor_parts) << np.uint64(40) | h & np.uint64((1 << 40) - 1), hot)
-                stays &= ~apart
-                for made in _strings(context[apart], rids[doc[apart]], keys[doc[apart]], at[apart]):
-                    least = ~_gone(*made[:3])
-                    spans.append(tuple(x[~least] for x in made[3:]))
-                    part = parts + (made[0][least] % np.uint64(hot_parts)).astype(np.int64)
-                    order = np.argsort(part, kind="stable")
-                    kept = [x[least][order].astype(t) for x, t in zip(made, _ENTRY, strict=True)]
-                    starts = _runs(part[order])
-                    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(order)], strict=False):
-                        out.append((int(part[order[a]]), None, None, None, np.array([b - a], "<u4").tobytes() + b"".join(x[a:b].tobytes() for x in kept)))
-            out += [(r % parts, r, a, b, None) for r, a, b in _covered(*(np.concatenate(x) for x in zip(*spans, strict=True)))]
-            part = (h % np.uint64(parts)).astype(np.int64)
-            keep = np.flatnonzero(stays)
-            keep = keep[np.argsort(part[keep], kind="stable")]
-            for group in np.split(keep, _runs(part[keep])[1:]) if len(keep) else []:
-                docs, own = np.unique(doc[group], return_inverse=True)
-                head = np.array([len(group), len(docs)], "<u4").tobytes() + rids[docs].astype("<i8").tobytes() + keys[docs].astype("<i8").tobytes()
-                data = head + at[group].astype("<i4").tobytes() + own.astype("<u2").tobytes() + context[group].tobytes()
-                out.append((int(part[group[0]]), None, None, None, data))
+            window = np.lib.stride_tricks.sliding_window_view(data, SPAN)
+            out: list[tuple] = []
+            for some in np.split(own, range(CONTEXTS_AT_ONCE, len(own), CONTEXTS_AT_ONCE)):
+                out += of(window[starts[some]], rids[doc[some]], keys[doc[some]], at[some], h[some], low[some], high[some])
             if out:
                 kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], names=["part", "rid", "low", "high", "data"])
 
+    def of(context: np.ndarray, rid: np.ndarray, key: np.ndarray, at: np.ndarray, h: np.ndarray, low: np.ndarray, high: np.ndarray) -> list[tuple]:
+        column = np.arange(SPAN)
+        context[(column < (low - at)[:, None]) | (column >= (high - at)[:, None])] = OUTSIDE
+        gone, stays = _settled(context, key)
+        spans, out = [(rid[gone], low[gone], high[gone])], []
+        if len(hot):
+            apart = stays & np.isin((h >> np.uint64(40)) % np.uint64(anchor_parts) << np.uint64(40) | h & np.uint64((1 << 40) - 1), hot)
+            stays &= ~apart
+            for made in _strings(context[apart], rid[apart], key[apart], at[apart]):
+                least = ~_gone(*made[:3])
+                spans.append(tuple(x[~least] for x in made[3:]))
+                part = parts + (made[0][least] % np.uint64(hot_parts)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                kept = [x[least][order].astype(t) for x, t in zip(made, _ENTRY, strict=True)]
+                starts = _runs(part[order])
+                for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(order)], strict=False):
+                    out.append((int(part[order[a]]), None, None, None, np.array([b - a], "<u4").tobytes() + b"".join(x[a:b].tobytes() for x in kept)))
+        out += [(r % parts, r, a, b, None) for r, a, b in _covered(*(np.concatenate(x) for x in zip(*spans, strict=True)))]
+        part = (h % np.uint64(parts)).astype(np.int64)
+        keep = np.flatnonzero(stays)
+        keep = keep[np.argsort(part[keep], kind="stable")]
+        for group in np.split(keep, _runs(part[keep])[1:]) if len(keep) else []:
+            docs, own = np.unique(rid[group], return_inverse=True)
+            keys = np.empty(len(docs), np.int64)
+            keys[own] = key[group]
+            head = np.array([len(group), len(docs)], "<u4").tobytes() + docs.astype("<i8").tobytes() + keys.astype("<i8").tobytes()
+            out.append((int(part[group[0]]), None, None, None, head + at[group].astype("<i4").tobytes() + own.astype("<u2").tobytes() + context[group].tobytes()))
+        return out
+
     return run
 
 
@@ -331,20 +377,26 @@ def _repeats(rows: pd.DataFrame) -> pd.DataFrame:
         inside = context != OUTSIDE
         first, last = np.argmax(inside, axis=1), SPAN - np.argmax(inside[:, ::-1], axis=1)
         spans = [(rid[gone], (at + first)[gone], (at + last)[gone])]
+        stays[stays] = _met(context[stays], key[stays])
         rid, key, at, context = rid[stays], key[stays], at[stays], context[stays]
-        text = np.concatenate([context, np.full((len(context), 1), OUTSIDE, np.uint8)], axis=1).ravel()
+        # each context's bytes and one that ends it
+        text = np.concatenate([context, np.full((len(context), 1), OUTSIDE, np.uint8)], axis=1)
+        held = text != OUTSIDE
+        held[:, -1] = True
+        own, column = (x.astype(np.int32) for x in np.nonzero(held))
+        text = text[held]
         sa = suffix_array(text)
         shared = common_prefixes(text, sa)[sa] >= LENGTH
         whole = np.zeros(len(text), bool)
         bad = np.concatenate([[0], np.cumsum(text == OUTSIDE)])
         whole[: len(text) - LENGTH + 1] = bad[LENGTH:] == bad[: len(bad) - LENGTH]
         starts = np.flatnonzero(~shared)
-        least = np.minimum.reduceat(key[sa // (SPAN + 1)], starts)
-        sizes = np.diff(np.append(starts, len(sa)))
-        own = sa // (SPAN + 1)
-        hit = sa[whole[sa] & (key[own] > np.repeat(least, sizes))]
-        low = at[hit // (SPAN + 1)] + hit % (SPAN + 1)
-        spans.append((rid[hit // (SPAN + 1)], low, low + LENGTH))
+        if len(sa):
+            least = np.minimum.reduceat(key[own[sa]], starts)
+            sizes = np.diff(np.append(starts, len(sa)))
+            hit = sa[whole[sa] & (key[own[sa]] > np.repeat(least, sizes))]
+            low = at[own[hit]] + column[hit]
+            spans.append((rid[own[hit]], low, low + LENGTH))
         out += _covered(*(np.concatenate(x) for x in zip(*spans, strict=True)))
     return pd.DataFrame(out, columns=["rid", "low", "high"])
 
@@ -413,7 +465,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     places = placed.where("rid IS NOT NULL")
     about = places.select(F.sum(F.octet_length("places"))).first()[0] or 0
     shards = max(8, about // 4 * SPAN // SHARD_BYTES)
-    contexts = rest.select("rid", "k1", "text").join(bounded(places), "rid").mapInArrow(_context_rows(shards, hot, hot_parts, parts), "part long, rid long, low binary, high binary, data binary")
+    contexts = rest.select("rid", "k1", "text").join(bounded(places, placed), "rid").mapInArrow(_context_rows(shards, hot, hot_parts, parts), "part long, rid long, low binary, high binary, data binary")
 
     def repeats(rows: pd.DataFrame) -> pd.DataFrame:
         return (_repeats if rows["part"].iloc[0] < shards else _equal_strings)(rows)

@@ -76,6 +76,14 @@ def test_shared_passages_ties_and_batches(spark, monkeypatch):
     assert digest(remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(7))) == brute(rows)
 
 
+def test_a_long_text_of_one_character(spark):
+    """Every place of it is an anchor and all its strings are equal."""
+    tail = "".join(random.Random(4).choices("abcdefgh ", k=300))
+    rows = [(1, "a" * 1_000_000), (2, "a" * 400_000 + tail), (3, tail + "a" * 49), (4, tail[:200])]
+    got = {r.doc_id: [(s.low, s.high) for s in r.spans] for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: [], 2: [(0, 400_000)], 3: [(0, 300)], 4: [(0, 200)]}
+
+
 def test_odd_rows(spark, odd, empty):
     assert digest(remove_repeats(odd)) == brute([(r.doc_id, r.text) for r in odd.collect()])
     assert remove_repeats(empty).count() == 0
