@@ -1,39 +1,38 @@
 """Repeated runs of lines, found by winnowing over line hashes.
 
 The fingerprint of a place is the hash of GRAM lines in a row. Of each WINDOW fingerprints in a row the least is
-selected, so that every run of GRAM + WINDOW - 1 repeated lines shares a selected fingerprint with its first copy.
-With long_lines each line of LEAST_CHARS characters or more is a fingerprint too, so that none with an earlier copy
-stays, alone or in a run. The first place (by id, then line) with a fingerprint is its source; each later place is matched against the source's
-lines, extended both ways, and the matched run is deleted.
+selected, so that every run of GRAM + WINDOW - 1 repeated lines shares selected fingerprints with its earlier copy. A
+selected place is extended both ways: with the line before and with the line after it, it is a fingerprint too, and as
+every line of such a run is in a selected place or beside one, all of them are found, wherever each has its first copy.
+With long_lines each line of LEAST_CHARS characters or more is a fingerprint as well, alone or in a run. Places whose
+fingerprint occurs earlier (by id, then line) cover lines; covered lines in a row are a run, which is deleted.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pathlore.llm._common import bounded, packed, read, stored, text_or_empty, unpacked
 
 GRAM, WINDOW = 2, 2
-#: Runs of fewer characters stay.
+#: Runs of fewer characters stay, and shorter lines are no fingerprints of their own.
 LEAST_CHARS = 50
 
-#: Places whose fingerprint is the least of a window of them (the first of equal ones).
+#: The least of every window of places, each once: they ascend, so equal ones are neighbours.
 _SELECTED = """
-CASE WHEN size(grams) = 0 THEN cast(array() as array<struct<fp:bigint,pos:int>>)
-ELSE array_distinct(transform(sequence(0, greatest(size(grams) - {window}, 0)),
-       w -> array_min(transform(slice(grams, w + 1, {window}), (g, i) -> struct(g AS fp, w + i AS pos))))) END
+CASE WHEN size(hashes) < {gram} THEN cast(array() as array<struct<fp:bigint,pos:int>>)
+ELSE transform(sequence(0, greatest(size(hashes) - {gram} + 1 - {window}, 0)),
+       w -> array_min(transform(sequence(w, least(w + {window} - 1, size(hashes) - {gram})), p -> struct(xxhash64(slice(hashes, p + 1, {gram})) AS fp, p AS pos)))) END
 """
-#: Places of long lines, by the hash of the line alone.
-_LONG = "transform(longs, i -> struct(xxhash64(slice(hashes, i + 1, 1)) AS fp, i AS pos))"
-#: The first line and the line after the last of the run about pos in which the document equals the source, whose
-#: lines are shift before.
-_RUN = """
-struct(
-  pos + 1 - element_at(filter(sequence(1, least(pos, pos - shift) + 1),
-    i -> i = least(pos, pos - shift) + 1 OR hashes[pos - i] != source[pos - shift - i]), 1) AS low,
-  pos + element_at(filter(sequence(1, least(size(hashes) - pos, size(source) - pos + shift)),
-    i -> i = least(size(hashes) - pos, size(source) - pos + shift) OR hashes[pos + i] != source[pos - shift + i]), 1) AS high)
+_ONCE = "filter(selected, (x, i) -> i = 0 OR x.pos != selected[i - 1].pos)"
+#: Fingerprints (fp, low, high): selected places, the same with a line before or after, and long lines.
+_PLACES = """
+concat(
+  transform(places, x -> struct(x.fp AS fp, x.pos AS low, x.pos + {gram} AS high)),
+  transform(filter(places, x -> x.pos > 0), x -> struct(xxhash64(slice(hashes, x.pos, {gram} + 1)) AS fp, x.pos - 1 AS low, x.pos + {gram} AS high)),
+  transform(filter(places, x -> x.pos + {gram} < size(hashes)), x -> struct(xxhash64(slice(hashes, x.pos + 1, {gram} + 1)) AS fp, x.pos AS low, x.pos + {gram} + 1 AS high)),
+  transform(longs, i -> struct(xxhash64(slice(hashes, i + 1, 1)) AS fp, i AS low, i + 1 AS high)))
 """
 
 
@@ -50,53 +49,36 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", g
     lines = _keyed(docs, id_col, text).select(
         "k1", "k2", F.transform("_lines", lambda x: F.xxhash64(F.rtrim(x))).alias("hashes"), F.transform("_lines", lambda x: F.length(x)).alias("chars"), F.expr(longs).alias("longs")
     )
-    hashed = stored(lines.dropDuplicates(["k1", "k2"]), "line-hashes")
-    grams = F.expr(f"CASE WHEN size(hashes) < {gram} THEN cast(array() as array<bigint>) ELSE transform(sequence(0, size(hashes) - {gram}), i -> xxhash64(slice(hashes, i + 1, {gram}))) END")
-    fingerprints = F.array_union(F.expr(_SELECTED.format(window=window)), F.expr(_LONG))
-    selected = hashed.where((F.size("hashes") >= gram) | (F.size("longs") > 0)).withColumn("grams", grams).select("k1", "k2", F.explode(fingerprints).alias("s"))
-    places = stored(selected.select("k1", "k2", "s.fp", "s.pos"), "line-places")
-    first = places.groupBy("fp").agg(F.min(F.struct("k1", "k2", "pos")).alias("src"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    lines = stored(lines, "line-hashes")
+    selected = lines.withColumn("selected", F.expr(_SELECTED.format(gram=gram, window=window))).withColumn("places", F.expr(_ONCE))
+    found = selected.select("k1", "k2", "chars", F.explode(F.expr(_PLACES.format(gram=gram))).alias("s"))
+    places = stored(found.select("k1", "k2", "s.fp", "s.low", F.expr("slice(chars, s.low + 1, s.high - s.low)").alias("chars")), "line-places")
+    first = places.groupBy("fp").agg(F.min(F.struct("k1", "k2", "low")).alias("src"), F.count(F.lit(1)).alias("n")).where("n > 1")
     sources = stored(first.select("fp", "src"), "line-sources")
-    matches = places.join(bounded(sources), "fp").where(F.struct("k1", "k2", "pos") > F.col("src"))
-    # places of one alignment of two documents are looked at together
-    aligned = stored(
-        matches.select("k1", "k2", F.col("src.k1").alias("s1"), F.col("src.k2").alias("s2"), (F.col("pos") - F.col("src.pos")).alias("shift"), "pos")
-        .groupBy("k1", "k2", "s1", "s2", "shift").agg(F.sort_array(F.collect_set("pos")).alias("places"))
-        # a place right after another of its alignment lies in the same run
-        .withColumn("places", F.expr("filter(places, (p, i) -> i = 0 OR get(places, i - 1) < p - 1)")),
-        "line-aligned",
-    )
-    hashed = hashed.drop("longs")
-    source = hashed.select(F.col("k1").alias("s1"), F.col("k2").alias("s2"), F.col("hashes").alias("source"))
-    wanted = stored(aligned.select("s1", "s2").distinct(), "line-wanted")
-    few = stored(source.join(bounded(wanted), ["s1", "s2"], "left_semi"), "line-source-hashes")
-    both = aligned.join(few, ["s1", "s2"]).join(hashed, ["k1", "k2"])
-    runs = both.withColumn("pos", F.explode("places")).withColumn("run", F.expr(_RUN)).where(
-        F.expr("aggregate(slice(chars, run.low + 1, run.high - run.low), 0, (a, c) -> a + c)") >= least_chars
-    )
-    merged = F.expr("""
-      aggregate(sort_array(runs), cast(array() as array<struct<low:int,high:int>>), (a, r) ->
-        CASE WHEN size(a) > 0 AND element_at(a, -1).high >= r.low
-             THEN concat(slice(a, 1, size(a) - 1), array(struct(element_at(a, -1).low AS low, greatest(element_at(a, -1).high, r.high) AS high)))
-             ELSE concat(a, array(r)) END)""")
-    return runs.groupBy("k1", "k2").agg(F.collect_set("run").alias("runs")).select("k1", "k2", merged.alias("runs"))
+    later = places.join(bounded(sources), "fp").where(F.struct("k1", "k2", "low") > F.col("src"))
+    covered = later.select("k1", "k2", "low", F.posexplode("chars").alias("i", "n")).select("k1", "k2", (F.col("low") + F.col("i")).alias("line"), "n").distinct()
+    run = F.col("line") - F.row_number().over(Window.partitionBy("k1", "k2").orderBy("line"))
+    runs = covered.withColumn("run", run).groupBy("k1", "k2", "run").agg(F.min("line").alias("low"), (F.max("line") + 1).alias("high"), F.sum("n").alias("chars"))
+    return runs.where(F.col("chars") >= least_chars).groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("runs"))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **limits: int) -> DataFrame:
     """docs with text lacking its repeated runs, and n_lines, n_removed; own columns of these names give way to them.
 
-    Lines end at a line break and are equal when they are but for spaces at their ends. A run is deleted where a
-    selected fingerprint of it has an earlier source (also in the row itself) and the matched run has at least
-    LEAST_CHARS characters (with long_lines: each line of so many, without spaces at its end, that has an earlier
-    copy, and the run about it); what is left is joined by line breaks, and a row whose lines all go stays with an empty
-    text. Earlier means a smaller id (null first), for rows of one id a smaller hash of the text, then an earlier line;
-    rows that repeat id and text share their fate. Null texts are empty, and have no run. An empty table gives no rows.
+    Lines end at a line break and are equal when they are but for spaces at their ends. A run is deleted if it has at
+    least LEAST_CHARS characters and each of its lines is in a selected place, alone or with a line beside it, that
+    occurs earlier (also in the row itself), or is a long one that does (with long_lines). So all lines go of every run
+    of GRAM + WINDOW - 1 lines with an earlier copy. What is left is joined by line breaks, and a row whose lines all go
+    stays with an empty text. Earlier means a smaller id (null first), for rows of one id a smaller hash of the text,
+    then an earlier line; rows that repeat id and text share their fate. Null texts are empty, and have no run. An empty
+    table gives no rows.
     """
     runs = stored(repeated_runs(docs, id_col, text, **limits), "line-runs")
     keys = _keyed(docs.select(packed(docs), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text")), "id", "text")
     rows = keys.join(bounded(runs), ["k1", "k2"], "left")
-    kept = F.expr("filter(_lines, (x, i) -> NOT exists(runs, r -> i >= r.low AND i < r.high))")
-    out = rows.withColumn("left", F.when(F.col("runs").isNotNull(), kept)).select(
+    kept = F.expr("array_except(sequence(0, size(_lines) - 1), flatten(transform(runs, r -> sequence(r.low, r.high - 1))))")
+    rows = rows.withColumn("stay", F.when(F.col("runs").isNotNull(), kept))
+    out = rows.withColumn("left", F.expr("transform(stay, i -> _lines[i])")).select(
         "_row",
         F.when(F.col("runs").isNull(), F.col("text")).otherwise(F.array_join("left", "\n")).alias(text),
         F.size("_lines").cast("long").alias("n_lines"),
