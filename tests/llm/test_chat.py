@@ -70,6 +70,28 @@ def test_windows_keep_the_budget_and_the_system_turn(spark):
     assert sum(len(r.spans) for r in rows) == 99
 
 
+@pytest.mark.parametrize("step", [1, 5000])
+def test_numbers_of_turns_make_no_difference(spark, monkeypatch, step):
+    """Gaps between turn numbers change no window, and history is kept over the end of a stretch."""
+    monkeypatch.setattr(chat, "STRETCH", 64)
+    turns = [(c, i * step, "user" if i % 2 else "assistant", "t" * (20 + 37 * i % 100)) for c in (7, None) for i in range(1, 200)]
+    rows = format_chats(spark.createDataFrame(turns, SCHEMA), budget=150, history=2, history_budget=80).collect()
+    got = sorted((r.conv_id or 0, r.stretch, r.window, r.repeated, r.text.count("<|im_start|>"), r.tokens) for r in rows)
+    assert {g[1] for g in got} == {0, 1, 2, 3} and [g[1:] for g in got if g[0] == 7] == [g[1:] for g in got if g[0] == 0]
+    assert all(g[3] > 0 for g in got if g[2] == 0 and g[1] > 0)
+    assert sum(g[4] - g[3] for g in got) == 2 * 199 and max(g[5] for g in got) <= 150
+    assert [(g[3], g[4]) for g in got] == WINDOWS.setdefault("windows", [(g[3], g[4]) for g in got])
+
+
+WINDOWS: dict[str, list] = {}
+
+
+def test_clashing_columns(spark):
+    turns = spark.createDataFrame(NASTY, SCHEMA).selectExpr("conv_id", "turn", "role", "text", "1 AS pos", "2 AS cum", "'x' AS turns", "3 AS part", "4 AS stretch", "5 AS cost")
+    got = {r.conv_id: ([tuple(t) for t in r.turns], "".join(r.losses)) for r in read_back(format_chats(turns)).collect()}
+    assert got == brute(NASTY)
+
+
 def test_empty_table(spark):
     windows = format_chats(spark.createDataFrame([], SCHEMA))
     assert windows.count() == 0 and read_back(windows).count() == 0
