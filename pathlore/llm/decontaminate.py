@@ -4,7 +4,9 @@ Items are partitioned by the number of their shingles into classes up to 8, 16,
 are searched in windows of twice the class's size, overlapping by half, so that a passage as long as any of its items
 lies within a window and containment there bounds the Jaccard similarity from below (0.17 at a containment of 0.75).
 A window and an item that agree in any of REGISTERS least hashes make a candidate; the item's shingles are then looked
-up in the whole document's set.
+up in the whole document's set. What that search can miss (a chance in a register, an item of one or two shingles in a
+long window, shingles scattered wider than a window) is found by the few shingles of an item of which a text that
+contains it must have one, so that the result is exact.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import types as T
 from pathlore.llm import shingles
 from pathlore.llm._common import arrow_columns, packed, read, text_or_empty, unpacked
 
-#: At the least similarity of a window, all of them miss once in 240,000 times; an unchanged passage, once in 10^8.
+#: At the least similarity of a window, all of them miss once in 240,000 times.
 REGISTERS = 64
 #: Smallest class of items, in shingles.
 SMALLEST = 8
@@ -28,6 +30,8 @@ SMALLEST = 8
 GROUP_BYTES = 16 << 20
 _HITS = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("containment", T.DoubleType())]))
 _BITS = 16
+#: Bits of the hashes of items' own shingles by which most of a text's are told apart from all of them.
+_HEAD_BITS = 22
 
 
 class Items:
@@ -46,6 +50,14 @@ class Items:
             for r in range(REGISTERS):
                 seen[r, (least[:, r] >> np.uint64(64 - _BITS - 8)).astype(np.int64) & ((1 << _BITS) - 1)] = True
             self.classes[c] = (np.take_along_axis(least, order, axis=0), own[order], seen)
+        # an item of n shingles lies in a text only if the text has one of any n - ceil(0.75 n) + 1 of them
+        share, of = shingles.SIMILAR
+        heads = [s[: len(s) - -(-share * len(s) // of) + 1] for s in self.sets]
+        head, item = np.concatenate([np.zeros(0, np.uint64), *heads]), np.repeat(np.arange(len(heads)), [len(x) for x in heads])
+        order = np.argsort(head, kind="stable")
+        self.heads, self.head_items = head[order], item[order]
+        self.head_seen = np.zeros(1 << _HEAD_BITS, bool)
+        self.head_seen[(head & np.uint64((1 << _HEAD_BITS) - 1)).astype(np.int64)] = True
 
     def candidates(self, texts: list[np.ndarray]) -> set[tuple[int, int]]:
         """(text, item) pairs, for texts as shingle hashes in order, none empty."""
@@ -72,6 +84,16 @@ class Items:
                     out.update((w, int(items[k, r])) for k in range(a, b))
         return out
 
+    def rest(self, texts: list[np.ndarray]) -> set[tuple[int, int]]:
+        """All (text, item) pairs that can be hits, by the items' own shingles."""
+        if not texts:
+            return set()
+        h, of = np.concatenate(texts), np.repeat(np.arange(len(texts)), [len(x) for x in texts])
+        maybe = np.flatnonzero(self.head_seen[(h & np.uint64((1 << _HEAD_BITS) - 1)).astype(np.int64)])
+        low, high = np.searchsorted(self.heads, h[maybe], "left"), np.searchsorted(self.heads, h[maybe], "right")
+        hit = np.flatnonzero(high > low)
+        return {(w, int(self.head_items[k])) for w, a, b in zip(of[maybe[hit]].tolist(), low[hit].tolist(), high[hit].tolist(), strict=True) for k in range(a, b)}
+
     def hits(self, texts: list[str | None], memory: shingles.Words | None = None) -> list[list[dict]]:
         """For each text the items it contains, the fullest first."""
         share, of = shingles.SIMILAR
@@ -79,7 +101,8 @@ class Items:
         some = [i for i, h in enumerate(hashes) if len(h)]
         out: list[list[dict]] = [[] for _ in texts]
         sets: dict[int, np.ndarray] = {}
-        for w, k in sorted(self.candidates([hashes[i] for i in some])):
+        found = [hashes[i] for i in some]
+        for w, k in sorted(self.candidates(found) | self.rest(found)):
             i = some[w]
             if i not in sets:
                 sets = {i: np.unique(hashes[i])}
@@ -95,8 +118,7 @@ def contained_items(
 ) -> DataFrame:
     """docs with ``hits``: (item_id, containment) of every benchmark item of whose distinct shingles (five words, A-Z
     lower-cased, fewer words are one shingle) at least 0.75 lie in the row's whole text; an own column ``hits`` gives
-    way. The items of a passage are searched for within windows: shingles scattered wider than twice the item are not
-    a passage. Null or empty texts contain nothing and items without words are in nothing; repeated items are each
+    way. Ids of rows aren't read; null and tied item ids are told like others. Null or empty texts contain nothing and items without words are in nothing; repeated items are each
     told; no items, or no rows, are no hits. The benchmark is taken in groups of bounded size. columns: those of docs to return
     (all of them).
     """

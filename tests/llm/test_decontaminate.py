@@ -43,6 +43,23 @@ def test_items_of_all_sizes_in_long_documents():
     assert {k: sorted(h["item_id"] for h in hits) for (k, _), hits in zip(docs, found, strict=True)} == want
 
 
+def test_scattered_and_very_short_items():
+    """Items whose shingles lie all over a long text, and items of one or two shingles, are found without exception."""
+    rng = random.Random(9)
+    word = lambda: "w%d" % rng.randrange(10**6)
+    items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate([5, 6, 5, 6, 40, 120] * 20)]
+    docs = []
+    for i, text in items:
+        words = text.split()
+        parts = [words[j : j + 5] for j in range(max(1, len(words) - 4))]
+        gone = set(rng.sample(range(len(parts)), len(parts) * (22 + i % 6) // 100))
+        docs.append((i, " ".join(w for j, p in enumerate(parts) if j not in gone for w in [*p, *[word() for _ in range(rng.randrange(20, 60))]])))
+    found = Items(items).hits([t for _, t in docs])
+    want = brute(docs, items)
+    assert {k: sorted(h["item_id"] for h in hits) for (k, _), hits in zip(docs, found, strict=True)} == want
+    assert 60 < sum(map(bool, want.values())) < 120
+
+
 def test_odd_rows_and_groups(spark, odd, empty, monkeypatch):
     items = spark.createDataFrame([(1, "ONE two three four five six"), (2, None), (3, ""), (4, "long " * 7), (5, "absent words are not here at all")], "item_id long, text string")
     want = brute([(i, r.text) for i, r in enumerate(odd.collect())], [tuple(r) for r in items.collect()])
