@@ -49,11 +49,22 @@ def words(normalized: Column) -> Column:
     return F.filter(F.split(normalized, r"[^\p{IsAlphabetic}\p{N}]+"), lambda w: w != "")
 
 
+def _plain(col: Column) -> Column:
+    """Whether each character is a grapheme."""
+    return ~(col.rlike(NON_ASCII) | col.contains("\r\n"))
+
+
+def head(col: Column, n: int) -> Column:
+    """The first n graphemes."""
+    return F.when(_plain(col), F.substring(col, 1, n)).otherwise(F.array_join(F.slice(graphemes(col), 1, n), ""))
+
+
 def grams(alias: Column, n: int) -> Column:
-    """Distinct n-grams of graphemes; none if the alias is shorter."""
-    g = graphemes(alias)
-    made = F.transform(F.sequence(F.lit(1), F.size(g) - (n - 1)), lambda i: F.array_join(F.slice(g, i, n), ""))
-    return F.when(F.size(g) >= n, F.array_distinct(made)).otherwise(F.array().cast("array<string>"))
+    """Distinct n-grams of graphemes; none if the alias is shorter. Only aliases that aren't plain are cut into graphemes, once."""
+    starts = lambda size: F.sequence(F.lit(1), size - (n - 1))
+    plain = F.transform(starts(F.length(alias)), lambda i: F.substring(alias, i, F.lit(n)))
+    other = F.transform(F.array(graphemes(alias)), lambda g: F.transform(starts(F.size(g)), lambda i: F.array_join(F.slice(g, i, n), "")))[0]
+    return F.when(n_graphemes(alias) >= n, F.array_distinct(F.when(_plain(alias), plain).otherwise(other))).otherwise(F.array().cast("array<string>"))
 
 
 def natural_key(path: Column) -> Column:
@@ -79,13 +90,15 @@ def stable_id(paths: pd.Series) -> pd.Series:
     return pd.Series(out.view(np.int64))
 
 
+#: Greek, Cyrillic and Armenian; Hebrew; Arabic; Georgian; kana; Han with its first extension; Hangul.
+SCRIPTS = ((0x370, 0x58F), (0x5D0, 0x5EA), (0x620, 0x64A), (0x10A0, 0x10FF), (0x3041, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3))
 _LATIN: dict[str, str] = {}
 
 
 def latin_map(spark: SparkSession) -> dict[str, str]:
-    """Character to Latin for the scripts that names are written in, by the transliterator that Spark ships."""
+    """Character to Latin for scripts of letters that stand alone, by the transliterator that Spark ships."""
     if not _LATIN:
-        chars = [chr(c) for a, b in ((0x370, 0x530), (0x3041, 0x3100), (0x4E00, 0xA000), (0xAC00, 0xD7A4)) for c in range(a, b) if unicodedata.category(chr(c))[0] == "L"]
+        chars = [chr(c) for a, b in SCRIPTS for c in range(a, b + 1) if unicodedata.category(chr(c))[0] == "L"]
         to_latin = spark._jvm.com.ibm.icu.text.Transliterator.getInstance("Any-Latin")
         _LATIN.update(zip(chars, to_latin.transliterate("\n".join(chars)).split("\n"), strict=True))
     return _LATIN
@@ -100,11 +113,11 @@ def with_latin(df: DataFrame, normalized: str, out: str) -> DataFrame:
 
     @F.pandas_udf(T.StringType())
     def to_latin(names: pd.Series) -> pd.Series:
-        han = re.compile("(?<=[一-鿿])(?=[一-鿿])")
+        han = re.compile("(?<=[㐀-䶿一-鿿])(?=[㐀-䶿一-鿿])")
         return names.map(lambda s: "".join(table.get(c, c) for c in han.sub(" ", s)))
 
     tidy = lambda c: F.trim(F.regexp_replace(F.replace(c, F.lit("'"), F.lit(" ")), r"\s+", " "))
-    other = F.coalesce(F.col(normalized), F.lit("")).rlike("[Ͱ-ԯぁ-ヿ一-鿿가-힣]")
+    other = F.coalesce(F.col(normalized), F.lit("")).rlike("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in SCRIPTS) + "]")
     plain = df.where(~other).withColumn(out, tidy(F.col(normalized)))
     return plain.unionByName(df.where(other).withColumn(out, to_latin(normalized)).withColumn(out, tidy(normalize(F.col(out)))))
 

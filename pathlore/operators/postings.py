@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -14,17 +16,22 @@ def aliases() -> Column:
     return F.array_distinct(F.filter(F.array("normalized_name", "pinyin_compact", "pinyin_initials"), lambda x: x != ""))
 
 
-def build(catalog: DataFrame) -> DataFrame:
-    """Postings of a catalog in long form, which no hot key makes a giant row. Duplicates of a record's aliases go
-    without a shuffle: the keys of one record are made distinct in its own row."""
+#: Kinds of postings.
+KINDS = ("exact", "prefix1", "prefix2", "gram2", "gram3", "char", "extension")
+
+
+def build(catalog: DataFrame, kinds: Sequence[str] = KINDS) -> DataFrame:
+    """Postings (of those kinds) of a catalog in long form, which no hot key makes a giant row. Duplicates of a record's
+    aliases go without a shuffle: the keys of one record are made distinct in its own row."""
     row = catalog.select("id", aliases().alias("a"), F.when(~F.col("is_directory"), F.col("file_extension")).alias("ext"))
-    of = lambda kind, keys: F.transform(F.array_distinct(keys), lambda k: F.struct(F.lit(kind).alias("kind"), k.alias("key")))
-    head = lambda n: F.transform(F.filter("a", lambda x: F.size(tx.graphemes(x)) >= n), lambda x: F.array_join(F.slice(tx.graphemes(x), 1, n), ""))
+    head = lambda n: F.transform(F.filter("a", lambda x: tx.n_graphemes(x) >= n), lambda x: tx.head(x, n))
     every = lambda n: F.flatten(F.transform("a", lambda x: tx.grams(x, n)))
-    keys = F.concat(
-        of("exact", F.col("a")), of("prefix1", head(1)), of("prefix2", head(2)), of("gram2", every(2)), of("gram3", every(3)), of("char", head(1)),
-        of("extension", F.filter(F.array("ext"), lambda e: e != "")),
-    )
+    made = {
+        "exact": lambda: F.col("a"), "prefix1": lambda: head(1), "prefix2": lambda: head(2), "gram2": lambda: every(2), "gram3": lambda: every(3),
+        "char": lambda: head(1), "extension": lambda: F.filter(F.array("ext"), lambda e: e != ""),
+    }
+    of = lambda kind: F.transform(F.array_distinct(made[kind]()), lambda k: F.struct(F.lit(kind).alias("kind"), k.alias("key")))
+    keys = F.concat(*map(of, kinds))
     return row.select("id", F.explode(keys).alias("k")).select("k.kind", "k.key", "id")
 
 

@@ -16,12 +16,17 @@ from pathlore.functions.query import passes
 from pathlore.operators.postings import aliases
 
 CAP, LIMIT = 20_000, 100
-#: Queries that may be broadcast; counted first.
-BROADCAST_QUERIES = 20_000
+#: Queries that may be broadcast, and characters of queries whose keys may be; counted first.
+BROADCAST_QUERIES, BROADCAST_CHARACTERS = 20_000, 400_000
 
 
-def small(queries: DataFrame) -> DataFrame:
-    return F.broadcast(queries) if queries.count() <= BROADCAST_QUERIES else queries
+def small(table: DataFrame, queries: DataFrame | None = None) -> DataFrame:
+    """table, marked for broadcast if it, or the queries that it has at most so many rows for each of, are counted to be few."""
+    if queries is None:
+        return F.broadcast(table) if table.count() <= BROADCAST_QUERIES else table
+    if getattr(queries, "characters", None) is None:  # counted once for a table of queries
+        queries.characters = queries.agg(F.coalesce(F.sum(F.length("text") + 1), F.lit(0))).first()[0]
+    return F.broadcast(table) if queries.characters <= BROADCAST_CHARACTERS else table
 
 
 def lookups(queries: DataFrame, postings: DataFrame, rarest: bool = True) -> DataFrame:
@@ -32,7 +37,7 @@ def lookups(queries: DataFrame, postings: DataFrame, rarest: bool = True) -> Dat
     """
     q = queries.withColumn("n", tx.n_graphemes(F.col("text")))
     by_text = q.where(F.col("ext").isNull() & (F.col("text") != ""))
-    known = postings.where("kind = 'exact'").select("key").join(F.broadcast(by_text.select(F.col("text").alias("key")).distinct()), "key", "left_semi").distinct()
+    known = postings.where("kind = 'exact'").select("key").join(small(by_text.select(F.col("text").alias("key")).distinct(), queries), "key", "left_semi").distinct()
     exact = by_text.join(known.select(F.col("key").alias("text"), F.lit(True).alias("is_exact")), "text", "left")
     rest = exact.where("is_exact is null")
     one = lambda df, route, kind, key: df.select("query_id", F.lit(route).alias("route"), F.lit(kind).alias("kind"), key.alias("key"), F.lit(1).cast("long").alias("need"))
@@ -44,7 +49,7 @@ def lookups(queries: DataFrame, postings: DataFrame, rarest: bool = True) -> Dat
     wanted = firsts.select(F.lit("char").alias("kind"), "key").unionByName(
         single.where("n >= 3").select(F.lit("gram3").alias("kind"), F.explode(tx.grams(F.col("text"), 3)).alias("key"))
     ).distinct()
-    df = postings.join(F.broadcast(wanted), ["kind", "key"], "left_semi").groupBy("kind", "key").agg(F.count(F.lit(1)).alias("df"))
+    df = postings.join(small(wanted, queries), ["kind", "key"], "left_semi").groupBy("kind", "key").agg(F.count(F.lit(1)).alias("df"))
     chars = firsts.join(df.where("kind = 'char'").select("key"), "key")
     per_query = chars.withColumn("need", F.count(F.lit(1)).over(Window.partitionBy("query_id")))
     tokens = per_query.select("query_id", F.lit("tokens").alias("route"), F.lit("char").alias("kind"), "key", "need")
@@ -67,7 +72,7 @@ def lookups(queries: DataFrame, postings: DataFrame, rarest: bool = True) -> Dat
 def routes(queries: DataFrame, postings: DataFrame) -> DataFrame:
     """query_id, route: how each query is looked up; a two-character text that no alias contains goes by prefix-2."""
     found = lookups(queries, postings).select("query_id", "route").distinct()
-    known = postings.where("kind = 'gram2'").select("key").join(F.broadcast(queries.select(F.col("text").alias("key")).distinct()), "key", "left_semi").distinct()
+    known = postings.where("kind = 'gram2'").select("key").join(small(queries.select(F.col("text").alias("key")).distinct(), queries), "key", "left_semi").distinct()
     labelled = queries.join(found, "query_id", "left").join(known.select(F.col("key").alias("text"), F.lit(True).alias("has_bigram")), "text", "left")
     text = F.col("text")
     route = (
@@ -78,8 +83,8 @@ def routes(queries: DataFrame, postings: DataFrame) -> DataFrame:
 
 
 def candidates(queries: DataFrame, postings: DataFrame, rarest: bool = True) -> DataFrame:
-    """query_id, id: records that a query's posting keys lead to. Queries of one key need no shuffle."""
-    keys = F.broadcast(lookups(queries, postings, rarest))
+    """query_id, id: records that a query's posting keys lead to. Few queries of one key need no shuffle."""
+    keys = small(lookups(queries, postings, rarest), queries)
     hits = postings.join(keys, ["kind", "key"])
     single = hits.where("need = 1").select("query_id", "id")
     several = hits.where("need > 1").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need")).where("n = need").select("query_id", "id")
@@ -139,15 +144,17 @@ def allowed(q_text: Column) -> Column:
 
 
 def search_scan(queries: DataFrame, catalog: DataFrame, limit: int = LIMIT, mode: str = "reference") -> DataFrame:
-    """The same by one scan: every record meets every query, a table whose size is checked. exhaustive: every record
-    may match, whatever the route."""
+    """The same by one scan: every record meets every query, which are a stated set of BROADCAST_QUERIES at most, else
+    an error says so. exhaustive: every record may match, whatever the route."""
+    if queries.count() > BROADCAST_QUERIES:
+        raise ValueError(f"search_scan() is for {BROADCAST_QUERIES} queries at most; search() takes any number")
     rows = catalog.withColumn("a", aliases())
     q = queries.withColumn("n", tx.n_graphemes(F.col("text")))
     if mode == "exhaustive":
         pairs = rows.join(small(q.where("ext is not null or text != '' or kind is not null or path_contains is not null or min_size is not null or max_size is not null or modified_after is not null")))
         return ranked(scored(pairs), limit).select("query_id", "rank", "score", *catalog.columns)
     keys = rows.select(F.explode("a").alias("alias"))
-    exact = keys.join(F.broadcast(q.select(F.col("text").alias("alias")).distinct()), "alias", "left_semi").distinct().select(F.col("alias").alias("text"), F.lit(True).alias("is_exact"))
+    exact = keys.join(small(q.select(F.col("text").alias("alias")).distinct(), queries), "alias", "left_semi").distinct().select(F.col("alias").alias("text"), F.lit(True).alias("is_exact"))
     firsts = q.select("query_id", F.explode(F.array_distinct(F.transform(F.filter(F.split("text", " "), lambda t: t != ""), lambda t: F.get(tx.graphemes(t), F.lit(0))))).alias("ch"))
     first_of = keys.select(F.get(tx.graphemes(F.col("alias")), F.lit(0)).alias("ch")).distinct()
     known = firsts.join(first_of, "ch").groupBy("query_id").agg(F.collect_set("ch").alias("known"))

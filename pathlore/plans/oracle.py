@@ -28,6 +28,7 @@ _POSTINGS = """
   UNION SELECT 'char', substr(alias, 1, 1), k FROM {al}
   UNION SELECT 'prefix2', substr(alias, 1, 2), k FROM {al} WHERE length(alias) >= 2
   UNION SELECT 'gram3', substr(alias, i::int, 3), k FROM (SELECT k, alias, unnest(range(1, length(alias) - 1)) AS i FROM {al})
+  UNION SELECT 'gram2', substr(alias, i::int, 2), k FROM (SELECT k, alias, unnest(range(1, length(alias))) AS i FROM {al})
   UNION SELECT 'extension', file_extension, k FROM {cat} WHERE file_extension != ''"""
 _NATURAL = "array_to_string(list_transform(regexp_extract_all({p}, '([0-9]+|[^0-9]+)'), lambda r: CASE WHEN regexp_matches(r, '^[0-9]') THEN lpad(r, 20, '0') ELSE r END), '')"
 
@@ -92,14 +93,14 @@ SQL: dict[str, str] = {
     "src_limit": _WITH + " SELECT path, root_ord FROM (SELECT path, 0 AS root_ord FROM files_part UNION ALL SELECT DISTINCT path, 1 FROM files_page) ORDER BY root_ord, path LIMIT 500",
     "src_skip_packages": _WITH + " SELECT path FROM files_part WHERE k % 3 != 0",
     "sink_catalog": _WITH + " SELECT path, size, normalized_name, (SELECT count(*) FROM cat) AS item_count, 3 AS roots FROM cat",
-    "sink_postings": _WITH + _ALIAS + ", p AS (" + _POSTINGS.format(al="al", cat="cat") + " UNION SELECT 'gram2', substr(alias, i::int, 2), k FROM (SELECT k, alias, unnest(range(1, length(alias))) AS i FROM al)) SELECT kind, key, count(*) AS df FROM p GROUP BY kind, key",
+    "sink_postings": _WITH + _ALIAS + ", p AS (" + _POSTINGS.format(al="al", cat="cat") + ") SELECT kind, key, count(*) AS df FROM p GROUP BY kind, key",
     "flt_all": _WITH + f" SELECT query_id, path FROM cat, {PARSED} WHERE coalesce(ext, kind, path_contains, min_size::varchar, modified_after::varchar) IS NOT NULL AND {_PASSES}",
     "flt_under_roots": _WITH + " SELECT path FROM files_line WHERE starts_with(path, '/vol4/O/') OR starts_with(path, '/vol4/F/A/')",
     "flt_rescan_flag": _WITH + _CHANGES + " SELECT event_id, flags % 8 != 0 AS rescan FROM changes",
     "agg_postings": _WITH + _ALIAS + ", ids AS (SELECT k, " + _SIGNED.format(h="h") + " AS id FROM (SELECT k, " + _FNV.format(p="normalized_path") + " AS h FROM cat)), p AS (" + _POSTINGS.format(al="al", cat="cat")
     + ") SELECT kind, key, count(*) AS df, string_agg(id::varchar, ',' ORDER BY id) AS ids FROM p JOIN ids USING (k) GROUP BY kind, key",
     "agg_posting_df": _WITH + ", al AS (SELECT DISTINCT k, alias FROM (SELECT path AS k, unnest([normalized_name, compact, initials]) AS alias FROM cat_line) WHERE alias != ''), p AS ("
-    + _POSTINGS.format(al="al", cat="(SELECT path AS k, file_extension FROM cat_line)") + ") SELECT kind, key, count(*) AS df FROM p WHERE kind IN ('gram3', 'extension', 'char') GROUP BY kind, key",
+    + _POSTINGS.format(al="al", cat="(SELECT path AS k, file_extension FROM cat_line)") + ") SELECT kind, key, count(*) AS df FROM p GROUP BY kind, key",
     "join_candidates": _WITH + _ROUTED + " SELECT query_id, path FROM cand",
     "agg_diagnostics": _WITH + _ROUTED + """, known3 AS (SELECT list(DISTINCT substr(alias, i::int, 3)) AS all3 FROM (SELECT alias, unnest(range(1, length(alias) - 1)) AS i FROM al)), r AS (SELECT told.query_id, CASE WHEN ext IS NOT NULL THEN 'extension' WHEN text = '' THEN 'empty' WHEN is_exact THEN 'exact'
        WHEN contains(text, ' ') THEN CASE WHEN len(known_parts) > 0 THEN 'tokens' ELSE 'tokens-none' END WHEN n = 1 THEN 'prefix-1'
@@ -114,13 +115,14 @@ SQL: dict[str, str] = {
     "topk_extension_early": _WITH + f""", first AS (SELECT *, CASE file_extension WHEN 'glb' THEN 1 ELSE 2 END AS query_id, row_number() OVER (PARTITION BY file_extension ORDER BY path) AS rn FROM cat WHERE file_extension IN ('glb', 'pdf'))
        SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY length(name), {_NATURAL.format(p='normalized_path')}, path)::INT AS rank, 8000 AS score, path FROM first WHERE rn <= 50""",
     "lim_candidates": _WITH + _ROUTED + ", n AS (SELECT query_id, path, row_number() OVER (PARTITION BY query_id ORDER BY path) AS rn, count(*) OVER (PARTITION BY query_id) > 40 AS truncated FROM cand) SELECT query_id, path, truncated FROM n WHERE rn <= 40",
-    "agg_unique_ids": _WITH + " SELECT path AS value, count(*) AS n, 'path' AS \"column\" FROM files_page GROUP BY path HAVING count(*) > 1",
-    "set_cover_prefixes": _WITH + ", d AS (SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS path FROM files_part WHERE k % 7 = 0 UNION SELECT path FROM (" + _DIRS.format(f="files_part") + ") WHERE regexp_matches(path, '^/vol1/[^/]*$')) SELECT path FROM d WHERE NOT EXISTS (SELECT 1 FROM d o WHERE starts_with(d.path, o.path || '/'))",
+    "agg_unique_ids": _WITH + ", p AS (SELECT path FROM files_page UNION ALL SELECT path FROM files_page UNION ALL SELECT upper(path) FROM files_page), h AS (SELECT " + _FNV.format(p="lower(strip_accents(nfc_normalize(path)))")
+    + " AS h FROM p) SELECT path AS value, count(*) AS n, 'path' AS \"column\" FROM p GROUP BY path HAVING count(*) > 1 UNION ALL SELECT (" + _SIGNED.format(h="h") + ")::VARCHAR, count(*), 'id' FROM h GROUP BY h HAVING count(*) > 1",
+    "set_cover_prefixes": _WITH + ", d AS (SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS path FROM files_part UNION SELECT path FROM (" + _DIRS.format(f="files_part") + ") WHERE regexp_matches(path, '^/vol1/[^/]*$')) SELECT path FROM d WHERE NOT EXISTS (SELECT 1 FROM d o WHERE starts_with(d.path, o.path || '/'))",
     "merge_apply_changes": _WITH + _CHANGES + """, gone AS (SELECT DISTINCT path FROM changes WHERE event_type = 'error'), up AS (SELECT DISTINCT path FROM changes WHERE event_type != 'error' AND path NOT IN (SELECT path FROM gone))
        SELECT path, size + 1 AS size FROM cat WHERE path IN (SELECT path FROM up) UNION ALL
        SELECT path, size FROM cat WHERE path NOT IN (SELECT path FROM up) AND path NOT IN (SELECT path FROM gone) AND NOT starts_with(path, '/vol2/STANDARD TIN/') AND NOT starts_with(path, '/vol0/')""",
     "delta_postings": _WITH + ", al AS (SELECT DISTINCT k, alias FROM (SELECT k, unnest([normalized_name, compact, initials]) AS alias FROM cat WHERE size % 2000000 != 0) WHERE alias != ''), p AS ("
-    + _POSTINGS.format(al="al", cat="(SELECT k, file_extension FROM cat WHERE size % 2000000 != 0)") + ") SELECT kind, key, count(*) AS df FROM p WHERE kind IN ('gram3', 'exact', 'extension') GROUP BY kind, key",
+    + _POSTINGS.format(al="al", cat="(SELECT k, file_extension FROM cat WHERE size % 2000000 != 0)") + ") SELECT kind, key, count(*) AS df FROM p GROUP BY kind, key",
     "agg_delta_stats": _WITH + _CHANGES + " SELECT (SELECT count(DISTINCT path) FROM changes) AS anchors, count(*) AS before_count, count(*) FILTER (size % 2000000 != 0) AS after_count, count(*) FILTER (size % 2000000 != 0) - count(*) AS delta FROM cat",
     "st_debounce": _WITH + _CHANGES + """, m AS (SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY monitor ORDER BY ts) >= INTERVAL 90 MINUTE, true) AS fresh FROM changes),
        g AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY monitor ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM m)

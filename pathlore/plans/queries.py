@@ -30,8 +30,12 @@ def query(f: Query) -> Query:
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; where none is set, as in tests, in a local one."""
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+    """A new path in the shared folder; where none is set, in a local one, for a local master alone."""
+    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        top = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -187,13 +191,13 @@ def flt_rescan_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def agg_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = postings.listed(postings.build(catalog(spark, sf_dir)).where("kind != 'gram2'"))
+    out = postings.listed(postings.build(catalog(spark, sf_dir)))
     return out.select("kind", "key", "df", F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("ids"))
 
 
 @query
 def agg_posting_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return postings.frequencies(postings.build(catalog(spark, sf_dir, "files_line")).where("kind in ('gram3', 'extension', 'char')"))
+    return postings.frequencies(postings.build(catalog(spark, sf_dir, "files_line")))
 
 
 @query
@@ -253,7 +257,10 @@ def lim_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def agg_unique_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ct.repeated(catalog(spark, sf_dir, "files_page")).where("column = 'path'")
+    """Pages listed twice, and once more with paths that differ in case alone: their ids collide, their paths don't."""
+    pages = files(spark, sf_dir, "files_page")
+    listed = pages.unionByName(pages).unionByName(pages.withColumn("path", F.upper("path")))
+    return ct.repeated(ct.records(listed))
 
 
 # deltas and events
@@ -271,7 +278,7 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def set_cover_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = files(spark, sf_dir, "files_part").where("k % 7 = 0").select("path", "is_directory")
+    parts = files(spark, sf_dir, "files_part").select("path", "is_directory")
     dirs = ct.directories(files(spark, sf_dir, "files_part")).where(F.col("path").rlike("^/vol1/[^/]*$")).select("path", "is_directory")
     return delta.cover(parts.unionByName(dirs))
 
@@ -295,7 +302,7 @@ def delta_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     gone = cat.where("size % 2000000 = 0").select("id")
     fresh = cat.where("size % 3000000 = 0 and size % 2000000 != 0")
     changed = gone.unionByName(fresh.select("id"))
-    return postings.frequencies(delta.apply_to_postings(old, changed, fresh).where("kind in ('gram3', 'exact', 'extension')"))
+    return postings.frequencies(delta.apply_to_postings(old, changed, fresh))
 
 
 @query
@@ -310,9 +317,8 @@ def st_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = folder(spark, "debounce")
     changes(spark, sf_dir).select("event_id", "ts", "monitor", "batch_id", "path", "flags").write.parquet(f"{at}/in")
     runs = ev.debounce(ev.source(spark, f"{at}/in"), "90 minutes", "3650 days")
-    name = "runs_" + uuid.uuid4().hex
-    runs.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select("monitor", F.size("paths").alias("n_paths"), "last_event_id")
+    out = ev.drained(runs, f"{at}/runs", f"{at}/state")
+    return out.select("monitor", F.size("paths").alias("n_paths"), "last_event_id")
 
 
 @query

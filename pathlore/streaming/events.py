@@ -68,6 +68,19 @@ def counters(batches: DataFrame) -> DataFrame:
     )
 
 
+def drained(result: DataFrame, folder: str, checkpoint: str) -> DataFrame:
+    """The result of an aggregated stream over everything that is there now, written to a folder of each batch."""
+    written: list[str] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/{number}")
+        written.append(f"{folder}/{number}")
+
+    result.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    spark = result.sparkSession
+    return spark.read.schema(result.schema).parquet(written[-1]) if written else spark.createDataFrame([], result.schema)
+
+
 def run(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str) -> None:
     """Everything that is there now, in batches; each batch is handed over with its number."""
     stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
