@@ -127,6 +127,12 @@ SQL: dict[str, str] = {
     "st_debounce": _WITH + _CHANGES + """, m AS (SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY monitor ORDER BY ts) >= INTERVAL 90 MINUTE, true) AS fresh FROM changes),
        g AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY monitor ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM m)
        SELECT monitor, count(DISTINCT path)::INT AS n_paths, max(event_id) AS last_event_id FROM g GROUP BY monitor, run""",
+    "fn_latinize": """SELECT n_nationkey, word, l || ' ' || lower(n_name) AS latin, c || lower(n_name) AS compact, i || substr(lower(n_name), 1, 1) AS initials
+       FROM nation, (VALUES ('Привет мир', 'privet mir', 'privetmir', 'pm'), ('Ελλάδα', 'ellada', 'ellada', 'e'), ('こんにちは', 'konnichiha', 'konnichiha', 'k'),
+       ('产品 报告', 'chan pin bao gao', 'chanpinbaogao', 'cpbg'), ('서울', 'seoul', 'seoul', 's'), ('Æsir Ünal', 'æsir unal', 'æsirunal', 'u')) AS t(word, l, c, i)""",
+    "st_apply": _WITH + _CHANGES + ", al AS (SELECT DISTINCT k, path, alias FROM (SELECT k, path, unnest([normalized_name, compact, initials]) AS alias FROM cat) WHERE alias != ''), p AS (" + _POSTINGS.format(al="al", cat="cat")
+    + """), n AS (SELECT k, count(*) AS n_postings FROM p GROUP BY k), last AS (SELECT path, arg_max(event_type, event_id) AS event_type FROM changes GROUP BY path)
+       SELECT cat.path, cat.size + CASE WHEN last.path IS NULL THEN 0 ELSE 1 END AS size, n_postings FROM cat JOIN n USING (k) LEFT JOIN last ON cat.path = last.path WHERE last.event_type IS NULL OR last.event_type != 'error'""",
     "st_rescan_latch": _WITH + _CHANGES + ", bad AS (SELECT monitor, min(batch_id) AS since FROM changes WHERE flags % 8 != 0 GROUP BY monitor) SELECT event_id, monitor FROM changes LEFT JOIN bad USING (monitor) WHERE since IS NULL OR batch_id < since",
     "st_last_event": _WITH + _CHANGES + " SELECT monitor, max(event_id) AS last_event_id FROM changes GROUP BY monitor",
     "st_counters": _WITH + _CHANGES + """, d AS (SELECT batch_id, sum(CASE event_type WHEN 'error' THEN -1 WHEN 'purchase' THEN 1 ELSE 0 END) AS delta FROM changes GROUP BY batch_id)

@@ -15,6 +15,7 @@ from pathlore.functions import text as tx
 from pathlore.operators import delta, postings, search
 from pathlore.plans.fixtures import files, raw_queries
 from pathlore.sources import catalog as ct
+from pathlore.streaming import apply as ap
 from pathlore.streaming import events as ev
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -321,6 +322,31 @@ def st_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("monitor", F.size("paths").alias("n_paths"), "last_event_id")
 
 
+@query
+def st_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of all events applied to catalog and postings: an error event removes its path, others make it larger.
+    Each record of the last version, with how many postings it has."""
+    at, cat = folder(spark, "apply"), catalog(spark, sf_dir)
+    ap.start(cat, at)
+    listed = files(spark, sf_dir, "files_part").select("path", "size", "is_directory", "created_at", "modified_at")
+    told = changes(spark, sf_dir).select("event_id", "path", (F.col("event_type") == "error").alias("gone")).join(listed, "path")
+    told = told.withColumn("size", F.col("size") + 1).selectExpr("event_id", "path", "gone", "size", "is_directory", "created_at", "modified_at")
+    told.repartition(3).write.parquet(f"{at}/in")
+    ap.apply_batches(spark.readStream.schema(ap.SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{at}/in"), at, f"{at}/state")
+    records, posted = ap.latest(spark, at)
+    n = posted.groupBy("id").agg(F.count(F.lit(1)).alias("n_postings"))
+    return records.join(n, "id", "left").select("path", "size", "n_postings")
+
+
+@query
+def fn_latinize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of nations with words of other scripts, folded and written in Latin letters."""
+    words = spark.sql("SELECT explode(array('Привет мир', 'Ελλάδα', 'こんにちは', '产品 报告', '서울', 'Æsir Ünal')) AS word")
+    names = spark.read.parquet(f"{sf_dir}/nation.parquet").join(F.broadcast(words)).select("n_nationkey", "word", tx.normalize(F.concat("word", F.lit(" "), "n_name")).alias("name"))
+    latin = tx.with_latin(names, "name", "latin")
+    return latin.select("n_nationkey", "word", "latin", tx.compact(F.col("latin")).alias("compact"), tx.initials(F.col("latin")).alias("initials"))
+
+
 @query
 def st_rescan_latch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.latch(changes(spark, sf_dir)).select("event_id", "monitor")
