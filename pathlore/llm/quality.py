@@ -1,10 +1,10 @@
 """Quality by random-indexing word vectors, pooled per document, and a two-layer network with calibrated probabilities.
 
-Every text is a row of terms: short words as they are, other words by their shape (``Aa.``, ``A!``, ``a$``), and a
-mark for a word that repeats the one before. Each term has a sparse random index vector; its context vector is the sum
-of the index vectors of the terms within REACH places, over the whole corpus. A document is the mean, least and
-greatest of its terms' vectors over stretches of STRETCH terms. The network's logits are divided by a temperature that
-is fitted on rows which the weights haven't seen.
+Every whitespace-separated word, whatever its length, is a hashed term with a sparse random index vector; its context
+vector is the sum of the index vectors of the words within REACH places, over the whole corpus. Beside its term a word
+has a shape (``Aa.``, ``A!``, ``a$``; a mark if it repeats the word before), which has an index vector only. A document
+is the mean, least and greatest of its words' vectors over stretches of STRETCH words. The network's logits are divided
+by a temperature that is fitted on rows which the weights haven't seen.
 """
 
 from __future__ import annotations
@@ -24,71 +24,84 @@ from pyspark.sql import types as T
 
 from pathlore.llm._common import arrow_columns, read, stored, text_or_empty
 
-#: Hashed terms; the table of vectors is of this size whatever the corpus.
-TERMS = 1 << 13
+#: Hashed words, and hashed shapes; the tables of vectors are of these sizes whatever the corpus.
+TERMS, SHAPES = 1 << 15, 1 << 13
 #: Dimensions of index and context vectors, places other than 0 of an index vector, and the reach of a context.
 DIM, ONES, REACH = 32, 4, 2
-#: Terms of a stretch that is pooled by itself.
+#: Words of a stretch that is pooled by itself.
 STRETCH = 64
-#: Longest word that is a term itself, in bytes.
+#: Longest word that is its own shape, in bytes.
 SHORT = 4
+#: Words whose contexts a task adds at once.
+WORDS_AT_ONCE = 1 << 20
 #: Labelled rows to learn from at most (about, drawn by a hash of the id); a fifth of them fits the temperature.
 SAMPLE = 20_000
 MEMO_WORDS = 100_000
 #: Scores from this on are predicted to be good.
 GOOD = 0.7
 REPEAT = 0
+#: Features of a document.
+WIDTH = 3 * 3 * DIM
 
 
-def _index_vectors() -> np.ndarray:
-    rng = np.random.default_rng(11)
-    out = np.zeros((TERMS, DIM), np.float32)
-    for row in out:
-        at = rng.choice(DIM, ONES, replace=False)
-        row[at] = rng.choice([-1.0, 1.0], ONES)
+def _index_vectors(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and signs of the ONES values of n sparse vectors."""
+    rng = np.random.default_rng(seed)
+    at = np.argsort(rng.random((n, DIM)), axis=1)[:, :ONES]
+    return at, rng.choice([-1.0, 1.0], (n, ONES))
+
+
+def _dense(at: np.ndarray, sign: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(at), DIM), np.float32)
+    np.put_along_axis(out, at, sign.astype(np.float32), axis=1)
     return out
 
 
-INDEX = _index_vectors()
+PLACES, SIGNS = _index_vectors(TERMS, 11)
+INDEX = _dense(PLACES, SIGNS)
+SHAPE_VECTORS = _dense(*_index_vectors(SHAPES, 12)) / np.float32(np.sqrt(ONES))
 _RUNS = re.compile(r"(.)\1+", re.S)
 
 
 class Terms(dict):
-    """word -> hashed term; bounded."""
+    """word -> hashed term, and its hashed shape above it; bounded."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > MEMO_WORDS:
             self.clear()
-        if len(word) <= SHORT:
-            term = word
-        else:
-            shape = "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in word.decode("utf-8", "replace"))
-            term = b"\0" + _RUNS.sub(r"\1", shape).encode("utf-8", "replace")[:12]
-        self[word] = out = 1 + xxhash.xxh3_64_intdigest(term) % (TERMS - 1)
+        shape = word
+        if len(word) > SHORT:
+            kinds = "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in word.decode("utf-8", "replace"))
+            shape = b"\0" + _RUNS.sub(r"\1", kinds).encode("utf-8", "replace")[:12]
+        self[word] = out = xxhash.xxh3_64_intdigest(word) % TERMS | 1 + xxhash.xxh3_64_intdigest(shape) % (SHAPES - 1) << 16
         return out
 
 
-def terms(text: str | None, memory: Terms | None = None) -> np.ndarray:
-    """Hashed terms of a whole text, in order."""
+def terms(text: str | None, memory: Terms | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed words of a whole text, in order, and their hashed shapes."""
     words = (text or "").encode("utf-8", "surrogatepass").split()
-    out = np.fromiter(map((Terms() if memory is None else memory).__getitem__, words), np.uint16, len(words))
+    both = np.fromiter(map((Terms() if memory is None else memory).__getitem__, words), np.uint32, len(words))
+    shapes = (both >> 16).astype("<u2")
     if len(words) > 1:
         same = np.fromiter((a == b for a, b in zip(words[1:], words[:-1], strict=True)), bool, len(words) - 1)
-        out[1:][same] = REPEAT
-    return out
+        shapes[1:][same] = REPEAT
+    return both.astype("<u2"), shapes
 
 
 def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sums of index vectors by term over a task's texts, some millions of terms at a time."""
-    total = np.zeros((TERMS, DIM), np.float64)
+    """Sums of index vectors by term over a task's texts, some words at a time."""
+    total = np.zeros(TERMS * DIM)
 
     def add(codes: np.ndarray, of: np.ndarray) -> None:
         for step in range(1, REACH + 1):
-            near = of[step:] == of[:-step]
-            pair, n = np.unique(codes[:-step][near].astype(np.int64) * TERMS + codes[step:][near], return_counts=True)
-            for own, other in ((pair // TERMS, pair % TERMS), (pair % TERMS, pair // TERMS)):
-                for d in range(DIM):
-                    total[:, d] += np.bincount(own, weights=INDEX[other, d] * n, minlength=TERMS)
+            for a in range(step, len(codes), WORDS_AT_ONCE):
+                second = slice(a, a + WORDS_AT_ONCE)
+                first = slice(a - step, min(a + WORDS_AT_ONCE, len(codes)) - step)
+                near = of[first] == of[second]
+                before, after = codes[first][near].astype(np.int64), codes[second][near].astype(np.int64)
+                for own, other in ((before, after), (after, before)):
+                    for one in range(ONES):
+                        total[:] += np.bincount(own * DIM + PLACES[other, one], weights=SIGNS[other, one], minlength=TERMS * DIM)
 
     waiting, of, size, at = [], [], 0, 0
     for batch in batches:
@@ -97,29 +110,30 @@ def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             waiting.append(own)
             of.append(np.full(len(own), at))
             size, at = size + len(own), at + 1
-            if size > 4_000_000:
+            if size > WORDS_AT_ONCE:
                 add(np.concatenate(waiting), np.concatenate(of))
                 waiting, of, size = [], [], 0
     if size:
         add(np.concatenate(waiting), np.concatenate(of))
-    used = np.flatnonzero(np.abs(total).sum(axis=1))
+    vectors = total.reshape(TERMS, DIM)
+    used = np.flatnonzero(np.abs(vectors).sum(axis=1))
     # the salt keeps the sums of one term from meeting in one task; a repeated task draws the same
-    yield pd.DataFrame({"term": used, "salt": TaskContext.get().partitionId() % 64, "vector": [v.tobytes() for v in total[used]]})
+    yield pd.DataFrame({"term": used, "salt": TaskContext.get().partitionId() % 64, "vector": [v.tobytes() for v in vectors[used].astype(np.int32)]})
 
 
-def _added(rows: pd.DataFrame) -> pd.DataFrame:
+def _added(rows: pd.DataFrame, kind: type) -> pd.DataFrame:
     terms_, at = np.unique(rows["term"], return_inverse=True)
     vectors = np.zeros((len(terms_), DIM))
-    np.add.at(vectors, at, np.frombuffer(b"".join(rows["vector"]), np.float64).reshape(-1, DIM))
+    np.add.at(vectors, at, np.frombuffer(b"".join(rows["vector"]), kind).reshape(-1, DIM))
     return pd.DataFrame({"term": terms_, "vector": [v.tobytes() for v in vectors]})
 
 
 def word_vectors(codes: DataFrame) -> np.ndarray:
-    """Index and context vector of every hashed term, from all rows of codes: TERMS x 2 DIM, of fixed size."""
+    """Index and context vector of every hashed word, from all rows of codes: TERMS x 2 DIM, of fixed size."""
     parts = codes.select("codes").mapInPandas(_contexts, "term long, salt long, vector binary")
     schema = "term long, vector binary"
-    some = parts.withColumn("part", F.col("term") % 256).groupBy("part", "salt").applyInPandas(lambda rows: _added(rows), schema)
-    sums = some.withColumn("part", F.col("term") % 256).groupBy("part").applyInPandas(lambda rows: _added(rows), schema).collect()  # TERMS rows at most
+    some = parts.withColumn("part", F.col("term") % 256).groupBy("part", "salt").applyInPandas(lambda rows: _added(rows, np.int32), schema)
+    sums = some.withColumn("part", F.col("term") % 256).groupBy("part").applyInPandas(lambda rows: _added(rows, np.float64), schema).collect()  # TERMS rows at most
     context = np.zeros((TERMS, DIM))
     for r in sorted(sums):
         context[r["term"]] = np.frombuffer(r["vector"], np.float64)
@@ -127,12 +141,12 @@ def word_vectors(codes: DataFrame) -> np.ndarray:
     return np.concatenate([INDEX / np.sqrt(ONES), context], axis=1).astype(np.float32)
 
 
-def pooled(codes: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Mean, least and greatest over the stretches of a document; zeros without terms."""
+def pooled(codes: np.ndarray, shapes: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Mean, least and greatest over the stretches of a document; zeros without words."""
     if not len(codes):
-        return np.zeros(3 * vectors.shape[1], np.float32)
+        return np.zeros(WIDTH, np.float32)
     starts = np.arange(0, max(1, len(codes) - STRETCH // 2), STRETCH)
-    sums = np.add.reduceat(vectors[codes], starts, axis=0)
+    sums = np.concatenate([np.add.reduceat(v[of], starts, axis=0) for v, of in ((vectors, codes), (SHAPE_VECTORS, shapes))], axis=1)
     means = sums / np.diff(np.append(starts, len(codes)))[:, None]
     return np.concatenate([sums.sum(axis=0) / len(codes), means.min(axis=0), means.max(axis=0)]).astype(np.float32)
 
@@ -200,27 +214,35 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text
 
     def coded() -> Callable[[pa.RecordBatch], list[pa.Array]]:
         memory = Terms()
-        return lambda batch: [pa.array([terms(t.as_py(), memory).astype("<u2").tobytes() for t in batch["text"]], pa.binary())]
 
-    codes = stored(arrow_columns(rows, coded, [("codes", T.BinaryType())], drop=["text"]), "quality-codes")
+        def run(batch: pa.RecordBatch) -> list[pa.Array]:
+            both = [terms(t.as_py(), memory) for t in batch["text"]]
+            return [pa.array([b[i].tobytes() for b in both], pa.binary()) for i in (0, 1)]
+
+        return run
+
+    codes = stored(arrow_columns(rows, coded, [("codes", T.BinaryType()), ("shapes", T.BinaryType())], drop=["text"]), "quality-codes")
     shared = docs.sparkSession.sparkContext.broadcast(word_vectors(codes))
 
     known = labels.where(F.col("quality").isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
     share = min(1.0, sample / max(1, known.count()))
     drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
 
+    def features(batch: pa.RecordBatch) -> list[np.ndarray]:
+        return [pooled(np.frombuffer(c, "<u2"), np.frombuffer(o, "<u2"), shared.value) for c, o in zip(batch["codes"].to_pylist(), batch["shapes"].to_pylist(), strict=True)]
+
     def pool(batch: pa.RecordBatch) -> list[pa.Array]:
-        return [pa.array([pooled(np.frombuffer(c, "<u2"), shared.value).tobytes() for c in batch["codes"].to_pylist()], pa.binary())]
+        return [pa.array([x.tobytes() for x in features(batch)], pa.binary())]
 
-    learn = sorted(arrow_columns(codes.join(F.broadcast(drawn), "doc_id"), lambda: pool, [("x", T.BinaryType())], drop=["codes"]).collect())  # bounded by sample
-    x = np.array([np.frombuffer(r["x"], np.float32) for r in learn], np.float64).reshape(len(learn), 6 * DIM)
+    learn = sorted(arrow_columns(codes.join(F.broadcast(drawn), "doc_id"), lambda: pool, [("x", T.BinaryType())], drop=["codes", "shapes"]).collect())  # bounded by sample
+    x = np.array([np.frombuffer(r["x"], np.float32) for r in learn], np.float64).reshape(len(learn), WIDTH)
     net = docs.sparkSession.sparkContext.broadcast(train(x, np.array([r["quality"] for r in learn], np.int64)))
 
     def scored(batch: pa.RecordBatch) -> list[pa.Array]:
-        p = net.value.probabilities(np.array([pooled(np.frombuffer(c, "<u2"), shared.value) for c in batch["codes"].to_pylist()], np.float64))
+        p = net.value.probabilities(np.array(features(batch), np.float64).reshape(-1, WIDTH))
         return [pa.array(p), pa.array((p >= GOOD).astype(np.int32))]
 
-    return arrow_columns(codes, lambda: scored, [("score", T.DoubleType()), ("predicted", T.IntegerType())], drop=["codes"])
+    return arrow_columns(codes, lambda: scored, [("score", T.DoubleType()), ("predicted", T.IntegerType())], drop=["codes", "shapes"])
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
