@@ -3,13 +3,14 @@
 File format (all little-endian). One shard is ``payload | tables | tail``:
 
 * payload: the ids of all documents of the shard, unsigned, of 2 or 4 bytes (the tail says), nothing between them;
-* tables, for the shard's rows in file order: key int64, key-is-null uint8, number of ids uint64; then, by hash slot:
-  fingerprint uint32, first row uint32, number of rows uint32; then the hash itself: bits of each level in 64-bit words
-  and the count of set bits before each word, uint32;
+* tables, for the shard's rows in file order: key int64, key-is-null uint8, number of ids uint64; then a record for each
+  hash slot: fingerprint uint32, first row uint32, number of rows uint32, first id uint64, number of ids uint64; then the
+  hash itself: bits of each level in 64-bit words and the count of set bits before each word, uint32;
 * tail: a JSON text with the sizes and places of the above, its length as uint32, and eight magic bytes.
 
 ``manifest.json`` beside the shards lists them in key order with their key ranges and how many ids lie before each.
-A keyed read finds the shard by its range, the slot by the hash, compares the fingerprint, and reads one slice.
+A keyed read finds the shard by its range, reads a word of the hash for each level that the key passes and the record
+of its slot, compares the fingerprint, and reads one slice: a few short reads, however long the shard is.
 """
 
 from __future__ import annotations
@@ -32,6 +33,11 @@ from pathlore.llm._common import new_folder, read, text_or_empty
 MAGIC = b"PLORIDS1"
 #: Bits of a hash level for each key that reaches it.
 GAMMA = 2.0
+#: Types of a shard's tables.
+_SLOT = np.dtype([("print", "<u4"), ("first", "<u4"), ("rows", "<u4"), ("start", "<u8"), ("n", "<u8")])
+_TABLES = {"key": np.dtype("<i8"), "null": np.dtype("u1"), "n_ids": np.dtype("<u8"), "slot": _SLOT, "bits": np.dtype("<u8"), "before": np.dtype("<u4")}
+#: From one key for so many of a shard's slots on, its tables are read whole.
+MANY_KEYS = 64
 _STATS = "file string, n_docs long, n_ids long, n_keyed long, first_key long, last_key long"
 
 
@@ -106,14 +112,18 @@ class _ShardWriter:
         keyed = keys[~nulls]  # ascending, nulls before them
         distinct, first, n = np.unique(keyed, return_index=True, return_counts=True)
         hashed = PerfectHash.of(distinct)
-        slots = hashed(distinct)
-        prints, firsts, rows = (np.zeros(len(distinct), np.uint32) for _ in range(3))
-        prints[slots], firsts[slots], rows[slots] = fingerprint(distinct), first + nulls.sum(), n
-        tables = {"key": keys, "null": nulls.astype(np.uint8), "n_ids": counts, "print": prints, "first": firsts, "rows": rows, "bits": hashed.words, "before": hashed.before}
+        first = first + int(nulls.sum())
+        ends = np.concatenate([[0], np.cumsum(counts.astype(np.int64))])
+        slots = np.zeros(len(distinct), _SLOT)
+        own = hashed(distinct)
+        for name, values in (("print", fingerprint(distinct)), ("first", first), ("rows", n), ("start", ends[first]), ("n", ends[first + n] - ends[first])):
+            slots[name][own] = values
+        tables = {"key": keys, "null": nulls, "n_ids": counts, "slot": slots, "bits": hashed.words, "before": hashed.before}
         at, places = int(counts.sum()) * self.width, {}
-        for name, table in tables.items():
+        for name, kind in _TABLES.items():
+            table = tables[name].astype(kind)
             self.out.write(table.tobytes())
-            places[name] = [at, len(table), table.dtype.str]
+            places[name] = [at, len(table)]
             at += table.nbytes
         tail = json.dumps({"width": self.width, "tables": places, "levels": [len(x) for x in hashed.levels]}).encode()
         self.out.write(tail + np.uint32(len(tail)).tobytes() + MAGIC)
@@ -124,7 +134,7 @@ class _ShardWriter:
 
 
 class Shard:
-    """Reads a shard: its tables at once, its ids by slices."""
+    """Reads a shard. Its tables are read when they are wanted whole, its ids by slices."""
 
     def __init__(self, fs: pafs.FileSystem, path: str) -> None:
         self.file = fs.open_input_file(path)
@@ -134,30 +144,65 @@ class Shard:
             raise ValueError(f"not a shard of token ids: {path}")
         n = int(np.frombuffer(end[:4], "<u4")[0])
         tail = json.loads(self.file.read_at(n, size - 12 - n))
-        t = {k: np.frombuffer(self.file.read_at(m * np.dtype(d).itemsize, at), d) for k, (at, m, d) in tail["tables"].items()}
-        self.keys, self.nulls, self.counts = t["key"], t["null"].astype(bool), t["n_ids"].astype(np.int64)
-        self.prints, self.firsts, self.rows = t["print"], t["first"], t["rows"]
-        self.starts = np.cumsum(self.counts) - self.counts
-        self.width = tail["width"]
-        levels = np.split(t["bits"], np.cumsum(tail["levels"])[:-1]) if tail["levels"] else []
-        self.hash = PerfectHash(levels, t["before"])
+        self.width, self.levels, self.places = tail["width"], tail["levels"], tail["tables"]
+        self.whole: dict[str, np.ndarray] = {}
+
+    def __len__(self) -> int:
+        """Number of slots."""
+        return self.places["slot"][1]
+
+    def table(self, name: str) -> np.ndarray:
+        if name not in self.whole:
+            at, n = self.places[name]
+            self.whole[name] = np.frombuffer(self.file.read_at(n * _TABLES[name].itemsize, at), _TABLES[name])
+        return self.whole[name]
+
+    def _one(self, name: str, i: int) -> np.ndarray:
+        """One value of a table, by a read of its own."""
+        size = _TABLES[name].itemsize
+        return np.frombuffer(self.file.read_at(size, self.places[name][0] + i * size), _TABLES[name])[0]
+
+    def entry(self, key: int) -> tuple[int, int]:
+        """First id and number of ids of a key, by single reads; (-1, 0) for a key that isn't in."""
+        base, one = 0, np.array([key], np.int64)
+        for level, words in enumerate(self.levels):
+            at = int(_mix(one, level)[0]) % (64 * words)
+            word, bit = int(self._one("bits", base + at // 64)), at % 64
+            if word >> bit & 1:
+                slot = self._one("slot", int(self._one("before", base + at // 64)) + (word & ((1 << bit) - 1)).bit_count())
+                ok = slot["print"] == fingerprint(one)[0] and self._one("key", int(slot["first"])) == key
+                return (int(slot["start"]), int(slot["n"])) if ok else (-1, 0)
+            base += words
+        return -1, 0
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First row and number of rows of each key; (-1, 0) for keys that aren't in."""
-        slots = self.hash(keys)
-        ok = slots >= 0
-        ok[ok] = self.prints[slots[ok]] == fingerprint(keys[ok])
-        ok[ok] = self.keys[self.firsts[slots[ok]]] == keys[ok]
-        at = np.where(ok, slots, 0)
-        if not len(self.firsts):
-            return np.full(len(keys), -1), np.zeros(len(keys), np.int64)
-        return np.where(ok, self.firsts[at].astype(np.int64), -1), np.where(ok, self.rows[at].astype(np.int64), 0)
-
-    def ids(self, row: int, rows: int = 1) -> bytes:
-        """Ids of so many rows as unsigned 32-bit, little-endian."""
-        n, w = int(self.counts[row : row + rows].sum()), self.width
-        data = self.file.read_at(w * n, w * int(self.starts[row]))
-        return data if w == 4 else np.frombuffer(data, f"<u{w}").astype("<u4").tobytes()
+        """The slots' records of many keys and which keys are in."""
+        slots = self.table("slot")
+        if not len(slots):
+            return np.zeros(len(keys), _SLOT), np.zeros(len(keys), bool)
+        at = PerfectHash(np.split(self.table("bits"), np.cumsum(self.levels)[:-1]), self.table("before"))(keys)
+        own = slots[np.maximum(at, 0)]
+        return own, (at >= 0) & (own["print"] == fingerprint(keys)) & (self.table("key")[own["first"]] == keys)
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First id and number of ids of every row in file order, each by its key's slot, and which were found there.
+
+        Rows of one key follow each other from the slot's first id on; null keys have no slot and lie before the rest.
+        """
+        keys, nulls, counts = self.table("key"), self.table("null") > 0, self.table("n_ids").astype(np.int64)
+        slots, found = self.find(keys)
+        here, first = np.arange(len(keys)), slots["first"].astype(np.int64)
+        found &= (first <= here) & (here < first + slots["rows"])
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        lead = np.where(found, first, here)
+        start = np.where(nulls, ends[:-1], slots["start"].astype(np.int64) + ends[here] - ends[lead])
+        n = np.where(nulls | (slots["rows"] > 1), counts, slots["n"].astype(np.int64))
+        return start, n, found | nulls
+
+    def ids(self, start: int, n: int) -> bytes:
+        """n ids from a place on as unsigned 32-bit, little-endian."""
+        data = self.file.read_at(self.width * n, self.width * start)
+        return data if self.width == 4 else np.frombuffer(data, f"<u{self.width}").astype("<u4").tobytes()
 
 
 def write_ids(
@@ -207,8 +252,9 @@ def read_manifest(folder: str) -> dict:
 
 
 def scan_ids(spark: SparkSession, folder: str, block: int = 4 << 20) -> DataFrame:
-    """Every stored document in file order, read from the files: key, start, n_ids, ids (bytes), found (its key's own
-    lookup through the index leads to it; true for null keys, which the index leaves out)."""
+    """Every stored document in file order, read from the files: key, start, n_ids, ids (bytes), found. Place and number
+    of its ids are what its key's slot of the index says (null keys, which the index leaves out: the rows' own counts);
+    a row that the index doesn't lead to is not found and has nulls there."""
     shards = read_manifest(folder)["shards"]
     files = spark.createDataFrame([(s["file"], s["start"]) for s in shards], "file string, start long")
     schema = "key long, start long, n_ids long, ids binary, found boolean"
@@ -218,17 +264,18 @@ def scan_ids(spark: SparkSession, folder: str, block: int = 4 << 20) -> DataFram
             for file, start in zip(batch["file"].to_pylist(), batch["start"].to_pylist(), strict=True):
                 fs, path = pafs.FileSystem.from_uri(folder)
                 shard = Shard(fs, f"{path}/{file}")
-                first, n = shard.find(shard.keys)
-                here = np.arange(len(shard.keys))
-                found = shard.nulls | ((first >= 0) & (first <= here) & (here < first + n))
-                cuts = np.unique(np.searchsorted(shard.starts, np.arange(0, int(shard.counts.sum()) + block, block)))
-                cuts = np.unique(np.concatenate([[0], cuts, [len(here)]]))
-                for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                    data, counts = shard.ids(a, b - a), shard.counts[a:b]
-                    offsets = np.concatenate([[0], np.cumsum(4 * counts)]).astype(np.int32)
-                    ids = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data)])
-                    keys = pa.array(shard.keys[a:b], pa.int64(), mask=shard.nulls[a:b])
-                    yield pa.RecordBatch.from_arrays([keys, pa.array(shard.starts[a:b] + start), pa.array(counts), ids, pa.array(found[a:b])], names=["key", "start", "n_ids", "ids", "found"])
+                keys, nulls = shard.table("key"), shard.table("null") > 0
+                starts, counts, found = shard.rows()
+                block_of = np.cumsum(np.where(found, counts, 0)) // block
+                cuts = [0, *(np.flatnonzero(np.diff(block_of)) + 1).tolist(), len(keys)]
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                    own, lost = slice(a, b), ~found[a:b]
+                    here = list(zip(starts[own].tolist(), counts[own].tolist(), found[own].tolist(), strict=True))
+                    low = min((at for at, _, ok in here if ok), default=0)
+                    data = memoryview(shard.ids(low, max((at + n for at, n, ok in here if ok), default=low) - low))
+                    ids = pa.array([bytes(data[4 * (at - low) : 4 * (at - low + n)]) if ok else None for at, n, ok in here], pa.binary())
+                    columns = [pa.array(keys[own], mask=nulls[own]), pa.array(starts[own] + start, mask=lost), pa.array(counts[own], mask=lost), ids, pa.array(found[own])]
+                    yield pa.RecordBatch.from_arrays(columns, names=["key", "start", "n_ids", "ids", "found"])
 
     return files.repartition(max(1, len(shards)), "file").mapInArrow(scan, schema)
 
@@ -250,21 +297,27 @@ def get_ids(spark: SparkSession, folder: str, keys: DataFrame, key: str = "doc_i
         fs, path = pafs.FileSystem.from_uri(folder)
         at, shard = None, None
         for batch in batches:
-            out = []
-            for k, i in zip(batch["key"].to_pylist(), batch["shard"].to_pylist(), strict=True):
-                if i != at:
-                    at, shard = i, Shard(fs, f"{path}/{files[i]}")
-                (first,), (n,) = shard.find(np.array([k]))
-                if n:
-                    out.append({"key": k, "ids": shard.ids(int(first), int(n))})
-            yield pa.RecordBatch.from_pylist(out, pa.schema([("key", pa.int64()), ("ids", pa.binary())]))
+            own, of = batch["key"].to_numpy(), batch["shard"].to_numpy()
+            for group in np.split(np.arange(len(of)), np.flatnonzero(np.diff(of)) + 1) if len(of) else []:
+                if of[group[0]] != at:
+                    at = int(of[group[0]])
+                    shard = Shard(fs, f"{path}/{files[at]}")
+                wanted = own[group]
+                if MANY_KEYS * len(wanted) > len(shard):
+                    slots, found = shard.find(wanted)
+                    places = zip(slots["start"][found].tolist(), slots["n"][found].tolist(), wanted[found].tolist(), strict=True)
+                else:
+                    places = ((*shard.entry(k), k) for k in wanted.tolist())
+                for start, n, key in places:
+                    if n:
+                        yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([shard.ids(start, n)], pa.binary())], names=["key", "ids"])
 
     wanted = keys.select(F.col(key).cast("long").alias("key")).dropna().distinct()
     return wanted.mapInArrow(place, "key long, shard long").repartition("shard").sortWithinPartitions("shard").mapInArrow(fetch, "key long, ids binary")
 
 
 def op7_keyed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents' byte-level ids with end id 2, written as shards and read back through the index."""
+    """All documents' byte-level ids with end id 2, written as shards and read back by the places that the index gives."""
     folder = new_folder(spark, "op7-ids")
     write_ids(read(spark, sf_dir, "documents"), folder, lambda: tokens.vocabulary("byte_bpe_50k.json"), end=2, drops_space=False, shard_bytes=16 << 20)
     return scan_ids(spark, folder).select(

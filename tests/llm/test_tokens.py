@@ -2,12 +2,13 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow.fs as pafs
 import pytest
 from tokenizers import Tokenizer
 
 from pathlore.llm import tokens
 from pathlore.llm._common import new_folder
-from pathlore.llm.keyed_ids import PerfectHash, fingerprint, get_ids, op7_keyed_ids, scan_ids, write_ids
+from pathlore.llm.keyed_ids import PerfectHash, Shard, fingerprint, get_ids, op7_keyed_ids, scan_ids, write_ids
 from pathlore.llm.packing import op1_packing, pack, place
 
 from .conftest import SF
@@ -64,6 +65,43 @@ def test_keyed_access_and_odd_rows(spark, odd):
     assert got == {1: one * 2, 2: np.uint32(2).tobytes(), 6: encode(["long " * 60_000])[0].tobytes()}
 
 
+def test_single_reads_equal_whole_tables(spark):
+    docs = spark.createDataFrame([(3 * (i // 2), f"text {i} " * (i % 5)) for i in range(400)] + [(None, "x"), (None, None)], "doc_id long, text string")
+    folder = new_folder(spark, "ids")
+    manifest = byte_ids(docs, folder, shard_bytes=2000)
+    fs, path = pafs.FileSystem.from_uri(folder)
+    held = {}
+    for shard in (Shard(fs, f"{path}/{x['file']}") for x in manifest["shards"]):
+        keys = np.arange(-5, 700)
+        got = [shard.entry(k) for k in keys.tolist()]
+        assert not shard.whole  # no table was read whole
+        slots, found = shard.find(keys)
+        assert got == [(int(a), int(n)) if ok else (-1, 0) for a, n, ok in zip(slots["start"], slots["n"], found, strict=True)]
+        for k, (start, n) in zip(keys.tolist(), got, strict=True):
+            held[k] = held.get(k, b"") + shard.ids(start, n) if n else held.get(k, b"")
+    rows = scan_ids(spark, folder).collect()
+    want = {}
+    for r in sorted((r for r in rows if r.key is not None), key=lambda r: r.start):
+        want[r.key] = want.get(r.key, b"") + r.ids
+    assert {k: v for k, v in held.items() if v} == want and len(rows) == 402
+
+
+def test_places_of_rows_come_from_the_index(spark):
+    docs = spark.createDataFrame([(i // 2 if i < 20 else i, f"text {i}") for i in range(50)], "doc_id long, text string")
+    folder = new_folder(spark, "ids")
+    file = byte_ids(docs, folder)["shards"][0]["file"]
+    fs, path = pafs.FileSystem.from_uri(folder)
+    right = Shard(fs, f"{path}/{file}").rows()
+    assert right[2].all() and (np.diff(right[0]) == right[1][:-1]).all()
+    for column in ("start", "print"):
+        shard = Shard(fs, f"{path}/{file}")
+        slots = shard.table("slot").copy()
+        slots[column] += 1
+        shard.whole["slot"] = slots
+        start, _, found = shard.rows()
+        assert (start == right[0] + 1).all() if column == "start" else not found.any()
+
+
 def test_ids_of_an_empty_table(spark, empty):
     folder = new_folder(spark, "ids")
     assert byte_ids(empty, folder)["shards"] == []
