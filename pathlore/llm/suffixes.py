@@ -119,8 +119,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         names = np.empty(len(s), np.int64)
         names[found] = name
         found = lms[_by_doubling(names[lms])]
-        sa = induce(found)
-    return sa[1:]
+    return induce(found)[1:]  # the first round has put the substrings in order alone, other suffixes only by their seeds
 
 
 def common_prefixes(text: np.ndarray, sa: np.ndarray) -> np.ndarray:

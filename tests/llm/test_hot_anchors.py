@@ -35,3 +35,13 @@ def test_a_common_phrase_is_split_over_shards(spark, monkeypatch, phrase):
     monkeypatch.undo()
     assert out == brute(rows)
     assert max(sizes) < 0.4 * sum(sizes)
+
+
+def test_small_shards(spark, monkeypatch):
+    monkeypatch.setattr(sd, "SHARD_BYTES", 8000)
+    rng = random.Random(4)
+    own = lambda n: "".join(rng.choices("abcdefghij é", k=n))
+    ends = [own(40) for _ in range(30)]
+    rows = [(rng.randrange(1000), own(rng.randrange(60)) + "=" * rng.randrange(49, 121) + (own(40) if rng.random() < 0.7 else rng.choice(ends))) for _ in range(1200)]
+    rows += [(2000, "=" * 2800), (None, "=" * 70 + ends[0]), (2001, "x" * 900), (2002, "x" * 70), (2003, own(90))]
+    assert digest(remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(6))) == brute(rows)

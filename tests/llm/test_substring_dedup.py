@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 
 import numpy as np
@@ -33,6 +34,20 @@ def test_suffix_arrays_of_small_and_plain_texts():
         assert suffix_array(np.frombuffer(data, np.uint8)).tolist() == sorted(range(len(data)), key=lambda i: data[i:])
 
 
+def test_suffix_arrays_of_all_short_texts():
+    for n in range(1, 9):
+        for letters in itertools.product(b"ab", repeat=n):
+            data = bytes(letters)
+            assert suffix_array(np.frombuffer(data, np.uint8)).tolist() == sorted(range(n), key=lambda i: data[i:]), data
+
+
+def test_suffix_arrays_of_random_texts():
+    rng = random.Random(11)
+    for _ in range(3000):
+        data = bytes(rng.choices(rng.choice([b"ab", b"abc", bytes(range(256))]), k=rng.randrange(1, 60)))
+        assert suffix_array(np.frombuffer(data, np.uint8)).tolist() == sorted(range(len(data)), key=lambda i: data[i:]), data
+
+
 def brute(rows):
     """[(id, text)] -> sorted [(id, bytes, removed, spans, digest)]."""
     key = lambda i: -(2**63) if i is None else i
@@ -76,6 +91,19 @@ def test_shared_passages_ties_and_batches(spark, monkeypatch):
     assert digest(remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(7))) == brute(rows)
 
 
+@pytest.mark.parametrize("seed", range(5))
+def test_tables_of_eight_rows(spark, seed):
+    """So few anchors that all names of a shard's substrings are distinct, now and then."""
+    rng = random.Random(seed)
+    rows = []
+    for table in range(20):  # each with letters of its own, so that the tables don't meet
+        letters = chr(0x4E00 + table) + chr(0x5E00 + table) + "ab"[table % 2]
+        own = lambda n, letters=letters: "".join(rng.choices(letters, k=n))
+        pool = [own(rng.randrange(20, 60)) for _ in range(3)]
+        rows += [(8 * table + i, "".join(rng.choice([rng.choice(pool), own(rng.randrange(9))]) for _ in range(rng.randrange(1, 6)))) for i in range(8)]
+    assert digest(remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").coalesce(2))) == brute(rows)
+
+
 def test_a_long_text_of_one_character(spark):
     """Every place of it is an anchor and all its strings are equal."""
     tail = "".join(random.Random(4).choices("abcdefgh ", k=300))
