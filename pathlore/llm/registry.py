@@ -12,6 +12,7 @@ from pathlore.llm.decontaminate import op5_decontaminate
 from pathlore.llm.divergence import OP12_SQL, op12_divergence
 from pathlore.llm.exact_dedup import OP3_SQL, op3_exact_dedup
 from pathlore.llm.keyed_ids import op7_keyed_ids
+from pathlore.llm.lexical import OP11_SQL, op11_lexical
 from pathlore.llm.line_dedup import op10_line_dedup
 from pathlore.llm.near_dedup import op9_near_dedup
 from pathlore.llm.packing import op1_packing
@@ -32,10 +33,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": op8_chat,
     "op9_near_dedup": op9_near_dedup,
     "op10_line_dedup": op10_line_dedup,
+    "op11_lexical": op11_lexical,
     "op12_divergence": op12_divergence,
     "op13_pii": op13_pii,
 }
-ORACLE_SQL: dict[str, str] = {"op3_exact_dedup": OP3_SQL, "op12_divergence": OP12_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_exact_dedup": OP3_SQL, "op11_lexical": OP11_SQL, "op12_divergence": OP12_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
