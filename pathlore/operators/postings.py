@@ -20,10 +20,11 @@ def aliases() -> Column:
 KINDS = ("exact", "prefix1", "prefix2", "gram2", "gram3", "char", "extension")
 
 
-def build(catalog: DataFrame, kinds: Sequence[str] = KINDS) -> DataFrame:
+def build(catalog: DataFrame, kinds: Sequence[str] = KINDS, carry: Sequence[str] = ()) -> DataFrame:
     """Postings (of those kinds) of a catalog in long form, which no hot key makes a giant row. Duplicates of a record's
-    aliases go without a shuffle: the keys of one record are made distinct in its own row."""
-    row = catalog.select("id", aliases().alias("a"), F.when(~F.col("is_directory"), F.col("file_extension")).alias("ext"))
+    aliases go without a shuffle: the keys of one record are made distinct in its own row. Columns of the catalog in
+    carry come after the id."""
+    row = catalog.select("id", *carry, aliases().alias("a"), F.when(~F.col("is_directory"), F.col("file_extension")).alias("ext"))
     head = lambda n: F.transform(F.filter("a", lambda x: tx.n_graphemes(x) >= n), lambda x: tx.head(x, n))
     every = lambda n: F.flatten(F.transform("a", lambda x: tx.grams(x, n)))
     made = {
@@ -32,7 +33,7 @@ def build(catalog: DataFrame, kinds: Sequence[str] = KINDS) -> DataFrame:
     }
     of = lambda kind: F.transform(F.array_distinct(made[kind]()), lambda k: F.struct(F.lit(kind).alias("kind"), k.alias("key")))
     keys = F.concat(*map(of, kinds))
-    return row.select("id", F.explode(keys).alias("k")).select("k.kind", "k.key", "id")
+    return row.select("id", *carry, F.explode(keys).alias("k")).select("k.kind", "k.key", "id", *carry)
 
 
 def listed(postings: DataFrame) -> DataFrame:

@@ -72,7 +72,7 @@ _DIRS = "SELECT DISTINCT array_to_string(string_split(path, '/')[1:n::int], '/')
 _CHANGES = """, changes AS (
   SELECT event_id, ts, 'monitor' || cast(user_id % 4 AS varchar) AS monitor, event_id // 100 AS batch_id, f.path AS path,
          CASE WHEN cast(regexp_extract(props, '[0-9]+', 0) AS int) = 13 THEN 1 ELSE 0 END AS flags, event_type
-  FROM events JOIN files_part f ON events.event_id % 200 = f.k)"""
+  FROM events JOIN files_part f ON events.event_id % (SELECT max(k) FROM files_part) + 1 = f.k)"""
 
 SQL: dict[str, str] = {
     "fn_normalize": _WITH + " SELECT path, lower(strip_accents(nfc_normalize(path))) AS normalized FROM files_doc",
@@ -130,9 +130,17 @@ SQL: dict[str, str] = {
     "fn_latinize": """SELECT n_nationkey, word, l || ' ' || lower(n_name) AS latin, c || lower(n_name) AS compact, i || substr(lower(n_name), 1, 1) AS initials
        FROM nation, (VALUES ('Привет мир', 'privet mir', 'privetmir', 'pm'), ('Ελλάδα', 'ellada', 'ellada', 'e'), ('こんにちは', 'konnichiha', 'konnichiha', 'k'),
        ('产品 报告', 'chan pin bao gao', 'chanpinbaogao', 'cpbg'), ('서울', 'seoul', 'seoul', 's'), ('Æsir Ünal', 'æsir unal', 'æsirunal', 'u')) AS t(word, l, c, i)""",
-    "st_apply": _WITH + _CHANGES + ", al AS (SELECT DISTINCT k, path, alias FROM (SELECT k, path, unnest([normalized_name, compact, initials]) AS alias FROM cat) WHERE alias != ''), p AS (" + _POSTINGS.format(al="al", cat="cat")
-    + """), n AS (SELECT k, count(*) AS n_postings FROM p GROUP BY k), last AS (SELECT path, arg_max(event_type, event_id) AS event_type FROM changes GROUP BY path)
-       SELECT cat.path, cat.size + CASE WHEN last.path IS NULL THEN 0 ELSE 1 END AS size, n_postings FROM cat JOIN n USING (k) LEFT JOIN last ON cat.path = last.path WHERE last.event_type IS NULL OR last.event_type != 'error'""",
+    "st_apply": _WITH + _CHANGES + """, up AS (SELECT path, max(event_id) AS e FROM changes WHERE event_type != 'error' GROUP BY path), gone AS (SELECT path, max(event_id) AS e FROM changes WHERE event_type = 'error' GROUP BY path),
+       away AS (SELECT regexp_replace(path, '/[^/]*$', '') AS dir, max(event_id) AS e FROM changes WHERE event_id % 50 = 7 GROUP BY 1),
+       inside AS (SELECT *, starts_with(path, '/vol0/') OR starts_with(path, '/vol1/') AS told FROM cat),
+       live AS (SELECT k, path, false AS is_directory, size + CASE WHEN told AND up.e IS NOT NULL THEN 1 ELSE 0 END AS size FROM inside LEFT JOIN up USING (path) LEFT JOIN gone USING (path)
+         LEFT JOIN away ON away.dir = regexp_replace(path, '/[^/]*$', '') WHERE NOT told OR greatest(coalesce(gone.e, -2), coalesce(away.e, -2)) <= coalesce(up.e, -1)),
+       dirs AS (SELECT -row_number() OVER () AS k, path, string_split(path, '/')[-1] AS name FROM (""" + _DIRS.format(f="files_part") + """) WHERE starts_with(path, '/vol2') OR path NOT IN (SELECT dir FROM away)),
+       low AS (SELECT k, path, lower(name) AS name, trim(regexp_replace(replace(lower(name), '\'\'', ' '), '\\s+', ' ', 'g')) AS latin FROM dirs),
+       al AS (SELECT DISTINCT k, path, alias FROM (SELECT k, path, unnest([normalized_name, compact, initials]) AS alias FROM cat SEMI JOIN live USING (k)
+         UNION ALL SELECT k, path, unnest([name, replace(latin, ' ', ''), array_to_string(list_filter(list_transform(string_split(latin, ' '), lambda t: substr(t, 1, 1)), lambda ch: regexp_matches(ch, '^[a-z]$')), '')]) FROM low) WHERE alias != ''),
+       p AS (""" + _POSTINGS.format(al="al", cat="(SELECT k, file_extension FROM cat SEMI JOIN live USING (k))") + """), n AS (SELECT k, count(*) AS n_postings FROM p GROUP BY k)
+       SELECT path, is_directory, size, n_postings FROM live JOIN n USING (k) UNION ALL SELECT path, true, 0, n_postings FROM dirs JOIN n USING (k)""",
     "st_rescan_latch": _WITH + _CHANGES + ", bad AS (SELECT monitor, min(batch_id) AS since FROM changes WHERE flags % 8 != 0 GROUP BY monitor) SELECT event_id, monitor FROM changes LEFT JOIN bad USING (monitor) WHERE since IS NULL OR batch_id < since",
     "st_last_event": _WITH + _CHANGES + " SELECT monitor, max(event_id) AS last_event_id FROM changes GROUP BY monitor",
     "st_counters": _WITH + _CHANGES + """, d AS (SELECT batch_id, sum(CASE event_type WHEN 'error' THEN -1 WHEN 'purchase' THEN 1 ELSE 0 END) AS delta FROM changes GROUP BY batch_id)

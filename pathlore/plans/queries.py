@@ -268,10 +268,11 @@ def agg_unique_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events against the paths of parts; flag 1 asks for a rescan."""
+    """Events against the paths of all parts in turn; flag 1 asks for a rescan."""
     paths = files(spark, sf_dir, "files_part").select("k", "path")
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return events.join(paths, F.col("event_id") % 200 == F.col("k")).select(
+    parts = paths.agg(F.max("k").alias("parts"))  # one row
+    return events.crossJoin(F.broadcast(parts)).join(paths, F.col("event_id") % F.col("parts") + 1 == F.col("k")).select(
         "event_id", F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("monitor"), (F.col("user_id") % 4).cast("string")).alias("monitor"),
         F.floor(F.col("event_id") / 100).alias("batch_id"), "path", F.when(F.regexp_extract("props", "[0-9]+", 0).cast("int") == 13, 1).otherwise(0).cast("int").alias("flags"), "event_type",
     )
@@ -322,20 +323,30 @@ def st_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("monitor", F.size("paths").alias("n_paths"), "last_event_id")
 
 
-@query
-def st_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stream of all events applied to catalog and postings: an error event removes its path, others make it larger.
-    Each record of the last version, with how many postings it has."""
+def applied(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of a store to which two streams have applied all events, the second with a checkpoint of its own and
+    with older events than the first: an error event removes its path, others make it larger, and some take the
+    directory of their path away, of which the events don't say that it is one."""
     at, cat = folder(spark, "apply"), catalog(spark, sf_dir)
-    ap.start(cat, at)
     listed = files(spark, sf_dir, "files_part").select("path", "size", "is_directory", "created_at", "modified_at")
-    told = changes(spark, sf_dir).select("event_id", "path", (F.col("event_type") == "error").alias("gone")).join(listed, "path")
-    told = told.withColumn("size", F.col("size") + 1).selectExpr("event_id", "path", "gone", "size", "is_directory", "created_at", "modified_at")
-    told.repartition(3).write.parquet(f"{at}/in")
-    ap.apply_batches(spark.readStream.schema(ap.SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{at}/in"), at, f"{at}/state")
-    records, posted = ap.latest(spark, at)
+    ap.start(cat.unionByName(ct.records(ct.directories(files(spark, sf_dir, "files_part")))), at, ["/vol0", "/vol1", "/vol3"])
+    told = changes(spark, sf_dir).select("event_id", "path", (F.col("event_type") == "error").alias("gone"))
+    files_told = told.join(listed, "path").withColumn("size", F.col("size") + 1)
+    dirs_told = told.where("event_id % 50 = 7").select("event_id", F.regexp_replace("path", "/[^/]*$", "").alias("path"), F.lit(True).alias("gone"))
+    whole = files_told.unionByName(dirs_told, allowMissingColumns=True).selectExpr("event_id", "path", "gone", "size", "is_directory", "created_at", "modified_at")
+    for turn, part in (("new", "event_id % 3 != 0"), ("old", "event_id % 3 = 0 OR event_id % 5 = 0")):
+        whole.where(part).repartition(2).write.parquet(f"{at}/in-{turn}")
+        stream = spark.readStream.schema(ap.SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{at}/in-{turn}")
+        ap.apply_batches(stream, at, f"{at}/state-{turn}")
+    return at
+
+
+@query
+def st_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each record of the last version after two streams of changes, with how many postings it has."""
+    records, posted = ap.latest(spark, applied(spark, sf_dir))
     n = posted.groupBy("id").agg(F.count(F.lit(1)).alias("n_postings"))
-    return records.join(n, "id", "left").select("path", "size", "n_postings")
+    return records.join(n, "id", "left").select("path", "is_directory", "size", "n_postings")
 
 
 @query

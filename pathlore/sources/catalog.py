@@ -69,16 +69,17 @@ def limited(entries: DataFrame, n: int) -> DataFrame:
     return entries.orderBy("root_ord", "path").limit(n)
 
 
-def records(listing: DataFrame) -> DataFrame:
-    """The catalog of a listing: one projection, with Python for the ids and for names in other scripts alone."""
+def records(listing: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """The catalog of a listing: one projection, with Python for the ids and for names in other scripts alone. Columns
+    of the listing in carry come after it."""
     base = listing.select(
-        "path", tx.file_name(F.col("path")).alias("name"), F.greatest(F.coalesce("size", F.lit(0)), F.lit(0)).cast("long").alias("size"),
+        *carry, "path", tx.file_name(F.col("path")).alias("name"), F.greatest(F.coalesce("size", F.lit(0)), F.lit(0)).cast("long").alias("size"),
         F.coalesce("is_directory", F.lit(False)).alias("is_directory"), F.col("created_at").cast("timestamp"), F.col("modified_at").cast("timestamp"),
     ).withColumns({"normalized_name": tx.normalize(F.col("name")), "normalized_path": tx.normalize(F.col("path")), "file_extension": tx.extension(F.col("name"))})
     latin = tx.with_latin(base, "normalized_name", "pinyin_name")
     return latin.withColumns(
         {"pinyin_compact": tx.compact(F.col("pinyin_name")), "pinyin_initials": tx.initials(F.col("pinyin_name")), "id": tx.stable_id("normalized_path")}
-    ).select(*COLUMNS)
+    ).select(*COLUMNS, *carry)
 
 
 def repeated(catalog: DataFrame) -> DataFrame:

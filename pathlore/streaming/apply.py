@@ -1,66 +1,272 @@
-"""Batches of change events applied to a stored catalog and its postings: a new version for each batch."""
+"""Batches of change events applied to a stored catalog and its postings, at a cost in proportion to their changes.
+
+The store is a log. A base holds records, postings and graves; each batch appends a delta: the records that are there
+now with their event's id, their postings, and graves (paths that are gone, directories that were listed anew). Which
+records are live follows from all of them together and not from the order in which they came:
+
+* of several records of an id the one of the largest event id counts;
+* a grave ends the record of its path, and a directory's grave everything at and under it, if of a smaller event id.
+
+So late and repeated events, batches that run again and streams with a new checkpoint change nothing that newer events
+said. A version is a small pointer file, written last and under its final name at once: before it the former version
+is read, whatever else is half written. When the deltas hold more than a share of the base, or are many, a version
+gets a new base; ``vacuum`` removes what the last versions don't point to.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import json
+import uuid
+from collections.abc import Sequence
+from dataclasses import asdict, dataclass, field, replace
+from typing import Any
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pathlore.functions import text as tx
 from pathlore.operators import delta, postings
 from pathlore.sources import catalog as ct
 from pathlore.streaming import events as ev
 
-#: What a batch says of a path: gone, or there with this size and time.
+#: What a batch says of a path: gone, or there with this size and time. A directory that is there comes with its whole
+#: listing under the same event id.
 SCHEMA = "event_id long, path string, gone boolean, size long, is_directory boolean, created_at timestamp, modified_at timestamp"
+#: Deltas that hold this share of the base's rows, or are so many, go into a new base; records in a shard of the base.
+SHARE, DELTAS, SHARD_ROWS = 0.25, 64, 1_000_000
+#: Event id of records that no event has told of.
+BEFORE = -1
+_GRAVES = "path string, gone_id long, dir_id long"
+
+
+@dataclass(frozen=True)
+class Version:
+    """What a pointer file says."""
+
+    number: int
+    base: str
+    shards: int
+    base_rows: int
+    deltas: tuple[str, ...] = ()
+    delta_rows: int = 0
+    roots: tuple[str, ...] = ()
+    count: int = 0  #: live records
+    applied: dict[str, int] = field(default_factory=dict)  #: last batch of each stream
+    anchors: int = 0  #: paths of the last batch
+    delta: int = 0  #: records more after it
+    added: int = 0  #: totals over all batches
+    removed: int = 0
+    changed: int = 0
+    batches: int = 0
+
+
+def _fs(spark: SparkSession, path: str) -> tuple[Any, Any]:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
 
+def _pointers(spark: SparkSession, folder: str) -> list[int]:
+    fs, at = _fs(spark, f"{folder}/versions/*.json")
+    return sorted(int(f.getPath().getName().removesuffix(".json")) for f in fs.globStatus(at) or [])
 
-def _versions(spark: SparkSession, folder: str) -> list[int]:
-    """Numbers of the whole versions; the mark of one is written last."""
-    top = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/v-*/done/_SUCCESS")
-    found = top.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(top)
-    return sorted(int(f.getPath().getParent().getParent().getName()[2:]) for f in found or [])
 
+def version(spark: SparkSession, folder: str, number: int | None = None) -> Version:
+    """A version of the store, by default the last one."""
+    number = _pointers(spark, folder)[-1] if number is None else number
+    told = json.loads(spark.read.option("wholetext", True).text(f"{folder}/versions/{number:012d}.json").first()[0])
+    return Version(**{**told, "deltas": tuple(told["deltas"]), "roots": tuple(told["roots"])})
 
-def _write(folder: str, version: int, catalog: DataFrame, posted: DataFrame, seen: DataFrame) -> None:
-    at = f"{folder}/v-{version}"
-    catalog.write.mode("overwrite").parquet(f"{at}/records")
-    posted.write.mode("overwrite").parquet(f"{at}/postings")
-    seen.write.mode("overwrite").parquet(f"{at}/seen")
-    catalog.sparkSession.range(1).write.mode("overwrite").parquet(f"{at}/done")
 
+def _point(spark: SparkSession, folder: str, v: Version) -> Version:
+    """Makes v the last version: a file that is written elsewhere and renamed. Another writer's version stops this one."""
+    fs, draft = _fs(spark, f"{folder}/versions/.{uuid.uuid4().hex}")
+    out = fs.create(draft, False)
+    out.write(bytearray(json.dumps(asdict(v)).encode()))
+    out.close()
+    if not fs.rename(draft, _fs(spark, f"{folder}/versions/{v.number:012d}.json")[1]):
+        fs.delete(draft, False)
+        raise RuntimeError(f"version {v.number} of {folder} is there already: another stream has written it")
+    return v
 
-def _read(spark: SparkSession, folder: str, version: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return tuple(spark.read.parquet(f"{folder}/v-{version}/{name}") for name in ("records", "postings", "seen"))
 
+def _shard(shards: int) -> Column:
+    return F.pmod(F.col("id"), F.lit(shards)).cast("int").alias("shard")
 
-def start(catalog: DataFrame, folder: str) -> None:
-    """Version 0: a catalog, its postings, and no event seen."""
+
+def _write_base(spark: SparkSession, folder: str, records: DataFrame, posted: DataFrame, graves: DataFrame, rows: int) -> tuple[str, int]:
+    """A new base of records (with event_id), and into how many shards by id it is dealt."""
+    name, shards = f"base-{uuid.uuid4().hex}", max(1, rows // SHARD_ROWS)
+    records.select(*ct.COLUMNS, "event_id", _shard(shards)).repartition("shard").write.partitionBy("shard").parquet(f"{folder}/{name}/records")
+    posted.select("kind", "key", "id").write.parquet(f"{folder}/{name}/postings")
+    graves.select("path", "gone_id", "dir_id").write.parquet(f"{folder}/{name}/graves")
+    return name, shards
+
+
+def start(catalog: DataFrame, folder: str, roots: Sequence[str] = ()) -> None:
+    """Version 0: a catalog, its postings, and no event. Events of paths outside the roots, if any are given, are left out."""
     spark = catalog.sparkSession
-    _write(folder, 0, catalog, postings.build(catalog), spark.createDataFrame([], "path string, event_id long"))
+    n = catalog.count()
+    base, shards = _write_base(spark, folder, catalog.withColumn("event_id", F.lit(BEFORE).cast("long")), postings.build(catalog), spark.createDataFrame([], _GRAVES), n)
+    _point(spark, folder, Version(0, base, shards, n, roots=tuple(r.rstrip("/") for r in roots), count=n))
+
+
+@dataclass
+class State:
+    """A version's tables: base records (with event_id), ids of those that are dead, and live records of the deltas."""
+
+    base: DataFrame
+    dead: DataFrame | None
+    fresh: DataFrame | None
+    graves: DataFrame
+
+    def records(self) -> DataFrame:
+        if self.dead is None:
+            return self.base
+        return self.base.join(self.dead, "id", "left_anti").select(*self.base.columns).unionByName(self.fresh)
+
+
+def _at_or_above(path: Column) -> Column:
+    return F.array_union(ct.ancestors(path), F.array(path))
+
 
+def _state(spark: SparkSession, folder: str, v: Version, shards: Sequence[int] | None = None) -> State:
+    """The version's state; of those shards of the base alone, if told: paths that hash elsewhere are not to be asked for."""
+    base = spark.read.parquet(f"{folder}/{v.base}/records")
+    base = (base if shards is None else base.where(F.col("shard").isin([int(s) for s in shards]))).select(*ct.COLUMNS, "event_id")
+    graves = spark.read.schema(_GRAVES).parquet(*[f"{folder}/{d}/graves" for d in (v.base, *v.deltas)])
+    graves = graves.groupBy("path").agg(F.max("gone_id").alias("gone_id"), F.max("dir_id").alias("dir_id"))
+    if not v.deltas:
+        return State(base, None, None, graves)
+    told = spark.read.schema(base.schema).parquet(*[f"{folder}/{d}/records" for d in v.deltas])
+    newest = told.groupBy("id").agg(F.max(F.struct("event_id", *[c for c in ct.COLUMNS if c != "id"])).alias("r")).select("id", "r.*").select(*base.columns)
+    # a path that is gone was a directory if the newest record before that says so
+    known = base.select("path", "event_id", "is_directory").unionByName(told.select("path", "event_id", "is_directory"))
+    asked = graves.where("gone_id > coalesce(dir_id, -2)").select("path", "gone_id")
+    was = known.join(asked, "path").where("event_id < gone_id").groupBy("path", "gone_id").agg(F.max_by("is_directory", "event_id").alias("was")).where("was")
+    dirs = graves.where("dir_id is not null").select("path", F.col("dir_id").alias("at")).unionByName(was.select("path", F.col("gone_id").alias("at")))
+    dirs = dirs.groupBy(F.col("path").alias("above")).agg(F.max("at").alias("at"))
+    has_dirs = not dirs.isEmpty()
 
-def latest(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Catalog and postings of the last whole version."""
-    return _read(spark, folder, _versions(spark, folder)[-1])[:2]
+    def buried(rows: DataFrame) -> DataFrame:
+        """Ids of rows that a grave ends; without directories' graves no path is cut into its ancestors."""
+        gone = rows.select("id", "path", "event_id").join(graves.where("gone_id is not null").select("path", "gone_id"), "path").where("gone_id > event_id").select("id")
+        if not has_dirs:
+            return gone
+        under = rows.select("id", "event_id", F.explode(_at_or_above(F.col("path"))).alias("above")).join(dirs, "above").where("at > event_id").select("id")
+        return gone.unionByName(under)
+
+    newer = base.select("id", F.col("event_id").alias("old_id")).join(newest.select("id", "event_id"), "id")
+    dead = newer.where("event_id > old_id").select("id").unionByName(buried(base)).distinct()
+    stale = newer.where("event_id <= old_id").select("id").unionByName(buried(newest)).distinct()
+    return State(base, dead, newest.join(stale, "id", "left_anti").select(*base.columns), graves.join(dirs.withColumnRenamed("above", "path"), "path", "left").select("path", "gone_id", F.greatest("dir_id", "at").alias("dir_id")))
+
+
+def _postings(spark: SparkSession, folder: str, v: Version, state: State) -> DataFrame:
+    """Postings of live records: those of the base without the dead, and of the deltas those of live versions."""
+    base = spark.read.parquet(f"{folder}/{v.base}/postings")
+    if state.dead is None:
+        return base
+    told = spark.read.parquet(*[f"{folder}/{d}/postings" for d in v.deltas]).join(state.fresh.select("id", "event_id"), ["id", "event_id"], "left_semi")
+    return base.join(state.dead, "id", "left_anti").select("kind", "key", "id").unionByName(told.select("kind", "key", "id").distinct())
+
+
+def latest(spark: SparkSession, folder: str, number: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Catalog and postings of a version, by default of the last one."""
+    v = version(spark, folder, number)
+    state = _state(spark, folder, v)
+    return state.records().select(*ct.COLUMNS), _postings(spark, folder, v, state)
+
+
+def compact(spark: SparkSession, folder: str) -> Version:
+    """The last version with all deltas in a new base. Graves stay, so that events that come late still find them."""
+    v = version(spark, folder)
+    state = _state(spark, folder, v)
+    base, shards = _write_base(spark, folder, state.records(), _postings(spark, folder, v, state), state.graves, v.count)
+    return _point(spark, folder, replace(v, number=v.number + 1, base=base, shards=shards, base_rows=v.count, deltas=(), delta_rows=0, anchors=0, delta=0))
+
+
+def vacuum(spark: SparkSession, folder: str, keep: int = 2) -> None:
+    """Removes the pointers before the last ``keep`` and what none of those points to."""
+    numbers = _pointers(spark, folder)
+    used = {name for n in numbers[-keep:] for v in [version(spark, folder, n)] for name in (v.base, *v.deltas)}
+    for n in numbers[:-keep]:
+        fs, at = _fs(spark, f"{folder}/versions/{n:012d}.json")
+        fs.delete(at, False)
+    fs, at = _fs(spark, f"{folder}/*")
+    for found in fs.globStatus(at) or []:
+        name = found.getPath().getName()
+        if name.startswith(("base-", "delta-")) and name not in used:
+            fs.delete(found.getPath(), True)
+
+
+def _within(roots: Sequence[str]) -> Column:
+    under = F.lit(not roots)
+    for root in roots:
+        under = under | (F.col("path") == root) | F.col("path").startswith(f"{root}/")
+    return under
+
+
+def apply_batch(batch: DataFrame, folder: str, stream: str, number: int) -> Version:
+    """Appends a batch (SCHEMA) of a stream to the store; a batch that has been applied is left out."""
+    spark = batch.sparkSession
+    v = version(spark, folder)
+    if number <= v.applied.get(stream, -1):
+        return v
+    name = f"delta-{uuid.uuid4().hex}"
+    rows = batch.where(F.col("path").isNotNull() & F.col("event_id").isNotNull() & _within(v.roots))
+    there = rows.where(~F.coalesce("gone", F.lit(False)))
+    last = there.groupBy("path").agg(F.max(F.struct("event_id", "size", "is_directory", "created_at", "modified_at")).alias("r")).select("path", "r.*")
+    records = ct.records(last, carry=["event_id"])
+    records.write.parquet(f"{folder}/{name}/records")
+    records = spark.read.parquet(f"{folder}/{name}/records")
+    postings.build(records, carry=["event_id"]).write.parquet(f"{folder}/{name}/postings")
+    gone, listed = F.coalesce("gone", F.lit(False)), F.coalesce("is_directory", F.lit(False))
+    graves = rows.groupBy("path").agg(F.max(F.when(gone, F.col("event_id"))).alias("gone_id"), F.max(F.when(listed, F.col("event_id"))).alias("dir_id"))
+    graves.where("gone_id is not null or dir_id is not null").write.parquet(f"{folder}/{name}/graves")
+    graves = spark.read.schema(_GRAVES).parquet(f"{folder}/{name}/graves")
+
+    n = records.count()
+    told = records.select("path").unionByName(graves.select("path")).distinct()
+    anchors = told.count()
+    if not anchors:
+        return _point(spark, folder, replace(v, number=v.number + 1, applied={**v.applied, stream: number}, anchors=0, delta=0))
+    new = replace(v, number=v.number + 1, deltas=(*v.deltas, name), delta_rows=v.delta_rows + n + graves.count(), applied={**v.applied, stream: number}, anchors=anchors, batches=v.batches + 1)
+
+    # how many records more: of the shards of the batch's paths alone, unless a directory takes others with it
+    ids = told.select("path", tx.stable_id(tx.normalize(F.col("path"))).alias("id"))
+    shards = [r[0] for r in ids.select(_shard(v.shards)).distinct().collect()]
+    before = _state(spark, folder, v, shards)
+    dirs = graves.where("dir_id is not null").select("path").unionByName(before.records().where("is_directory").select("path").join(graves, "path", "left_semi").select("path")).distinct()
+    wide = not dirs.isEmpty()
+    states = [_state(spark, folder, x, None if wide else shards) for x in (v, new)]
+
+    def touched(state: State) -> int:
+        live = state.records().select("id", "path")
+        own = live.join(ids.select("id").distinct(), "id", "left_semi").select("id")
+        if wide:
+            own = own.unionByName(delta.under_roots(live.select("path", "id"), dirs.withColumnRenamed("path", "root")).select("id")).distinct()
+        return own.count()
+
+    more = touched(states[1]) - touched(states[0])
+    new = replace(new, count=v.count + more, delta=more, added=v.added + max(more, 0), removed=v.removed + max(-more, 0), changed=v.changed + (more == 0))
+    _point(spark, folder, new)
+    return compact(spark, folder) if new.delta_rows > SHARE * new.base_rows or len(new.deltas) > DELTAS else new
+
+
+def _stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that the checkpoint has: another one for each new checkpoint, also under an old one's name."""
+    return json.loads(spark.read.option("wholetext", True).text(f"{checkpoint.rstrip('/')}/metadata").first()[0])["id"]
 
 
 def apply_batches(stream: DataFrame, folder: str, checkpoint: str) -> None:
-    """Applies all events that are there now (SCHEMA), a new version of catalog and postings for each batch.
+    """Applies all events that are there now (SCHEMA), a version for each batch; an empty batch makes a version too.
 
-    Of a path's events the one of the largest id counts, also against those of earlier batches, so that late and
-    repeated events change nothing. Batch n makes version n + 1 of the last version before it: a batch that runs again,
-    because its work was lost, makes the same version again. Null paths are left out; an empty batch repeats a version.
+    Null paths and ids are left out. The order of events is that of their ids, within a batch and over all streams.
     """
+    ev.run(stream, lambda batch, number: apply_batch(batch, folder, _stream_id(batch.sparkSession, checkpoint), number), checkpoint)
+
 
-    def each(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        catalog, posted, seen = _read(spark, folder, max(v for v in _versions(spark, folder) if v <= number))
-        last = batch.where("path IS NOT NULL").withColumn("rn", F.row_number().over(Window.partitionBy("path").orderBy(F.desc("event_id")))).where("rn = 1").drop("rn")
-        news = last.join(seen.withColumnRenamed("event_id", "known"), "path", "left").where("known IS NULL OR event_id > known").drop("known")
-        there = ct.records(news.where("NOT gone")).withColumn("seq", F.lit(1))
-        gone = news.where("gone").select("path")
-        after = delta.apply_changes(catalog, gone, gone.limit(0), there)
-        ids = catalog.join(gone, "path", "left_semi").select("id").unionByName(there.select("id"))
-        told = news.select("path", "event_id").unionByName(seen).groupBy("path").agg(F.max("event_id").alias("event_id"))
-        _write(folder, number + 1, after, delta.apply_to_postings(posted, ids, there.drop("seq")), told)
-
-    ev.run(stream, each, checkpoint)
+def totals(spark: SparkSession, folder: str) -> DataFrame:
+    """One row: version, live records, and what all batches together have added, removed and changed."""
+    v = version(spark, folder)
+    return spark.createDataFrame([(v.number, v.count, v.added, v.removed, v.changed, v.batches)], "version long, item_count long, added long, removed long, changed long, batches long")
