@@ -68,9 +68,16 @@ def grams(alias: Column, n: int) -> Column:
 
 
 def natural_key(path: Column) -> Column:
-    """Orders digits by value: runs of them are padded; over the normalized path."""
+    """Orders digits by value, however many; over the normalized path. A run of digits is written without zeros before
+    it, after its length, and that after the length's own length, which is one character: longer numbers come later."""
     runs = F.regexp_extract_all(path, F.lit("([0-9]+|[^0-9]+)"), F.lit(1))
-    return F.array_join(F.transform(runs, lambda r: F.when(r.rlike("^[0-9]"), F.lpad(r, 20, "0")).otherwise(r)), "")
+
+    def number(r: Column) -> Column:
+        bare = F.ltrim(r, F.lit("0"))
+        size = F.length(bare).cast("string")
+        return F.concat(F.length(size).cast("string"), size, bare)
+
+    return F.array_join(F.transform(runs, lambda r: F.when(r.rlike("^[0-9]"), number(r)).otherwise(r)), "")
 
 
 @F.pandas_udf(T.LongType())

@@ -1,10 +1,11 @@
-"""The posting table (kind, key, id): which records have an alias that is, starts with or contains a key."""
+"""The posting table (kind, key, id), or blocks of it: which records have an alias that is, starts with or contains a key."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -20,29 +21,91 @@ def aliases() -> Column:
 KINDS = ("exact", "prefix1", "prefix2", "gram2", "gram3", "char", "extension")
 
 
+#: Parts a record's aliases where they stand in one string; names that have it aren't plain.
+_APART = "\0"
+
+
 def build(catalog: DataFrame, kinds: Sequence[str] = KINDS, carry: Sequence[str] = ()) -> DataFrame:
-    """Postings (of those kinds) of a catalog in long form, which no hot key makes a giant row. Duplicates of a record's
-    aliases go without a shuffle: the keys of one record are made distinct in its own row. Columns of the catalog in
-    carry come after the id."""
+    """Postings (of those kinds) of a catalog in long form, which no hot key makes a giant row. Columns of the catalog
+    in carry come after the id.
+
+    Duplicates of a record's aliases go without a shuffle: other keys are made distinct in its own row, and a gram of
+    plain aliases (a character is a grapheme) is one at the first place where it stands in all of them, written in a
+    row. So only places are exploded, and grams are cut in generated code.
+    """
     row = catalog.select("id", *carry, aliases().alias("a"), F.when(~F.col("is_directory"), F.col("file_extension")).alias("ext"))
+    row = row.withColumn("all", F.array_join("a", _APART))
+    row = row.withColumn("plain", ~(F.col("all").rlike(tx.NON_ASCII) | F.col("all").contains("\r\n") | (F.size(F.split("all", _APART)) != F.size("a"))))
     head = lambda n: F.transform(F.filter("a", lambda x: tx.n_graphemes(x) >= n), lambda x: tx.head(x, n))
-    every = lambda n: F.flatten(F.transform("a", lambda x: tx.grams(x, n)))
+    every = lambda n: F.when(F.col("plain"), F.array().cast("array<string>")).otherwise(F.flatten(F.transform("a", lambda x: tx.grams(x, n))))
     made = {
         "exact": lambda: F.col("a"), "prefix1": lambda: head(1), "prefix2": lambda: head(2), "gram2": lambda: every(2), "gram3": lambda: every(3),
         "char": lambda: head(1), "extension": lambda: F.filter(F.array("ext"), lambda e: e != ""),
     }
-    of = lambda kind: F.transform(F.array_distinct(made[kind]()), lambda k: F.struct(F.lit(kind).alias("kind"), k.alias("key")))
-    keys = F.concat(*map(of, kinds))
-    return row.select("id", *carry, F.explode(keys).alias("k")).select("k.kind", "k.key", "id", *carry)
-
-
-def listed(postings: DataFrame) -> DataFrame:
-    """One row for each key: its sorted distinct ids and how many."""
-    return postings.groupBy("kind", "key").agg(F.array_sort(F.collect_set("id")).alias("ids")).withColumn("df", F.size("ids").cast("long"))
+    nowhere, keyless = F.lit(None).cast("int").alias("at"), F.lit(None).cast("string").alias("key")
+    of = lambda kind: F.transform(F.array_distinct(made[kind]()), lambda k: F.struct(F.lit(kind).alias("kind"), k.alias("key"), nowhere))
+
+    def places(kind: str) -> Column:
+        last = F.length("all") - (int(kind[-1]) - 1)
+        some = F.when(F.col("plain") & (last >= 1), F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(some, lambda i: F.struct(F.lit(kind).alias("kind"), keyless, i.alias("at")))
+
+    grams = [k for k in kinds if k.startswith("gram")]
+    keys = F.concat(*map(of, kinds), *map(places, grams))
+    cut = F.when(F.col("kind") == "gram2", F.substring("all", F.col("at"), F.lit(2))).otherwise(F.substring("all", F.col("at"), F.lit(3)))
+    told = row.select("id", *carry, "all", F.explode(keys).alias("k")).select("id", *carry, "all", "k.*").withColumn("key", F.when(F.col("at").isNull(), F.col("key")).otherwise(cut))
+    first = F.col("at").isNull() | (~F.col("key").contains(_APART) & (F.instr("all", F.col("key")) == F.col("at")))
+    return told.where(first).select("kind", "key", "id", *carry)
+
+
+#: Ids in a block of a posting list, about, and at most.
+BLOCK, BLOCK_MOST = 2_048, 4_096
+
+
+def bits_for(records: int, block: int = BLOCK) -> int:
+    """Into 2 to the power of how many ranges ids are parted, so that about ``block`` of so many records are in each."""
+    return max(0, math.ceil(math.log2(max(1, records) / block)))
+
+
+def blocked(postings: DataFrame, bits: int) -> DataFrame:
+    """kind, key, block, ids, n: posting lists in blocks of the range of ids, of sorted distinct ids each.
+
+    Ids are hashes, so ranges hold alike many: a key that all records have is a row for each range, none of which grows
+    with the catalog; a rare key has a row for each id. A block that should hold more than BLOCK_MOST ids all the same
+    (hashes may collide in their first bits) goes on in a further row.
+    """
+    block = F.shiftright(F.col("id"), 64 - bits) if bits else F.lit(0).cast("long")
+    groups = postings.groupBy("kind", "key", block.alias("block")).agg(F.array_sort(F.collect_set("id")).alias("ids"))
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size("ids") - 1) / BLOCK_MOST).cast("int")), lambda i: F.slice("ids", i * BLOCK_MOST + 1, BLOCK_MOST))
+    return groups.select("kind", "key", "block", F.explode(parts).alias("ids")).withColumn("n", F.size("ids").cast("long"))
+
+
+def intersect(asked: DataFrame, blocks: DataFrame) -> DataFrame:
+    """query_id, id: the ids that the lists of all of a query's keys (query_id, kind, key: distinct) have in common.
+
+    Lists meet block by block. The shortest list of a query says which blocks matter: of the others only those are
+    dealt, and a block that one of the lists hasn't is left out before any ids are compared, shortest block first.
+    A key without a list leaves its query without rows.
+    """
+    asked = asked.select("query_id", "kind", "key").distinct()
+    lengths = blocks.join(asked.select("kind", "key").distinct(), ["kind", "key"], "left_semi").groupBy("kind", "key").agg(F.sum("n").alias("df"))
+    own = Window.partitionBy("query_id")
+    told = asked.join(lengths, ["kind", "key"], "left").withColumns(
+        {"need": F.count(F.lit(1)).over(own), "known": F.count("df").over(own), "place": F.row_number().over(own.orderBy("df", "kind", "key"))}
+    ).where("known = need")
+    hits = blocks.join(told.select("query_id", "kind", "key", "need", "place"), ["kind", "key"])
+    # a block's further rows are one list again
+    lists = hits.groupBy("query_id", "block", "place").agg(F.flatten(F.collect_list("ids")).alias("ids"), F.first("need").alias("need"))
+    first = hits.where("place = 1").select("query_id", "block").distinct()
+    lists = lists.join(first, ["query_id", "block"], "left_semi")
+    met = lists.groupBy("query_id", "block").agg(F.array_sort(F.collect_list(F.struct(F.size("ids").alias("n"), "ids"))).alias("lists"), F.first("need").alias("need"))
+    common = F.aggregate(F.slice("lists", 2, 2**30), F.col("lists")[0]["ids"], lambda a, x: F.array_intersect(a, x["ids"]))
+    return met.where(F.size("lists") == F.col("need")).select("query_id", F.explode(common).alias("id"))
 
 
 def frequencies(postings: DataFrame) -> DataFrame:
-    return postings.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("df"))
+    """How many records have each key, of postings in long form or in blocks."""
+    return postings.groupBy("kind", "key").agg((F.sum("n") if "n" in postings.columns else F.count(F.lit(1))).alias("df"))
 
 
 def save(postings: DataFrame, folder: str, item_count: int) -> None:

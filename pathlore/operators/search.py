@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pathlore.functions import score
 from pathlore.functions import text as tx
 from pathlore.functions.query import passes
-from pathlore.operators.postings import aliases
+from pathlore.operators.postings import aliases, frequencies, intersect
+from pathlore.sources.work import written
 
 CAP, LIMIT = 20_000, 100
 #: Queries that may be broadcast, and characters of queries whose keys may be; counted first.
@@ -49,7 +50,7 @@ def lookups(queries: DataFrame, postings: DataFrame, rarest: bool = True) -> Dat
     wanted = firsts.select(F.lit("char").alias("kind"), "key").unionByName(
         single.where("n >= 3").select(F.lit("gram3").alias("kind"), F.explode(tx.grams(F.col("text"), 3)).alias("key"))
     ).distinct()
-    df = postings.join(small(wanted, queries), ["kind", "key"], "left_semi").groupBy("kind", "key").agg(F.count(F.lit(1)).alias("df"))
+    df = frequencies(postings.join(small(wanted, queries), ["kind", "key"], "left_semi"))
     chars = firsts.join(df.where("kind = 'char'").select("key"), "key")
     per_query = chars.withColumn("need", F.count(F.lit(1)).over(Window.partitionBy("query_id")))
     tokens = per_query.select("query_id", F.lit("tokens").alias("route"), F.lit("char").alias("kind"), "key", "need")
@@ -83,8 +84,12 @@ def routes(queries: DataFrame, postings: DataFrame) -> DataFrame:
 
 
 def candidates(queries: DataFrame, postings: DataFrame, rarest: bool = True) -> DataFrame:
-    """query_id, id: records that a query's posting keys lead to. Few queries of one key need no shuffle."""
+    """query_id, id: records that a query's posting keys lead to, of postings in long form or in blocks. Few queries of
+    one key need no shuffle."""
     keys = small(lookups(queries, postings, rarest), queries)
+    if "ids" in postings.columns:
+        single = postings.join(keys.where("need = 1"), ["kind", "key"]).select("query_id", F.explode("ids").alias("id"))
+        return single.unionByName(intersect(keys.where("need > 1"), postings))
     hits = postings.join(keys, ["kind", "key"])
     single = hits.where("need = 1").select("query_id", "id")
     several = hits.where("need > 1").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need")).where("n = need").select("query_id", "id")
@@ -92,9 +97,20 @@ def candidates(queries: DataFrame, postings: DataFrame, rarest: bool = True) ->
 
 
 def capped(found: DataFrame, catalog: DataFrame, cap: int = CAP) -> DataFrame:
-    """The first ``cap`` candidates of each query in path order, and whether there were more. Off in search()."""
-    ranked = found.join(catalog.select("id", "path"), "id").withColumn("rn", F.row_number().over(Window.partitionBy("query_id").orderBy("path", "id")))
-    return ranked.where(F.col("rn") <= cap + 1).withColumn("truncated", F.max(F.col("rn") > cap).over(Window.partitionBy("query_id"))).where(F.col("rn") <= cap).drop("rn", "path")
+    """The first ``cap`` candidates of each query in path order, and whether there were more. Off in search().
+
+    Candidates are dealt by ranges of (query, path), so that a query which meets all records is in many tasks. The
+    counts of ranges tell where each begins within its query: ranges past the cap are left out unsorted, and only the
+    others are ranked, each by itself.
+    """
+    ranges = written(found.join(catalog.select("id", "path"), "id").repartitionByRange("query_id", "path", "id").withColumn("range", F.spark_partition_id()), "ranges")
+    counts = ranges.groupBy("query_id", "range").agg(F.count(F.lit(1)).alias("n"))
+    own = Window.partitionBy("query_id")
+    # a query has a row for each of its ranges, of which there are as many as tasks
+    begins = counts.withColumns({"before": F.sum("n").over(own.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), "truncated": F.sum("n").over(own) > cap})
+    begins = begins.withColumn("before", F.coalesce("before", F.lit(0).cast("long"))).where(F.col("before") < cap).drop("n")
+    within = Window.partitionBy("query_id", "range").orderBy("path", "id")
+    return ranges.join(begins, ["query_id", "range"]).withColumn("rn", F.row_number().over(within) + F.col("before")).where(F.col("rn") <= cap).select("query_id", "id", "truncated")
 
 
 def scored(rows: DataFrame) -> DataFrame:
@@ -125,7 +141,8 @@ def extension_early(queries: DataFrame, catalog: DataFrame, limit: int = LIMIT)
 
 
 def search(queries: DataFrame, catalog: DataFrame, postings: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """query_id, rank, score and the catalog's columns, by the posting plan."""
+    """query_id, rank, score and the catalog's columns, by the posting plan. A catalog that is bucketed by id stays where
+    it is: candidates alone are dealt."""
     hits = candidates(queries, postings).join(catalog, "id").join(small(queries), "query_id")
     return ranked(scored(hits), limit).select("query_id", "rank", "score", *catalog.columns)
 

@@ -30,7 +30,7 @@ _POSTINGS = """
   UNION SELECT 'gram3', substr(alias, i::int, 3), k FROM (SELECT k, alias, unnest(range(1, length(alias) - 1)) AS i FROM {al})
   UNION SELECT 'gram2', substr(alias, i::int, 2), k FROM (SELECT k, alias, unnest(range(1, length(alias))) AS i FROM {al})
   UNION SELECT 'extension', file_extension, k FROM {cat} WHERE file_extension != ''"""
-_NATURAL = "array_to_string(list_transform(regexp_extract_all({p}, '([0-9]+|[^0-9]+)'), lambda r: CASE WHEN regexp_matches(r, '^[0-9]') THEN lpad(r, 20, '0') ELSE r END), '')"
+_NATURAL = "array_to_string(list_transform(regexp_extract_all({p}, '([0-9]+|[^0-9]+)'), lambda r: CASE WHEN regexp_matches(r, '^[0-9]') THEN length(length(ltrim(r, '0'))::varchar)::varchar || length(ltrim(r, '0'))::varchar || ltrim(r, '0') ELSE r END), '')"
 
 #: Every alias list, query text and route of the standard queries over cat.
 _ROUTED = _ALIAS + f""", q AS (SELECT *, length(text) AS n, list_filter(string_split(text, ' '), lambda t: t != '') AS parts FROM {PARSED}),
@@ -61,6 +61,13 @@ _SCORE = """CASE WHEN text = '' THEN 8000
    WHEN compact != '' AND length(text) >= 3 AND contains(compact, text) THEN 6100
    WHEN initials != '' AND initials = text THEN 6200 WHEN initials != '' AND starts_with(initials, text) THEN 6000 END"""
 
+#: The greedy subsequence of q in name: how many characters it has, its worth, and the places of its last and first ones.
+_FOLD = """list_reduce(list_prepend({'qi': 0, 's': 0, 'last': -2, 'first': -1, 'ci': 0, 'ch': ''}, list_transform(string_split(name, ''), lambda ch: {'qi': 0, 's': 0, 'last': 0, 'first': 0, 'ci': 0, 'ch': ch})),
+   lambda a, x: {'qi': a.qi + CASE WHEN a.qi < length(q) AND substr(q, (a.qi + 1)::int, 1) = x.ch THEN 1 ELSE 0 END,
+     's': a.s + CASE WHEN a.qi < length(q) AND substr(q, (a.qi + 1)::int, 1) = x.ch THEN 100 + CASE WHEN a.ci = a.last + 1 THEN 80 ELSE 0 END + CASE WHEN a.ci = 0 OR NOT regexp_matches(a.ch, '[\\p{L}\\p{N}]') THEN 60 ELSE 0 END ELSE 0 END,
+     'last': CASE WHEN a.qi < length(q) AND substr(q, (a.qi + 1)::int, 1) = x.ch THEN a.ci ELSE a.last END,
+     'first': CASE WHEN a.first < 0 AND a.qi < length(q) AND substr(q, (a.qi + 1)::int, 1) = x.ch THEN a.ci ELSE a.first END, 'ci': a.ci + 1, 'ch': x.ch})"""
+
 
 def _search(rows: str, limit: int = 100) -> str:
     return f""", scored AS (SELECT *, ({_SCORE})::INT AS score FROM (SELECT *, {_TOKENS} AS best FROM {rows} WHERE {_PASSES})),
@@ -78,12 +85,13 @@ SQL: dict[str, str] = {
     "fn_normalize": _WITH + " SELECT path, lower(strip_accents(nfc_normalize(path))) AS normalized FROM files_doc",
     "fn_path_parts": _WITH + " SELECT path, name, file_extension AS ext FROM cat",
     "fn_stable_id": _WITH + " SELECT path, " + _SIGNED.format(h="h") + " AS id FROM (SELECT path, " + _FNV.format(p="lower(path)") + " AS h FROM files_part)",
-    "fn_record_project": _WITH + " SELECT name, normalized_name, latin AS pinyin_name, compact AS pinyin_compact, initials AS pinyin_initials, path, normalized_path, file_extension, is_directory, size FROM cat",
+    "fn_record_project": _WITH + " SELECT (SELECT " + _SIGNED.format(h=_FNV.format(p="normalized_path")) + ") AS id, created_at, modified_at, name, normalized_name, latin AS pinyin_name, compact AS pinyin_compact, initials AS pinyin_initials, path, normalized_path, file_extension, is_directory, size FROM cat",
+    "agg_storage_bytes": "SELECT sum(octet_length(encode(p_name)) + 1)::BIGINT AS bytes FROM part",
     "fn_pinyin_aliases": _WITH + " SELECT path, latin AS pinyin_name, compact AS pinyin_compact, initials AS pinyin_initials FROM cat_doc",
     "fn_aliases": _WITH + _ALIAS + " SELECT path, alias FROM al",
     "fn_ngrams": _WITH + " SELECT DISTINCT path, substr(normalized_name, i::int, 3) AS gram FROM (SELECT path, normalized_name, unnest(range(1, length(normalized_name) - 1)) AS i FROM cat)",
     "fn_words": _WITH + " SELECT path, word FROM (SELECT path, unnest(string_split_regex(normalized_name, '[^\\p{L}\\p{N}]+')) AS word FROM cat_doc) WHERE word != ''",
-    "fn_natural_key": _WITH + " SELECT path, " + _NATURAL.format(p="lower(path)") + " AS natural_key FROM files_line",
+    "fn_natural_key": _WITH + " SELECT path, " + _NATURAL.format(p="lower(path) || '/v' || rpad(k::varchar, 30, '7') || '-00' || k::varchar") + " AS natural_key FROM files_line",
     "fn_query_parse": """SELECT p_partkey AS query_id, lower(p_name) AS text, 'pdf' AS ext, lower(p_brand) AS path_contains, 'image' AS kind,
         p_size::BIGINT * 1000000 AS min_size, CASE WHEN p_size > 0 THEN p_size::INT END AS days FROM part""",
     "fn_byte_size": """SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN floor((p_size + 0.5) * 1e12) WHEN 1 THEN floor((p_size + 0.5) * 1e9) WHEN 2 THEN floor((p_size + 0.5) * 1e6)
@@ -98,7 +106,10 @@ SQL: dict[str, str] = {
     "flt_under_roots": _WITH + " SELECT path FROM files_line WHERE starts_with(path, '/vol4/O/') OR starts_with(path, '/vol4/F/A/')",
     "flt_rescan_flag": _WITH + _CHANGES + " SELECT event_id, flags % 8 != 0 AS rescan FROM changes",
     "agg_postings": _WITH + _ALIAS + ", ids AS (SELECT k, " + _SIGNED.format(h="h") + " AS id FROM (SELECT k, " + _FNV.format(p="normalized_path") + " AS h FROM cat)), p AS (" + _POSTINGS.format(al="al", cat="cat")
-    + ") SELECT kind, key, count(*) AS df, string_agg(id::varchar, ',' ORDER BY id) AS ids FROM p JOIN ids USING (k) GROUP BY kind, key",
+    + ") SELECT kind, key, floor(id / 1152921504606846976.0)::BIGINT AS block, count(*) AS n, string_agg(id::varchar, ',' ORDER BY id) AS ids FROM p JOIN ids USING (k) GROUP BY ALL",
+    "set_intersect_postings": _WITH + """, q AS (SELECT p_brand AS query_id, lower(min(p_name)) AS text FROM part GROUP BY p_brand), g AS (SELECT DISTINCT query_id, substr(text, i::int, 3) AS gram FROM (SELECT *, unnest(range(1, length(text) - 1)) AS i FROM q)),
+       need AS (SELECT query_id, count(*) AS need FROM g GROUP BY query_id), hits AS (SELECT query_id, path, gram FROM g JOIN cat ON contains(normalized_name, gram) OR contains(compact, gram) OR contains(initials, gram))
+       SELECT query_id, path FROM hits JOIN need USING (query_id) GROUP BY query_id, path, need HAVING count(*) = need""",
     "agg_posting_df": _WITH + ", al AS (SELECT DISTINCT k, alias FROM (SELECT path AS k, unnest([normalized_name, compact, initials]) AS alias FROM cat_line) WHERE alias != ''), p AS ("
     + _POSTINGS.format(al="al", cat="(SELECT path AS k, file_extension FROM cat_line)") + ") SELECT kind, key, count(*) AS df FROM p GROUP BY kind, key",
     "join_candidates": _WITH + _ROUTED + " SELECT query_id, path FROM cand",
@@ -109,6 +120,11 @@ SQL: dict[str, str] = {
        c AS (SELECT query_id, count(*) AS n FROM cand GROUP BY query_id), t AS (SELECT count(*) AS total FROM cat)
        SELECT r.query_id, route, total AS total_entries, coalesce(n, 0) AS candidates, least(coalesce(n, 0), 20000) AS examined, coalesce(n, 0) > 20000 AS truncated,
               least(coalesce(n, 0), 20000) >= total AND total > 10000 AS full_scan FROM r LEFT JOIN c USING (query_id), t""",
+    "score_fuzzy": f"""WITH c AS (SELECT p_partkey, q, lower(p_name) AS name FROM part, (VALUES ('rd wdgt'), ('ring'), ('b r'), ('rg'), ('zzzz'), ('')) AS t(q)),
+       f AS (SELECT *, length(name) - length(q) AS extra, strpos(name, q) - 1 AS pos, {_FOLD} AS e FROM c)
+       SELECT p_partkey, q, CASE WHEN q = '' THEN 1 WHEN name = q THEN 10000 WHEN starts_with(name, q) THEN 9000 - least(extra, 1000)
+         WHEN contains(name, q) THEN 7500 + CASE WHEN pos = 0 OR NOT regexp_matches(substr(name, pos::int, 1), '[\\p{{L}}\\p{{N}}]') THEN 500 ELSE 0 END - least(pos, 1000)
+         WHEN e.qi = length(q) THEN greatest(e.s - least(8 * e.first, 500) - least(extra, 500), 1) END::INT AS score FROM f""",
     "search_batch": _WITH + _ROUTED + _search("cand"),
     "search_scan": _WITH + _ROUTED + _search("cand"),
     "search_exhaustive": _WITH + f", rows AS (SELECT * FROM cat, {PARSED})" + _search("rows"),

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +13,7 @@ from pathlore.functions import text as tx
 from pathlore.operators import delta, postings, search
 from pathlore.plans.fixtures import files, raw_queries
 from pathlore.sources import catalog as ct
+from pathlore.sources.work import folder, written
 from pathlore.streaming import apply as ap
 from pathlore.streaming import events as ev
 
@@ -30,23 +29,18 @@ def query(f: Query) -> Query:
     return f
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; where none is set, in a local one, for a local master alone."""
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        top = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def catalog(spark: SparkSession, sf_dir: str, name: str = "files_part") -> DataFrame:
     return ct.records(ct.scan(files(spark, sf_dir, name)))
 
 
 def saved_postings(spark: SparkSession, cat: DataFrame) -> DataFrame:
-    """Postings written once and read by every plan that looks something up."""
-    return postings.load_or_build(spark, folder(spark, "postings"), cat)
+    """Blocks of postings, written once and read by every plan that looks something up."""
+    return written(postings.blocked(postings.build(cat), postings.bits_for(cat.count())), "postings")
+
+
+def bucketed(spark: SparkSession, cat: DataFrame) -> DataFrame:
+    """The catalog as a table that is dealt by id, so that joins by id leave it where it is."""
+    return ct.save_bucketed(cat, folder(spark, "catalog"))
 
 
 def parsed(spark: SparkSession) -> DataFrame:
@@ -74,7 +68,7 @@ def fn_stable_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def fn_record_project(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog(spark, sf_dir).drop("id", "created_at", "modified_at")
+    return catalog(spark, sf_dir)
 
 
 @query
@@ -82,6 +76,15 @@ def fn_pinyin_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog(spark, sf_dir, "files_doc").select("path", "pinyin_name", "pinyin_compact", "pinyin_initials")
 
 
+@query
+def agg_storage_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of a folder of text files in folders: the names of all parts, a line each."""
+    at = folder(spark, "bytes")
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_name", (F.col("p_partkey") % 3).alias("third"))
+    part.repartition(4).write.partitionBy("third").text(f"{at}/records")
+    return ct.storage_bytes(spark, at)
+
+
 @query
 def fn_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog(spark, sf_dir).select("path", F.explode(postings.aliases()).alias("alias"))
@@ -100,7 +103,9 @@ def fn_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def fn_natural_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files(spark, sf_dir, "files_line").select("path", tx.natural_key(F.lower("path")).alias("natural_key"))
+    """Paths of lines, with numbers of up to thirty digits and with zeros before them."""
+    name = F.concat(F.lower("path"), F.lit("/v"), F.rpad(F.col("k").cast("string"), 30, "7"), F.lit("-00"), F.col("k").cast("string"))
+    return files(spark, sf_dir, "files_line").select("path", tx.natural_key(name).alias("natural_key"))
 
 
 @query
@@ -192,8 +197,19 @@ def flt_rescan_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def agg_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = postings.listed(postings.build(catalog(spark, sf_dir)))
-    return out.select("kind", "key", "df", F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("ids"))
+    """Posting lists in sixteen blocks of the range of ids."""
+    out = postings.blocked(postings.build(catalog(spark, sf_dir)), 4)
+    return out.select("kind", "key", "block", "n", F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("ids"))
+
+
+@query
+def set_intersect_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records that have all grams of a part's own name (of one part in each brand), by blocks of eight ranges."""
+    cat = catalog(spark, sf_dir)
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").groupBy("p_brand").agg(F.min("p_name").alias("name"))
+    asked = part.select(F.col("p_brand").alias("query_id"), F.lit("gram3").alias("kind"), F.explode(tx.grams(F.lower("name"), 3)).alias("key"))
+    blocks = written(postings.blocked(postings.build(cat, ["gram3"]), 3), "postings")
+    return postings.intersect(asked, blocks).join(cat.select("id", "path"), "id").select("query_id", "path")
 
 
 @query
@@ -229,7 +245,7 @@ def score_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def search_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The standard queries by the posting plan."""
-    cat = catalog(spark, sf_dir)
+    cat = bucketed(spark, catalog(spark, sf_dir))
     return search.search(parsed(spark), cat, saved_postings(spark, cat)).select("query_id", "rank", "score", "path")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -117,6 +118,22 @@ def load(spark: SparkSession, folder: str) -> DataFrame:
         return spark.read.parquet(f"{folder}/records")
 
 
+def save_bucketed(catalog: DataFrame, folder: str, buckets: int | None = None) -> DataFrame:
+    """Records as a table dealt and sorted by id into as many files as buckets, by default as shuffles make partitions.
+    Joins by id read it without an exchange: only what it is joined with is dealt."""
+    spark = catalog.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"catalog_{uuid.uuid4().hex}"
+    catalog.repartition(n, "id").write.bucketBy(n, "id").sortBy("id").option("path", folder).format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Removes a saved catalog with all that lies beside it; one that isn't there is no error."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def storage_bytes(spark: SparkSession, folder: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     return files.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
