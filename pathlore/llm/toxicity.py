@@ -137,8 +137,12 @@ def severity(rows: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray) -> np
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str = "text", id_col: str = "doc_id", toxic: str = "toxic") -> OrdinalModel:
-    """Fits on about ``sample`` labelled rows, drawn by a hash of the id; all of them when there are fewer."""
-    known = labels.where(F.col(toxic).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(toxic).cast("int").alias("toxic")).dropDuplicates(["id"])
+    """Fits on about ``sample`` labelled rows, drawn by a hash of the id; all of them when there are fewer.
+
+    Labels without an id or a mark are left out, and an id with several marks has the largest; documents without a label
+    are left out, documents that share an id each count, and null texts are empty ones. Without rows nothing is toxic.
+    """
+    known = labels.where(F.col(toxic).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(F.col(toxic).cast("int")).alias("toxic"))
     share = min(1.0, sample / max(1, known.count()))
     drawn = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text).alias("text")).join(F.broadcast(drawn), "id")

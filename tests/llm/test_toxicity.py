@@ -56,3 +56,14 @@ def test_odd_rows(spark, odd, empty):
     assert not any(r.toxic for r in out.collect() if not (r.text or "").strip())
     assert tx.score(empty, tx.train(empty, labels)).count() == 0
     assert tx.score(odd, tx.train(odd, labels.limit(0))).where("toxic").count() == 0
+
+
+def test_several_labels_of_an_id(spark):
+    """The largest counts, in whatever order they come: the model is one and the same."""
+    docs = spark.createDataFrame([(i, ("bad word " if i % 3 == 0 else "fine text ") * (1 + i % 4)) for i in range(90)], "doc_id long, text string")
+    labels = [(i, int(i % 3 == 0)) for i in range(90)] + [(i, 0) for i in range(0, 90, 2)] + [(None, 1), (1, None)]
+    once = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)], "doc_id long, toxic int")
+    want = tx.train(docs, once)
+    for rows in (labels, labels[::-1]):
+        model = tx.train(docs, spark.createDataFrame(rows, "doc_id long, toxic int").repartition(5))
+        assert model.slots.tolist() == want.slots.tolist() and abs(model.weights - want.weights).max() < 1e-9
