@@ -4,9 +4,9 @@ Items are partitioned by the number of their shingles into classes up to 8, 16,
 are searched in windows of twice the class's size, overlapping by half, so that a passage as long as any of its items
 lies within a window and containment there bounds the Jaccard similarity from below (0.17 at a containment of 0.75).
 A window and an item that agree in any of REGISTERS least hashes make a candidate; the item's shingles are then looked
-up in the whole document's set. What that search can miss (a chance in a register, an item of one or two shingles in a
-long window, shingles scattered wider than a window) is found by the few shingles of an item of which a text that
-contains it must have one, so that the result is exact.
+up in the whole document's set. Items of one or two shingles are too little of a window for that: they are looked up by
+a shingle of their own that a text which contains them must have. An item whose shingles lie in a text scattered wider
+than a window is found the same way, but only if that is asked for (``scattered``): it takes such shingles of all items.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ from pathlore.llm._common import arrow_columns, packed, read, text_or_empty, unp
 
 #: At the least similarity of a window, all of them miss once in 240,000 times.
 REGISTERS = 64
-#: Smallest class of items, in shingles.
-SMALLEST = 8
+#: Smallest class of items, in shingles, and items of so few are looked up by their own shingles.
+SMALLEST, TINY = 8, 2
 #: Items are looked for in groups of at most about so many bytes of text: what is broadcast doesn't grow with them.
 GROUP_BYTES = 16 << 20
 _HITS = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("containment", T.DoubleType())]))
@@ -37,13 +37,14 @@ _HEAD_BITS = 22
 class Items:
     """A group of items, by size class: least hashes for lookup and full sets for verification."""
 
-    def __init__(self, rows: list[tuple[int | None, str | None]]) -> None:
+    def __init__(self, rows: list[tuple[int | None, str | None]], scattered: bool = False) -> None:
         both = [(i, s) for i, s in ((i, shingles.shingle_set(t)) for i, t in rows) if len(s)]
         self.ids, self.sets = [i for i, _ in both], [s for _, s in both]
         self.classes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         size = np.array([max(SMALLEST, 1 << (len(s) - 1).bit_length()) for s in self.sets], np.int64)
-        for c in np.unique(size).tolist():
-            own = np.flatnonzero(size == c)
+        tiny = np.array([len(s) <= TINY for s in self.sets], bool)
+        for c in np.unique(size[~tiny]).tolist():
+            own = np.flatnonzero((size == c) & ~tiny)
             least = shingles.minima([self.sets[i] for i in own], REGISTERS)
             order = np.argsort(least, axis=0, kind="stable")
             seen = np.zeros((REGISTERS, 1 << _BITS), bool)
@@ -52,7 +53,7 @@ class Items:
             self.classes[c] = (np.take_along_axis(least, order, axis=0), own[order], seen)
         # an item of n shingles lies in a text only if the text has one of any n - ceil(0.75 n) + 1 of them
         share, of = shingles.SIMILAR
-        heads = [s[: len(s) - -(-share * len(s) // of) + 1] for s in self.sets]
+        heads = [s[: len(s) - -(-share * len(s) // of) + 1] if scattered or len(s) <= TINY else s[:0] for s in self.sets]
         head, item = np.concatenate([np.zeros(0, np.uint64), *heads]), np.repeat(np.arange(len(heads)), [len(x) for x in heads])
         order = np.argsort(head, kind="stable")
         self.heads, self.head_items = head[order], item[order]
@@ -85,8 +86,8 @@ class Items:
         return out
 
     def rest(self, texts: list[np.ndarray]) -> set[tuple[int, int]]:
-        """All (text, item) pairs that can be hits, by the items' own shingles."""
-        if not texts:
+        """All (text, item) pairs that can be hits, of the items that are looked up by their own shingles."""
+        if not texts or not len(self.heads):
             return set()
         h, of = np.concatenate(texts), np.repeat(np.arange(len(texts)), [len(x) for x in texts])
         maybe = np.flatnonzero(self.head_seen[(h & np.uint64((1 << _HEAD_BITS) - 1)).astype(np.int64)])
@@ -114,13 +115,13 @@ class Items:
 
 
 def contained_items(
-    docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", columns: list[str] | None = None
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", columns: list[str] | None = None, scattered: bool = False
 ) -> DataFrame:
     """docs with ``hits``: (item_id, containment) of every benchmark item of whose distinct shingles (five words, A-Z
     lower-cased, fewer words are one shingle) at least 0.75 lie in the row's whole text; an own column ``hits`` gives
     way. Ids of rows aren't read; null and tied item ids are told like others. Null or empty texts contain nothing and items without words are in nothing; repeated items are each
     told; no items, or no rows, are no hits. The benchmark is taken in groups of bounded size. columns: those of docs to return
-    (all of them).
+    (all of them). scattered: items are also found whose shingles lie wider apart than twice their size class.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_id).cast("long").alias("id"), text_or_empty(item_text).alias("text"))
@@ -129,7 +130,7 @@ def contained_items(
     rows = docs.select(packed(docs.select(*[F.col(f"`{c}`") for c in own])), text_or_empty(F.col(f"`{text}`")).alias("_text"), F.array().cast(_HITS).alias("_hits"))
     for g in range(groups):
         few = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(groups)) == g).collect()  # of bounded size
-        shared = spark.sparkContext.broadcast(Items([tuple(r) for r in sorted(few, key=lambda r: (r.id is None, r.id or 0, r.text))]))
+        shared = spark.sparkContext.broadcast(Items([tuple(r) for r in sorted(few, key=lambda r: (r.id is None, r.id or 0, r.text))], scattered))
 
         def found(shared=shared) -> Callable[[pa.RecordBatch], list[pa.Array]]:
             memory = shingles.Words()

@@ -54,12 +54,30 @@ def test_scattered_and_very_short_items():
         parts = [words[j : j + 5] for j in range(max(1, len(words) - 4))]
         gone = set(rng.sample(range(len(parts)), len(parts) * (22 + i % 6) // 100))
         docs.append((i, " ".join(w for j, p in enumerate(parts) if j not in gone for w in [*p, *[word() for _ in range(rng.randrange(20, 60))]])))
-    found = Items(items).hits([t for _, t in docs])
+    found = Items(items, scattered=True).hits([t for _, t in docs])
     want = brute(docs, items)
     assert {k: sorted(h["item_id"] for h in hits) for (k, _), hits in zip(docs, found, strict=True)} == want
     assert 60 < sum(map(bool, want.values())) < 120
 
 
+def test_windows_alone_find_passages():
+    """Recall of the search by windows, of passages with a few words changed; only tiny items are looked up otherwise."""
+    rng = random.Random(10)
+    word = lambda: "w%d" % rng.randrange(10**6)
+    items, docs = [], []
+    for i in range(400):
+        words = [word() for _ in range(rng.choice([7, 8, 12, 20, 35, 70, 140]))]
+        items.append((i, " ".join(words)))
+        if len(words) > 12:
+            words[rng.randrange(len(words))] = word()
+        docs.append((i, " ".join([word() for _ in range(rng.randrange(3000))] + words + [word() for _ in range(rng.randrange(500))])))
+    few = Items(items)
+    assert not len(few.heads)
+    want, found = brute(docs, items), few.hits([t for _, t in docs])
+    right = sum(sorted(h["item_id"] for h in hits) == want[k] for (k, _), hits in zip(docs, found, strict=True))
+    assert sum(map(bool, want.values())) > 350 and right >= 399
+
+
 def test_odd_rows_and_groups(spark, odd, empty, monkeypatch):
     items = spark.createDataFrame([(1, "ONE two three four five six"), (2, None), (3, ""), (4, "long " * 7), (5, "absent words are not here at all")], "item_id long, text string")
     want = brute([(i, r.text) for i, r in enumerate(odd.collect())], [tuple(r) for r in items.collect()])
