@@ -241,12 +241,18 @@ class _Links:
         )
         heads = ranked.select("node", "grp", "n", "d", "g", "label", F.posexplode(F.expr("slice(all, 1, cast(d - common + 1 AS int))")).alias("p", "s")).where("s.c > 1")
         heads = self.keep(heads.select("node", "grp", "n", "d", "g", "label", "p", F.col("s.x").alias("x")), "near-heads")
+        # Texts of one label are linked: an element that only they have joins nothing, and of the others' elements the
+        # texts of the label that most have meet only those of other labels, never one another.
+        per_label = heads.groupBy("grp", "x", "label").agg(F.count(F.lit(1)).alias("n"))
+        most = per_label.groupBy("grp", "x").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.count(F.lit(1)).alias("labels")).where("labels > 1").drop("labels")
+        heads = self.keep(heads.join(bounded(most, heads), ["grp", "x"]), "near-meeting")
+        few = heads.where("label != most")
         other = heads.select("grp", "x", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "d", "g", "label", "p")])
         share, of = shingles.SIMILAR
         close = F.expr(
-            f"node < node_b AND label != label_b AND {of} * least(n, n_b) >= {share} * greatest(n, n_b) AND g + g_b > 0 AND g + g_b <= 14 * least(d - p, d_b - p_b)"
+            f"(node < node_b OR label_b = most) AND label != label_b AND {of} * least(n, n_b) >= {share} * greatest(n, n_b) AND g + g_b > 0 AND g + g_b <= 14 * least(d - p, d_b - p_b)"
         )
-        pairs = self.keep(heads.join(other, ["grp", "x"]).where(close).select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct(), "near-rare-pairs")
+        pairs = self.keep(few.join(other, ["grp", "x"]).where(close).select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct(), "near-rare-pairs")
         of_node = lambda x: apart.select(F.col("node").alias(x), F.col("g").alias(f"g_{x}"), F.col("apart").alias(f"apart_{x}"))
         both = pairs.join(of_node("b"), "b").join(of_node("a"), "a").where("g_a + g_b <= 14 * size(array_intersect(apart_a, apart_b))")
         return [links, self.keep(both.select("a", "b"), "near-links")]
