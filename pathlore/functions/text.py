@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -97,36 +98,109 @@ def stable_id(paths: pd.Series) -> pd.Series:
     return pd.Series(out.view(np.int64))
 
 
-#: Greek, Cyrillic and Armenian; Hebrew; Arabic; Georgian; kana; Han with its first extension; Hangul.
-SCRIPTS = ((0x370, 0x58F), (0x5D0, 0x5EA), (0x620, 0x64A), (0x10A0, 0x10FF), (0x3041, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3))
-_LATIN: dict[str, str] = {}
+#: Scripts whose letters change with their neighbours: what they become is learnt of pairs and longer clusters.
+CLUSTERED = {
+    "Greek": ((0x370, 0x3FF),), "Armenian": ((0x531, 0x587),), "Hebrew": ((0x5D0, 0x5EA),), "Arabic": ((0x620, 0x64A),), "kana": ((0x3041, 0x3096), (0x30A1, 0x30FC)),
+    "Devanagari": ((0x901, 0x94D),), "Bengali": ((0x981, 0x9CD),), "Tamil": ((0xB82, 0xBCD),), "Thai": ((0xE01, 0xE4D),),
+}
+#: Letters in a cluster at most: a doubled consonant, its letter, a small one and a long mark; a mark, a consonant and its vowel.
+LONGEST = {"kana": 4}
+#: Scripts of letters that stand alone: Cyrillic, Georgian, Han with its first extension. Hangul has hyphens between
+#: some syllables; Han has a space between any two.
+ALONE = ((0x400, 0x52F), (0x10A0, 0x10FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3))
+SCRIPTS = tuple(r for ranges in CLUSTERED.values() for r in ranges) + ALONE
+_HAN = ("\u3400", "\u9fff")
 
 
-def latin_map(spark: SparkSession) -> dict[str, str]:
-    """Character to Latin for scripts of letters that stand alone, by the transliterator that Spark ships."""
+def _folded(latin: str) -> str:
+    bare = "".join(c for c in unicodedata.normalize("NFD", latin) if not "\u0300" <= c <= "\u036f")
+    return unicodedata.normalize("NFC", bare).lower().replace("\u0307", "")
+
+
+class Latin:
+    """Letter clusters to folded Latin letters, found in a text from left to right, the longest first.
+
+    The table is learnt from the transliterator that Spark ships, once, on the driver: a letter, and any cluster and
+    letter that together become something else than one after the other. What follows a cluster is tried only if it
+    forms a pair with the cluster's first or last letter.
+    """
+
+    def __init__(self, transliterated: Callable[[list[str]], list[str]]) -> None:
+        letters = lambda ranges: [chr(c) for a, b in ranges for c in range(a, b + 1) if unicodedata.category(chr(c))[0] in "LM"]
+        fold = lambda xs: dict(zip(xs, map(_folded, transliterated(xs)), strict=True)) if xs else {}
+        self.table = fold(letters(ALONE))
+        for script, ranges in CLUSTERED.items():
+            # a space is the end of a word of Thai, which parts of words don't tell
+            parts = (lambda xs: {x: v.replace(" ", "") for x, v in fold(xs).items()}) if script == "Thai" else fold
+            own = parts(letters(ranges))
+            self.table |= own
+            found, after = own, {x: own for x in own}
+            for _ in range(LONGEST.get(script, 3) - 1):
+                tried = parts([x + y for x in found for y in {*after.get(x[-1], ()), *after.get(x[0], ())}])
+                found = {x: v for x, v in tried.items() if v != self.table[x[:-1]] + self.table[x[-1]]}
+                if found and len(next(iter(found))) == 2:
+                    after = {}
+                    for x in found:
+                        after.setdefault(x[0], []).append(x[1])
+                self.table |= found
+        self.longest: dict[str, int] = {}
+        for x in self.table:
+            self.longest[x[0]] = max(len(x), self.longest.get(x[0], 0))
+        # between two syllables of Hangul stands what stands between syllables with such an end and such a beginning
+        pairs = {(f, i): chr(0xAC00 + f) + chr(0xAC00 + i * 588) for f in range(28) for i in range(19)}
+        both = fold(list(pairs.values()))
+        self.hyphen = {k for k, p in pairs.items() if both[p] != self.table[p[0]] + self.table[p[1]]}
+        self.runs = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in SCRIPTS) + "]+")
+
+    def _run(self, m: re.Match) -> str:
+        s, i, out, before = m.group(), 0, [], ""
+        while i < len(s):
+            for k in range(min(self.longest.get(s[i], 1), len(s) - i), 0, -1):
+                if (hit := self.table.get(s[i : i + k])) is not None:
+                    break
+            else:
+                hit, k = s[i], 1
+            if before:
+                if _HAN[0] <= before <= _HAN[1] and _HAN[0] <= s[i] <= _HAN[1]:
+                    out.append(" ")
+                elif before >= "\uac00" and s[i] >= "\uac00" and ((ord(before) - 0xAC00) % 28, (ord(s[i]) - 0xAC00) // 588) in self.hyphen:
+                    out.append("-")
+            out.append(hit)
+            i += k
+            before = s[i - 1]
+        return "".join(out)
+
+    def __call__(self, text: str) -> str:
+        return self.runs.sub(self._run, text)
+
+
+_LATIN: list[Latin] = []
+
+
+def latin_clusters(spark: SparkSession) -> Latin:
     if not _LATIN:
-        chars = [chr(c) for a, b in SCRIPTS for c in range(a, b + 1) if unicodedata.category(chr(c))[0] == "L"]
         to_latin = spark._jvm.com.ibm.icu.text.Transliterator.getInstance("Any-Latin")
-        _LATIN.update(zip(chars, to_latin.transliterate("\n".join(chars)).split("\n"), strict=True))
-    return _LATIN
+        _LATIN.append(Latin(lambda xs: to_latin.transliterate("\n".join(xs)).split("\n")))
+    return _LATIN[0]
 
 
-def with_latin(df: DataFrame, normalized: str, out: str) -> DataFrame:
-    """df with the Latin form of a normalized column: transliterated, folded, apostrophes and runs of space as one space.
+def with_latin(df: DataFrame, name: str, out: str) -> DataFrame:
+    """df with the Latin form of a column of names: transliterated, folded, apostrophes and runs of space as one space.
 
-    Python sees the rows with other scripts alone: they are a branch of their own.
+    Python sees the rows with other scripts alone: they are a branch of their own. Scripts that SCRIPTS doesn't list
+    stay as they are. A word of Thai isn't parted from the next one where no space stands between them, and phrases of
+    Han that are read otherwise than their characters alone aren't known.
     """
-    table = latin_map(df.sparkSession)
+    clusters = latin_clusters(df.sparkSession)
 
     @F.pandas_udf(T.StringType())
     def to_latin(names: pd.Series) -> pd.Series:
-        han = re.compile("(?<=[㐀-䶿一-鿿])(?=[㐀-䶿一-鿿])")
-        return names.map(lambda s: "".join(table.get(c, c) for c in han.sub(" ", s)))
+        return names.map(clusters)
 
     tidy = lambda c: F.trim(F.regexp_replace(F.replace(c, F.lit("'"), F.lit(" ")), r"\s+", " "))
-    other = F.coalesce(F.col(normalized), F.lit("")).rlike("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in SCRIPTS) + "]")
-    plain = df.where(~other).withColumn(out, tidy(F.col(normalized)))
-    return plain.unionByName(df.where(other).withColumn(out, to_latin(normalized)).withColumn(out, tidy(normalize(F.col(out)))))
+    other = F.coalesce(F.col(name), F.lit("")).rlike("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in SCRIPTS) + "]")
+    plain = df.where(~other).withColumn(out, tidy(normalize(F.col(name))))
+    return plain.unionByName(df.where(other).withColumn(out, to_latin(_icu("compose", F.col(name)))).withColumn(out, tidy(normalize(F.col(out)))))
 
 
 def compact(latin: Column) -> Column:

@@ -144,8 +144,7 @@ SQL: dict[str, str] = {
        g AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY monitor ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM m)
        SELECT monitor, count(DISTINCT path)::INT AS n_paths, max(event_id) AS last_event_id FROM g GROUP BY monitor, run""",
     "fn_latinize": """SELECT n_nationkey, word, l || ' ' || lower(n_name) AS latin, c || lower(n_name) AS compact, i || substr(lower(n_name), 1, 1) AS initials
-       FROM nation, (VALUES ('Привет мир', 'privet mir', 'privetmir', 'pm'), ('Ελλάδα', 'ellada', 'ellada', 'e'), ('こんにちは', 'konnichiha', 'konnichiha', 'k'),
-       ('产品 报告', 'chan pin bao gao', 'chanpinbaogao', 'cpbg'), ('서울', 'seoul', 'seoul', 's'), ('Æsir Ünal', 'æsir unal', 'æsirunal', 'u')) AS t(word, l, c, i)""",
+       FROM nation, (VALUES ('Привет Йод', 'privet jod', 'privetjod', 'pj'), ('Ελλάδα', 'ellada', 'ellada', 'e'), ('ευρώ αυτό', 'euro auto', 'euroauto', 'ea'), ('こんにちは', 'kon nichiha', 'konnichiha', 'kn'), ('きゃく', 'kyaku', 'kyaku', 'k'), ('がっこう', 'gakkou', 'gakkou', 'g'), ('コーヒー', 'kohi', 'kohi', 'k'), ('产品 报告', 'chan pin bao gao', 'chanpinbaogao', 'cpbg'), ('서울', 'seoul', 'seoul', 's'), ('맑음', 'malg-eum', 'malg-eum', 'm'), ('Æsir Ünal', 'æsir unal', 'æsirunal', 'u'), ('हिन्दी', 'hindi', 'hindi', 'h'), ('तस्वीरें', 'tasvirem', 'tasvirem', 't'), ('ไทย', 'thiy', 'thiy', 't'), ('বাংলা', 'banla', 'banla', 'b'), ('தமிழ்', 'tamil', 'tamil', 't')) AS t(word, l, c, i)""",
     "st_apply": _WITH + _CHANGES + """, up AS (SELECT path, max(event_id) AS e FROM changes WHERE event_type != 'error' GROUP BY path), gone AS (SELECT path, max(event_id) AS e FROM changes WHERE event_type = 'error' GROUP BY path),
        away AS (SELECT regexp_replace(path, '/[^/]*$', '') AS dir, max(event_id) AS e FROM changes WHERE event_id % 50 = 7 GROUP BY 1),
        inside AS (SELECT *, starts_with(path, '/vol0/') OR starts_with(path, '/vol1/') AS told FROM cat),

@@ -365,11 +365,15 @@ def st_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.join(n, "id", "left").select("path", "is_directory", "size", "n_postings")
 
 
+#: Words of other scripts, in which letters change with their neighbours.
+WORDS = ["Привет Йод", "Ελλάδα", "ευρώ αυτό", "こんにちは", "きゃく", "がっこう", "コーヒー", "产品 报告", "서울", "맑음", "Æsir Ünal", "हिन्दी", "तस्वीरें", "ไทย", "বাংলা", "தமிழ்"]
+
+
 @query
 def fn_latinize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names of nations with words of other scripts, folded and written in Latin letters."""
-    words = spark.sql("SELECT explode(array('Привет мир', 'Ελλάδα', 'こんにちは', '产品 报告', '서울', 'Æsir Ünal')) AS word")
-    names = spark.read.parquet(f"{sf_dir}/nation.parquet").join(F.broadcast(words)).select("n_nationkey", "word", tx.normalize(F.concat("word", F.lit(" "), "n_name")).alias("name"))
+    """Names of nations with words of other scripts, written in Latin letters and folded."""
+    words = spark.createDataFrame([(w,) for w in WORDS], "word string")
+    names = spark.read.parquet(f"{sf_dir}/nation.parquet").join(F.broadcast(words)).select("n_nationkey", "word", F.concat("word", F.lit(" "), "n_name").alias("name"))
     latin = tx.with_latin(names, "name", "latin")
     return latin.select("n_nationkey", "word", "latin", tx.compact(F.col("latin")).alias("compact"), tx.initials(F.col("latin")).alias("initials"))
 

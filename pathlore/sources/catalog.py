@@ -77,7 +77,7 @@ def records(listing: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
         *carry, "path", tx.file_name(F.col("path")).alias("name"), F.greatest(F.coalesce("size", F.lit(0)), F.lit(0)).cast("long").alias("size"),
         F.coalesce("is_directory", F.lit(False)).alias("is_directory"), F.col("created_at").cast("timestamp"), F.col("modified_at").cast("timestamp"),
     ).withColumns({"normalized_name": tx.normalize(F.col("name")), "normalized_path": tx.normalize(F.col("path")), "file_extension": tx.extension(F.col("name"))})
-    latin = tx.with_latin(base, "normalized_name", "pinyin_name")
+    latin = tx.with_latin(base, "name", "pinyin_name")
     return latin.withColumns(
         {"pinyin_compact": tx.compact(F.col("pinyin_name")), "pinyin_initials": tx.initials(F.col("pinyin_name")), "id": tx.stable_id("normalized_path")}
     ).select(*COLUMNS, *carry)
