@@ -81,6 +81,11 @@ _CHANGES = """, changes AS (
          CASE WHEN cast(regexp_extract(props, '[0-9]+', 0) AS int) = 13 THEN 1 ELSE 0 END AS flags, event_type
   FROM events JOIN files_part f ON events.event_id % (SELECT max(k) FROM files_part) + 1 = f.k)"""
 
+_STALE = """, restarted AS (SELECT * REPLACE (CASE WHEN event_id % 97 = 0 THEN 8 ELSE flags END AS flags) FROM changes),
+  state AS (SELECT *, coalesce(last_value(CASE WHEN rescan THEN true WHEN again THEN false END IGNORE NULLS) OVER (PARTITION BY monitor ORDER BY batch_id ROWS UNBOUNDED PRECEDING), false) AS stale
+    FROM (SELECT monitor, batch_id, bool_or(flags % 8 != 0) AS rescan, bool_or(flags = 8) AS again, max(event_id) AS e, max(ts) AS t, sum(CASE event_type WHEN 'error' THEN -1 WHEN 'purchase' THEN 1 ELSE 0 END) AS delta
+      FROM restarted GROUP BY monitor, batch_id))"""
+
 SQL: dict[str, str] = {
     "fn_normalize": _WITH + " SELECT path, lower(strip_accents(nfc_normalize(path))) AS normalized FROM files_doc",
     "fn_path_parts": _WITH + " SELECT path, name, file_extension AS ext FROM cat",
@@ -142,7 +147,7 @@ SQL: dict[str, str] = {
     "agg_delta_stats": _WITH + _CHANGES + " SELECT (SELECT count(DISTINCT path) FROM changes) AS anchors, count(*) AS before_count, count(*) FILTER (size % 2000000 != 0) AS after_count, count(*) FILTER (size % 2000000 != 0) - count(*) AS delta FROM cat",
     "st_debounce": _WITH + _CHANGES + """, m AS (SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY monitor ORDER BY ts) >= INTERVAL 90 MINUTE, true) AS fresh FROM changes),
        g AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY monitor ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM m)
-       SELECT monitor, count(DISTINCT path)::INT AS n_paths, max(event_id) AS last_event_id FROM g GROUP BY monitor, run""",
+       SELECT monitor, count(DISTINCT path) AS n_paths, max(event_id) AS last_event_id FROM g GROUP BY monitor, run""",
     "fn_latinize": """SELECT n_nationkey, word, l || ' ' || lower(n_name) AS latin, c || lower(n_name) AS compact, i || substr(lower(n_name), 1, 1) AS initials
        FROM nation, (VALUES ('Привет Йод', 'privet jod', 'privetjod', 'pj'), ('Ελλάδα', 'ellada', 'ellada', 'e'), ('ευρώ αυτό', 'euro auto', 'euroauto', 'ea'), ('こんにちは', 'kon nichiha', 'konnichiha', 'kn'), ('きゃく', 'kyaku', 'kyaku', 'k'), ('がっこう', 'gakkou', 'gakkou', 'g'), ('コーヒー', 'kohi', 'kohi', 'k'), ('产品 报告', 'chan pin bao gao', 'chanpinbaogao', 'cpbg'), ('서울', 'seoul', 'seoul', 's'), ('맑음', 'malg-eum', 'malg-eum', 'm'), ('Æsir Ünal', 'æsir unal', 'æsirunal', 'u'), ('हिन्दी', 'hindi', 'hindi', 'h'), ('तस्वीरें', 'tasvirem', 'tasvirem', 't'), ('ไทย', 'thiy', 'thiy', 't'), ('বাংলা', 'banla', 'banla', 'b'), ('தமிழ்', 'tamil', 'tamil', 't')) AS t(word, l, c, i)""",
     "st_apply": _WITH + _CHANGES + """, up AS (SELECT path, max(event_id) AS e FROM changes WHERE event_type != 'error' GROUP BY path), gone AS (SELECT path, max(event_id) AS e FROM changes WHERE event_type = 'error' GROUP BY path),
@@ -156,8 +161,13 @@ SQL: dict[str, str] = {
          UNION ALL SELECT k, path, unnest([name, replace(latin, ' ', ''), array_to_string(list_filter(list_transform(string_split(latin, ' '), lambda t: substr(t, 1, 1)), lambda ch: regexp_matches(ch, '^[a-z]$')), '')]) FROM low) WHERE alias != ''),
        p AS (""" + _POSTINGS.format(al="al", cat="(SELECT k, file_extension FROM cat SEMI JOIN live USING (k))") + """), n AS (SELECT k, count(*) AS n_postings FROM p GROUP BY k)
        SELECT path, is_directory, size, n_postings FROM live JOIN n USING (k) UNION ALL SELECT path, true, 0, n_postings FROM dirs JOIN n USING (k)""",
-    "st_rescan_latch": _WITH + _CHANGES + ", bad AS (SELECT monitor, min(batch_id) AS since FROM changes WHERE flags % 8 != 0 GROUP BY monitor) SELECT event_id, monitor FROM changes LEFT JOIN bad USING (monitor) WHERE since IS NULL OR batch_id < since",
-    "st_last_event": _WITH + _CHANGES + " SELECT monitor, max(event_id) AS last_event_id FROM changes GROUP BY monitor",
-    "st_counters": _WITH + _CHANGES + """, d AS (SELECT batch_id, sum(CASE event_type WHEN 'error' THEN -1 WHEN 'purchase' THEN 1 ELSE 0 END) AS delta FROM changes GROUP BY batch_id)
-       SELECT coalesce(sum(greatest(delta, 0)), 0)::BIGINT AS added, coalesce(sum(greatest(-delta, 0)), 0)::BIGINT AS removed, count(*) FILTER (delta = 0) AS changed, count(*) AS batches FROM d""",
+    "st_rescan_latch": _WITH + _CHANGES + _STALE + " SELECT event_id, monitor FROM restarted JOIN state USING (monitor, batch_id) WHERE NOT stale",
+    "st_monitor": _WITH + _CHANGES + _STALE + """ SELECT monitor, batch_id, stale, max(e) OVER w AS last_event_id, max(t) OVER w AS last_ts, CAST(sum(greatest(delta, 0)) OVER w AS BIGINT) AS added, CAST(sum(greatest(-delta, 0)) OVER w AS BIGINT) AS removed,
+       CAST(sum((delta = 0)::INT) OVER w AS BIGINT) AS changed, count(*) OVER w AS batches FROM state WINDOW w AS (PARTITION BY monitor ORDER BY batch_id ROWS UNBOUNDED PRECEDING)""",
+    "st_last_event": _WITH + _CHANGES + " SELECT monitor, max(event_id) AS last_event_id, max(ts) AS last_ts FROM changes GROUP BY monitor",
+    "st_counters": _WITH + _CHANGES + """, s AS (SELECT turn, cat.path, max(CASE WHEN event_type != 'error' THEN event_id END) AS up, max(CASE WHEN event_type = 'error' THEN event_id END) AS gone
+         FROM cat CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS turn) LEFT JOIN changes ON changes.path = cat.path AND event_id % 4 <= turn GROUP BY turn, cat.path),
+       n AS (SELECT turn, count(*) FILTER (coalesce(gone, -2) <= coalesce(up, -1)) AS n FROM s GROUP BY turn),
+       d AS (SELECT turn, n, n - lag(n, 1, (SELECT count(*) FROM cat)) OVER (ORDER BY turn) AS delta FROM n)
+       SELECT arg_max(n, turn) AS item_count, sum(greatest(delta, 0))::BIGINT AS added, sum(greatest(-delta, 0))::BIGINT AS removed, count(*) FILTER (delta = 0) AS changed, count(*) AS batches FROM d""",
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -331,12 +332,19 @@ def agg_delta_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def st_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of events less than 90 minutes apart, of a stream over the events that availableNow drains."""
+    """Runs of events less than 90 minutes apart, of a stream whose files come in time order; an event of another
+    monitor, much later, lets the last runs out."""
     at = folder(spark, "debounce")
-    changes(spark, sf_dir).select("event_id", "ts", "monitor", "batch_id", "path", "flags").write.parquet(f"{at}/in")
-    runs = ev.debounce(ev.source(spark, f"{at}/in"), "90 minutes", "3650 days")
-    out = ev.drained(runs, f"{at}/runs", f"{at}/state")
-    return out.select("monitor", F.size("paths").alias("n_paths"), "last_event_id")
+    told = changes(spark, sf_dir).select("event_id", "ts", "monitor", "batch_id", "path", "flags")
+    low, high = told.agg(F.min("ts"), F.max("ts")).first()
+    for i in range(3):
+        step = (high - low) / 3
+        bound = (F.col("ts") >= F.lit(low + i * step)) & ((F.col("ts") < F.lit(low + (i + 1) * step)) if i < 2 else F.lit(True))
+        told.where(bound).coalesce(1).write.mode("append").parquet(f"{at}/in")
+    spark.createDataFrame([(-1, high + (high - low) + dt.timedelta(days=1), "none", -1, None, 0)], ev.SCHEMA).coalesce(1).write.mode("append").parquet(f"{at}/in")
+    ev.state_store(spark)
+    out = ev.drained(ev.debounce_stream(ev.source(spark, f"{at}/in", 1), 90 * 60_000, "2 hours"), f"{at}/runs", f"{at}/state")
+    return out.groupBy("monitor", "start").agg(F.count(F.lit(1)).alias("n_paths"), F.max("last_event_id").alias("last_event_id")).select("monitor", "n_paths", "last_event_id")
 
 
 def applied(spark: SparkSession, sf_dir: str) -> str:
@@ -378,17 +386,47 @@ def fn_latinize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latin.select("n_nationkey", "word", "latin", tx.compact(F.col("latin")).alias("compact"), tx.initials(F.col("latin")).alias("initials"))
 
 
+def restarted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of changes(), of which some start their monitor anew."""
+    return changes(spark, sf_dir).withColumn("flags", F.when(F.col("event_id") % 97 == 0, F.lit(ev.RESTART)).otherwise(F.col("flags")))
+
+
 @query
 def st_rescan_latch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ev.latch(changes(spark, sf_dir)).select("event_id", "monitor")
+    return ev.latch(restarted(spark, sf_dir)).select("event_id", "monitor")
+
+
+@query
+def st_monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of events and of applied batches, three groups of arrival a batch of the stream, as the state of each
+    monitor after each group."""
+    at = folder(spark, "monitor")
+    told = restarted(spark, sf_dir)
+    delta = F.sum(F.when(F.col("event_type") == "error", -1).when(F.col("event_type") == "purchase", 1).otherwise(0)).alias("delta")
+    batches = told.groupBy("monitor", "batch_id").agg(delta)
+    whole = told.drop("event_type").unionByName(batches, allowMissingColumns=True).select("event_id", "ts", "monitor", "batch_id", "path", "flags", "delta")
+    # an arrival group stays together, and groups come in order
+    whole = written(whole, "monitor-events")
+    last = whole.agg(F.max("batch_id")).first()[0]
+    for low in range(0, last + 1, last // 3 + 1):
+        whole.where(f"batch_id >= {low} and batch_id < {low + last // 3 + 1}").coalesce(1).write.mode("append").parquet(f"{at}/in")
+    ev.state_store(spark)
+    stream = spark.readStream.schema(ev.SCHEMA + ", delta long").option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    return ev.drained(ev.monitor_stream(stream), f"{at}/out", f"{at}/state")
 
 
 @query
 def st_last_event(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ev.last_event(changes(spark, sf_dir)).select("monitor", "last_event_id")
+    return ev.last_event(changes(spark, sf_dir)).select("monitor", "last_event_id", "last_ts")
 
 
 @query
 def st_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    per = changes(spark, sf_dir).groupBy("batch_id").agg(F.sum(F.when(F.col("event_type") == "error", -1).when(F.col("event_type") == "purchase", 1).otherwise(0)).alias("delta"))
-    return ev.counters(per)
+    """What four batches, applied to the stored catalog, have added, removed and changed together."""
+    at = folder(spark, "counters")
+    ap.start(catalog(spark, sf_dir), at)
+    listed = files(spark, sf_dir, "files_part").select("path", "size", "is_directory", "created_at", "modified_at")
+    told = changes(spark, sf_dir).select("event_id", "path", (F.col("event_type") == "error").alias("gone")).join(listed, "path")
+    for turn in range(4):
+        ap.apply_batch(told.where(F.col("event_id") % 4 == turn).selectExpr("event_id", "path", "gone", "size", "is_directory", "created_at", "modified_at"), at, "events", turn)
+    return ap.totals(spark, at).select("item_count", "added", "removed", "changed", "batches")

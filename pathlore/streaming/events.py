@@ -8,11 +8,12 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 SCHEMA = "event_id long, ts timestamp, monitor string, batch_id long, path string, flags int"
-#: Flags of events after which a root must be listed anew; bits are a setting of the source.
-RESCAN = 1 | 2 | 4
+#: Flags of events after which a root must be listed anew, and of the monitor's start after that; bits are a setting of
+#: the source.
+RESCAN, RESTART = 1 | 2 | 4, 8
 
 
 def source(spark: SparkSession, folder: str, files_per_batch: int = 10) -> DataFrame:
@@ -23,35 +24,170 @@ def needs_rescan(flags: Column, mask: int = RESCAN) -> Column:
     return F.coalesce(flags, F.lit(0)).bitwiseAND(F.lit(mask)) != 0
 
 
-def debounce(events: DataFrame, gap: str = "250 milliseconds", late: str = "10 seconds") -> DataFrame:
-    """monitor, start, paths: one row for each run of events less than ``gap`` apart. On a stream, events later than
-    the watermark are dropped, and the last run comes out once the watermark has passed it."""
-    events = events.withWatermark("ts", late) if events.isStreaming else events
-    runs = events.groupBy("monitor", F.session_window("ts", gap).alias("w")).agg(F.array_sort(F.collect_set("path")).alias("paths"), F.max("event_id").alias("last_event_id"))
-    return runs.select("monitor", F.col("w.start").alias("start"), "paths", "last_event_id")
+def debounce(events: DataFrame, gap: str = "250 milliseconds") -> DataFrame:
+    """monitor, start, path, last_event_id: the distinct paths of each run of events less than ``gap`` apart."""
+    runs = events.groupBy("monitor", F.session_window("ts", gap).alias("w")).agg(F.collect_set("path").alias("paths"), F.max("event_id").alias("last_event_id"))
+    return runs.select("monitor", F.col("w.start").alias("start"), F.explode("paths").alias("path"), "last_event_id")
+
+
+RUNS = "monitor string, start timestamp, path string, last_event_id long"
+
+
+class Runs(StatefulProcessor):
+    """A monitor's run of events that is open, and the events that the watermark hasn't reached yet.
+
+    Events wait until none before them can come, and then join the open run or end it, in order. A run also ends, by a
+    timer, when the watermark is ``gap`` past its last event. Its paths are a map in the state store, an entry each, and
+    go out in rows; nothing stays of a run that has ended.
+    """
+
+    def __init__(self, gap_ms: int) -> None:
+        self.gap = 1000 * gap_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "us long, event_id long, path string")
+        self.open = handle.getValueState("open", "first long, last long, event_id long")
+        self.paths = handle.getMapState("paths", "path string", "n long")
+
+    def _ended(self, monitor: str) -> Iterator[pd.DataFrame]:
+        first, _, event_id = self.open.get()
+        start = pd.Timestamp(first, unit="us", tz="UTC")
+        part: list[str] = []
+        for (path,) in self.paths.keys():
+            part.append(path)
+            if len(part) == 10_000:
+                yield pd.DataFrame({"monitor": monitor, "start": start, "path": part, "last_event_id": event_id})
+                part = []
+        if part:
+            yield pd.DataFrame({"monitor": monitor, "start": start, "path": part, "last_event_id": event_id})
+        self.paths.clear()
+        self.open.clear()
+
+    def _settled(self, monitor: str, watermark: int) -> Iterator[pd.DataFrame]:
+        """Brings the run up to the watermark, in microseconds like the events."""
+        rows = sorted(self.waiting.get()) if self.waiting.exists() else []
+        later = [r for r in rows if r[0] > watermark]
+        for us, event_id, path in rows[: len(rows) - len(later)]:
+            if self.open.exists() and us - self.open.get()[1] >= self.gap:
+                yield from self._ended(monitor)
+            first, _, most = self.open.get() if self.open.exists() else (us, us, event_id)
+            self.open.update((first, us, max(most, event_id)))
+            if path is not None:
+                self.paths.updateValue((path,), (1,))
+        if len(later) < len(rows):
+            if later:
+                self.waiting.put(later)
+            else:
+                self.waiting.clear()
+        if self.open.exists() and watermark >= self.open.get()[1] + self.gap:
+            yield from self._ended(monitor)
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        last = -1
+        for part in rows:
+            us = part["ts"].astype("datetime64[us]").astype("int64").tolist()
+            told = list(zip(us, part["event_id"].tolist(), part["path"].tolist(), strict=True))
+            if told:
+                self.waiting.appendList(told)
+                last = max(last, *us)
+        yield from self._settled(key[0], 1000 * timerValues.getCurrentWatermarkInMs())
+        if last >= 0:
+            self.handle.registerTimer((last + self.gap) // 1000 + 1)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        yield from self._settled(key[0], 1000 * timerValues.getCurrentWatermarkInMs())
+
+    def close(self) -> None:
+        pass
+
+
+def debounce_stream(events: DataFrame, gap_ms: int = 250, late: str = "10 seconds") -> DataFrame:
+    """The same on a stream, in append mode: events later than the watermark are dropped, a run comes out once the
+    watermark has passed it, and then its state is gone. Needs the RocksDB state store (``state_store``)."""
+    return events.withWatermark("ts", late).groupBy("monitor").transformWithStateInPandas(Runs(gap_ms), RUNS, "Append", "EventTime")
+
+
+def state_store(spark: SparkSession) -> None:
+    """Sets the state store that keeps maps, lists and timers of a key apart from each other, on disk."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def _marks(events: DataFrame) -> DataFrame:
+    """Each arrival group with whether it asks for a rescan, and whether its monitor is stale after it."""
+    flagged = events.withColumns({"r": needs_rescan(F.col("flags")).cast("int"), "again": needs_rescan(F.col("flags"), RESTART).cast("int")})
+    groups = flagged.groupBy("monitor", "batch_id").agg(F.max("r").alias("r"), F.max("again").alias("again"))
+    mark = F.when(F.col("r") == 1, True).when(F.col("again") == 1, False)
+    return groups.withColumn("stale", F.coalesce(F.last(mark, ignorenulls=True).over(Window.partitionBy("monitor").orderBy("batch_id").rowsBetween(Window.unboundedPreceding, 0)), F.lit(False)))
 
 
 def latch(events: DataFrame) -> DataFrame:
-    """Events that arrive while their monitor isn't stale: from an arrival group with a rescan flag on, none."""
-    flagged = events.withColumn("r", needs_rescan(F.col("flags")).cast("int"))
-    groups = flagged.groupBy("monitor", "batch_id").agg(F.max("r").alias("r"))
-    stale = groups.withColumn("stale", F.max("r").over(Window.partitionBy("monitor").orderBy("batch_id").rowsBetween(Window.unboundedPreceding, 0)))
-    return events.join(stale.where("stale = 0").select("monitor", "batch_id"), ["monitor", "batch_id"], "left_semi")
+    """Events that arrive while their monitor isn't stale: from an arrival group with a rescan flag on, none, until one
+    with a restart."""
+    return events.join(_marks(events).where("NOT stale").select("monitor", "batch_id"), ["monitor", "batch_id"], "left_semi")
+
+
+STATES = "monitor string, batch_id long, stale boolean, last_event_id long, last_ts timestamp, added long, removed long, changed long, batches long"
+_STATE = "stale boolean, last_event_id long, last_us long, added long, removed long, changed long, batches long"
+
+
+class Monitor(StatefulProcessor):
+    """What is known of a monitor: whether it is stale, its last event, and what applied batches have changed.
+
+    Groups (batch_id) are taken in order. A group with a rescan flag makes the monitor stale and is dropped whole, one
+    with a restart makes it fresh again before its events count; the last event's id and time go on in any case. A row
+    with a delta tells of an applied batch. ``accepted``: gives the events that are to be applied, else a row for each
+    group with the state after it.
+    """
+
+    def __init__(self, accepted: bool) -> None:
+        self.accepted = accepted
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("state", _STATE)
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        stale, last_id, last_us, *sums = self.state.get() if self.state.exists() else (False, None, None, 0, 0, 0, 0)
+        held: dict[int, list[pd.DataFrame]] = {}
+        for part in rows:
+            for batch_id, group in part.groupby("batch_id"):
+                held.setdefault(int(batch_id), []).append(group)
+        out = []
+        for batch_id in sorted(held):
+            group = pd.concat(held[batch_id])
+            events, deltas = group[group["event_id"].notna()], group["delta"].dropna() if "delta" in group else ()
+            flags = events["flags"].fillna(0).astype(int)
+            if (flags & RESCAN != 0).any():
+                stale = True
+            elif (flags & RESTART != 0).any():
+                stale = False
+            if len(events):
+                last_id = max(int(events["event_id"].max()), last_id if last_id is not None else -(2**63))
+                us = int(events["ts"].astype("datetime64[us]").astype("int64").max())
+                last_us = us if last_us is None else max(us, last_us)
+            for d in deltas:
+                sums = [sums[0] + max(int(d), 0), sums[1] + max(-int(d), 0), sums[2] + (d == 0), sums[3] + 1]
+            if not self.accepted:
+                out.append((key[0], batch_id, stale, last_id, None if last_us is None else pd.Timestamp(last_us, unit="us", tz="UTC"), *map(int, sums)))
+            elif not stale and len(events):
+                yield events[["event_id", "ts", "monitor", "batch_id", "path", "flags"]]
+        self.state.update((stale, last_id, last_us, *map(int, sums)))
+        if out:
+            yield pd.DataFrame(out, columns=[f.split()[0] for f in STATES.split(", ")])
+
+    def close(self) -> None:
+        pass
 
 
 def latch_stream(events: DataFrame) -> DataFrame:
-    """The same on a stream whose groups arrive in order: the state of a monitor is the group at which it went stale."""
+    """latch() on a stream whose groups arrive in order. Needs ``state_store``."""
+    return events.groupBy("monitor").transformWithStateInPandas(Monitor(True), SCHEMA, "Append", "None")
 
-    def step(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames))
-        bad = rows.loc[(rows["flags"].fillna(0).astype(int) & RESCAN) != 0, "batch_id"]
-        since = state.get[0] if state.exists else None
-        if len(bad) and (since is None or bad.min() < since):
-            since = int(bad.min())
-            state.update((since,))
-        yield rows if since is None else rows[rows["batch_id"] < since]
 
-    return events.groupBy("monitor").applyInPandasWithState(step, SCHEMA, "since long", "append", GroupStateTimeout.NoTimeout)
+def monitor_stream(events: DataFrame) -> DataFrame:
+    """The state of each monitor (STATES) after each group that arrives, of a stream of events and applied batches
+    (SCHEMA and ``delta``). Needs ``state_store``."""
+    return events.groupBy("monitor").transformWithStateInPandas(Monitor(False), STATES, "Append", "None")
 
 
 def last_event(events: DataFrame) -> DataFrame:
@@ -69,16 +205,9 @@ def counters(batches: DataFrame) -> DataFrame:
 
 
 def drained(result: DataFrame, folder: str, checkpoint: str) -> DataFrame:
-    """The result of an aggregated stream over everything that is there now, written to a folder of each batch."""
-    written: list[str] = []
-
-    def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/{number}")
-        written.append(f"{folder}/{number}")
-
-    result.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    spark = result.sparkSession
-    return spark.read.schema(result.schema).parquet(written[-1]) if written else spark.createDataFrame([], result.schema)
+    """What a stream in append mode gives over everything that is there now, in a folder."""
+    result.writeStream.outputMode("append").format("parquet").option("path", folder).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return result.sparkSession.read.schema(result.schema).parquet(folder)
 
 
 def run(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str) -> None:

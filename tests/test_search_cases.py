@@ -2,7 +2,7 @@
 
 import datetime as dt
 import json
-import uuid
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -150,23 +150,76 @@ def event_rows(spark):
     return spark.createDataFrame(rows, ev.SCHEMA)
 
 
+def runs_of(rows):
+    out = {}
+    for r in rows:
+        out.setdefault((r.monitor, r.start), []).append(r.path)
+    return sorted((m, sorted(paths)) for (m, _), paths in out.items())
+
+
 def test_debounce_and_latch(spark):
-    runs = ev.debounce(event_rows(spark)).collect()
-    assert sorted((r.monitor, r.paths) for r in runs) == [("m", ["/a", "/b"]), ("m", ["/a", "/c", "/d"]), ("n", ["/x"])]
+    assert runs_of(ev.debounce(event_rows(spark)).collect()) == [("m", ["/a", "/b"]), ("m", ["/a", "/c", "/d"]), ("n", ["/x"])]
     assert sorted(r.event_id for r in ev.latch(event_rows(spark)).collect()) == [1, 2, 3, 6, 7]
 
 
 def test_streams_equal_batches(spark):
     at = folder(spark, "events")
+    ev.state_store(spark)
     for g in range(1, 5):
         event_rows(spark).where(f"batch_id = {g}").coalesce(1).write.mode("append").parquet(f"{at}/in")
     out = []
     ev.run(ev.latch_stream(ev.source(spark, f"{at}/in", 1)), lambda df, _: out.extend(r.event_id for r in df.collect()), f"{at}/latch")
     assert sorted(out) == [1, 2, 3, 6, 7]
-    runs = ev.debounce(ev.source(spark, f"{at}/in"))
-    name = "t" + uuid.uuid4().hex
-    runs.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{at}/runs").trigger(availableNow=True).start().awaitTermination()
-    assert sorted((r.monitor, r.paths) for r in spark.table(name).collect()) == sorted((r.monitor, r.paths) for r in ev.debounce(event_rows(spark)).collect())
+    later = spark.createDataFrame([(99, NOW + dt.timedelta(hours=1), "z", 9, None, 0)], ev.SCHEMA)
+    later.coalesce(1).write.mode("append").parquet(f"{at}/in")
+    runs = ev.drained(ev.debounce_stream(ev.source(spark, f"{at}/in", 1)), f"{at}/runs", f"{at}/state")
+    assert runs_of(runs.collect()) == runs_of(ev.debounce(event_rows(spark)).collect())
+
+
+def test_runs_out_of_order_late_events_and_freed_state(spark):
+    """Events that come out of order join their run, those behind the watermark don't count, and ended runs leave no state."""
+    at = folder(spark, "late")
+    ev.state_store(spark)
+    rng = random.Random(3)
+    times = [t for run in range(12) for t in (run * 3000 + i * 100 for i in range(rng.randrange(1, 12)))]
+    rows = [(i, NOW + dt.timedelta(milliseconds=t), "m", 1, f"/p{i % 7}", 0) for i, t in enumerate(times)]
+    make = lambda some: spark.createDataFrame(some, ev.SCHEMA).coalesce(1).write.mode("append").parquet(f"{at}/in")
+    mixed = rows[:]
+    for i in range(0, len(mixed), 5):  # out of order by less than the watermark's delay
+        mixed[i : i + 5] = rng.sample(mixed[i : i + 5], len(mixed[i : i + 5]))
+    third = len(mixed) // 3 // 5 * 5
+    for some in (mixed[:third], mixed[third : 2 * third], mixed[2 * third :]):
+        make(some)
+    make([(98, NOW + dt.timedelta(minutes=5), "z", 2, None, 0)])
+    make([(99, NOW + dt.timedelta(milliseconds=50), "m", 3, "/too/late", 0), (100, NOW + dt.timedelta(minutes=6), "z", 3, None, 0)])
+    query = ev.debounce_stream(ev.source(spark, f"{at}/in", 1), 250, "2 seconds")
+    out = query.writeStream.outputMode("append").format("parquet").option("path", f"{at}/runs").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+    out.awaitTermination()
+    want = runs_of(ev.debounce(spark.createDataFrame(rows, ev.SCHEMA)).collect())
+    assert len(want) == 12 and runs_of(spark.read.schema(ev.RUNS).parquet(f"{at}/runs").collect()) == want
+    progress = out.recentProgress
+    assert sum(p["stateOperators"][0]["numRowsDroppedByWatermark"] for p in progress) == 1
+    assert progress[-1]["stateOperators"][0]["numRowsTotal"] <= 4  # of the last monitor alone
+
+
+def test_restarts_and_state_of_monitors(spark):
+    """A stale monitor ignores events until a restart; its last event and the totals go on."""
+    rows = [
+        (1, 0, "m", 1, "/a", 0, None), (None, None, "m", 1, None, None, 2), (2, 5, "m", 2, "/b", 4, None), (3, 9, "m", 3, "/c", 0, None), (5, 7, "m", 4, None, ev.RESTART, None), (4, 8, "m", 4, "/d", 0, None),
+        (None, None, "m", 5, None, None, -3), (None, None, "m", 5, None, None, 0), (6, 10, "n", 1, "/x", None, None),
+    ]
+    events = spark.createDataFrame([(i, None if t is None else NOW + dt.timedelta(seconds=t), m, g, p, f, d) for i, t, m, g, p, f, d in rows], ev.SCHEMA + ", delta long")
+    at = folder(spark, "states")
+    ev.state_store(spark)
+    for g in (1, 3, 5):
+        events.where(f"batch_id in ({g}, {g + 1})").coalesce(1).write.mode("append").parquet(f"{at}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    got = sorted((r.monitor, r.batch_id, r.stale, r.last_event_id, (r.last_ts - NOW).seconds, r.added, r.removed, r.changed, r.batches) for r in ev.drained(ev.monitor_stream(stream), f"{at}/out", f"{at}/s1").collect())
+    assert got == [
+        ("m", 1, False, 1, 0, 2, 0, 0, 1), ("m", 2, True, 2, 5, 2, 0, 0, 1), ("m", 3, True, 3, 9, 2, 0, 0, 1), ("m", 4, False, 5, 9, 2, 0, 0, 1), ("m", 5, False, 5, 9, 2, 3, 1, 3), ("n", 1, False, 6, 10, 0, 0, 0, 0),
+    ]
+    passed = ev.drained(ev.latch_stream(stream.drop("delta")), f"{at}/events", f"{at}/s2")
+    assert sorted(r.event_id for r in passed.collect()) == [1, 4, 5, 6] == sorted(r.event_id for r in ev.latch(events.drop("delta").where("event_id is not null")).collect())
 
 
 def test_live_create_rename_delete(spark):
