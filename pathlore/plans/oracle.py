@@ -101,6 +101,9 @@ SQL: dict[str, str] = {
         p_size::BIGINT * 1000000 AS min_size, CASE WHEN p_size > 0 THEN p_size::INT END AS days FROM part""",
     "fn_byte_size": """SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN floor((p_size + 0.5) * 1e12) WHEN 1 THEN floor((p_size + 0.5) * 1e9) WHEN 2 THEN floor((p_size + 0.5) * 1e6)
         WHEN 3 THEN floor((p_size + 0.5) * 1e3) WHEN 4 THEN p_size WHEN 5 THEN p_size END::BIGINT AS bytes FROM part""",
+    "src_listing": """WITH t AS (SELECT 'names/all/brand=' || replace(p_brand, '#', '') AS brand, '/size=' || (p_size % 5) AS size, p_name FROM part)
+       SELECT 'names' AS dir, true AS is_directory, 0::BIGINT AS size UNION ALL SELECT 'names/all', true, 0 UNION ALL SELECT DISTINCT brand, true, 0 FROM t UNION ALL SELECT DISTINCT brand || size, true, 0 FROM t
+       UNION ALL SELECT brand || size, false, sum(octet_length(encode(p_name)) + 1)::BIGINT FROM t GROUP BY brand, size""",
     "src_dirs_from_paths": _WITH + " SELECT path, true AS is_directory FROM (" + _DIRS.format(f="files_part") + ")",
     "src_multi_root": _WITH + " SELECT path, min(size) AS size, 0 AS root_ord FROM files_page GROUP BY path UNION ALL SELECT path, size, 1 FROM files_part",
     "src_limit": _WITH + " SELECT path, root_ord FROM (SELECT path, 0 AS root_ord FROM files_part UNION ALL SELECT DISTINCT path, 1 FROM files_page) ORDER BY root_ord, path LIMIT 500",

@@ -25,15 +25,6 @@ def scan(listing: DataFrame) -> DataFrame:
     return listing.where(~F.coalesce("is_symlink", F.lit(False)))
 
 
-def local_listing(spark: SparkSession, root: str) -> DataFrame:
-    """A listing of the files under a folder that Spark can read; hidden names and directories are not in it."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", "modificationTime")
-    return found.select(
-        F.regexp_replace("path", "^file:", "").alias("path"), F.col("length").alias("size"), F.lit(False).alias("is_directory"), F.lit(False).alias("is_symlink"),
-        F.lit(None).cast("timestamp").alias("created_at"), F.col("modificationTime").alias("modified_at"),
-    )
-
-
 def skip_packages(listing: DataFrame, packages: Sequence[str] = PACKAGES) -> DataFrame:
     """Without what lies inside a package; the package itself stays."""
     return listing.where(~F.col("path").rlike(r"\.(" + "|".join(packages) + ")/"))
