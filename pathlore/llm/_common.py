@@ -84,6 +84,14 @@ def bounded(table: DataFrame, of: DataFrame | None = None) -> DataFrame:
     return F.broadcast(table) if (table if of is None else of).stored_bytes <= BROADCAST_BYTES else table
 
 
+def dealt(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """df as a table in the shared folder, dealt once by a key: joins by it leave this table's rows where they are."""
+    table = f"{name}_{uuid.uuid4().hex}".replace("-", "_")
+    rows = df.repartition(buckets, key).write.bucketBy(buckets, key).format("parquet").option("compression", "zstd")
+    rows.option("path", new_folder(df.sparkSession, name)).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 class Tables(list):
     """Stores tables as stored() does and remembers them, so that those no longer needed can be removed together."""
 

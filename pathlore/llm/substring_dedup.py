@@ -23,13 +23,15 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathlore.llm._common import bounded, read, stored, text_or_empty
+from pathlore.llm._common import bounded, dealt, drop_stored, read, stored, text_or_empty
 from pathlore.llm.suffixes import common_prefixes, suffix_array
 
 LENGTH, ANCHOR = 50, 20
 SPAN = 2 * LENGTH - ANCHOR  # bytes about an anchor that its strings can reach
 #: Text of a batch, and contexts of a shard, at about so many bytes.
 BATCH_BYTES, SHARD_BYTES = 4 << 20, 3 << 20
+#: Text of a bucket of the table of texts, in bytes.
+BUCKET_BYTES = 16 << 20
 #: Occurrences in a batch from which a piece counts as shared though one row has them all, so that one entry stands for them.
 MANY = 64
 #: Contexts that are made at once, those whose strings are made at once, and bytes of a string's entry.
@@ -451,8 +453,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
         .withColumn("rid", F.monotonically_increasing_id()),
         "bytes-rows",
     )
-    whole, rest = own.where("copy"), own.where("NOT copy")
-    size = rest.select(F.sum(F.octet_length("text"))).first()[0] or 0
+    whole = stored(own.where("copy").select("doc_id", F.octet_length("text").cast("long").alias("n")), "bytes-copies")
+    size = own.where("NOT copy").select(F.sum(F.octet_length("text"))).first()[0] or 0
+    # texts are dealt by row once: the joins with places and with spans move those alone
+    rest = dealt(own.where("NOT copy").select("rid", "doc_id", "k1", "text"), "bytes-texts", "rid", max(8, size // BUCKET_BYTES))
+    drop_stored(own)
     parts = max(8, size // (16 * SHARD_BYTES) * 4)
     pieces = rest.select("rid", "text").mapInArrow(_anchor_rows(parts), "part long, rid long, data binary")
     # two steps, so that a row's places come together in one row, however many parts they were found in
@@ -474,9 +479,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     spans = stored(found.groupBy("rid").agg(F.collect_list("low").alias("lows"), F.collect_list("high").alias("highs")), "bytes-row-spans")
     schema = "doc_id long, n_bytes long, spans array<struct<low:long,high:long>>, kept binary"
     cut = rest.join(bounded(spans), "rid", "left").select("doc_id", "text", "lows", "highs").mapInArrow(_cut, schema)
-    n = F.octet_length("text").cast("long")
-    all_of_it = F.array(F.struct(F.lit(0).cast("long").alias("low"), n.alias("high")))
-    return cut.unionByName(whole.select("doc_id", n.alias("n_bytes"), all_of_it.alias("spans"), F.lit(b"").alias("kept")))
+    all_of_it = F.array(F.struct(F.lit(0).cast("long").alias("low"), F.col("n").alias("high")))
+    return cut.unionByName(whole.select("doc_id", F.col("n").alias("n_bytes"), all_of_it.alias("spans"), F.lit(b"").alias("kept")))
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
