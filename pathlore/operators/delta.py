@@ -9,8 +9,19 @@ from pathlore.operators import postings as ps
 from pathlore.sources.catalog import ancestors
 
 
+#: Roots that are compared with each path as it is read; more are joined by its ancestors.
+FEW_ROOTS = 100
+
+
 def under_roots(paths: DataFrame, roots: DataFrame) -> DataFrame:
-    """Rows whose path is a root (root) or lies under one: an equality join on ancestors, no prefix loop."""
+    """Rows whose path is a root (root) or lies under one: a filter for few roots, for more an equality join on
+    ancestors, no prefix loop."""
+    few = [r.root for r in roots.select("root").distinct().limit(FEW_ROOTS + 1).collect()]
+    if len(few) <= FEW_ROOTS:
+        under = F.col("path").isin(few)
+        for root in few:
+            under = under | F.col("path").startswith(root if root.endswith("/") else f"{root}/") if root is not None else under
+        return paths.where(under)
     above = F.array_union(ancestors(F.col("path")), F.array("path"))
     hits = paths.select("path", F.explode(above).alias("root")).join(roots.select("root").distinct(), "root", "left_semi").select("path").distinct()
     return paths.join(hits, "path", "left_semi")
@@ -29,12 +40,15 @@ def apply_changes(catalog: DataFrame, removed_paths: DataFrame, removed_dirs: Da
     """catalog without removed paths, without everything at and under removed directories, and with upserts, which win
     over removals and over old records of their id; of several upserts of an id the last (``seq``) does.
 
-    Hit ids are found by equality on exploded ancestors, then left out: the catalog itself is joined only by id.
+    Hit ids are found by equality on exploded ancestors, if any directory is removed, then left out: the catalog itself
+    is joined only by id.
     """
+    some = not removed_dirs.isEmpty()
     by_dir = catalog.select("id", F.explode(F.array_union(ancestors(F.col("path")), F.array("path"))).alias("at")).join(removed_dirs.select(F.col("path").alias("at")).distinct(), "at", "left_semi")
     by_path = catalog.select("id", "path").join(removed_paths.select("path").distinct(), "path", "left_semi")
     last = upserts.withColumn("rn", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("seq")))).where("rn = 1").drop("rn", "seq")
-    gone = by_dir.select("id").unionByName(by_path.select("id")).unionByName(last.select("id")).distinct()
+    gone = by_path.select("id").unionByName(last.select("id"))
+    gone = (gone.unionByName(by_dir.select("id")) if some else gone).distinct()
     return catalog.join(gone, "id", "left_anti").unionByName(last.select(*catalog.columns))
 
 

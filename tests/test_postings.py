@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pathlore.functions import text as tx
+from pathlore.operators import delta
 from pathlore.operators import postings as ps
 from pathlore.operators import search
 from pathlore.sources import catalog as ct
@@ -148,3 +149,12 @@ def test_removing_a_catalog(spark, tmp_path):
     ct.remove(spark, at)
     assert not (tmp_path / "own").exists() and ct.manifest(spark, at) is None
     ct.remove(spark, at)
+
+
+def test_many_roots_are_joined(spark, monkeypatch):
+    paths = spark.createDataFrame([("/a",), ("/a/b",), ("/ab",), ("/c/d/e",), (None,), ("/x",)], "path string")
+    roots = spark.createDataFrame([("/a",), ("/c/d",), (None,), ("/a",)], "root string")
+    want = ["/a", "/a/b", "/c/d/e"]
+    assert sorted(r.path for r in delta.under_roots(paths, roots).collect()) == want
+    monkeypatch.setattr(delta, "FEW_ROOTS", 1)
+    assert sorted(r.path for r in delta.under_roots(paths, roots).collect()) == want
