@@ -2,6 +2,8 @@ import hashlib
 import re
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from pathlore.llm import exact_dedup
 from pathlore.llm.exact_dedup import op3_exact_dedup
 
@@ -40,7 +42,8 @@ def test_odd_rows_with_and_without_broadcast(spark, odd, empty, monkeypatch):
     docs = odd.withColumnRenamed("score", "_len").collect()
     for limit in (exact_dedup.BROADCAST_ROWS, -1):
         monkeypatch.setattr(exact_dedup, "BROADCAST_ROWS", limit)
-        got = exact_dedup.exact_dedup(odd).collect()
+        named = odd.withColumnRenamed("score", "_len").withColumnRenamed("kept", "n").withColumns({c: F.lit(7) for c in ("least", "_again", "full_hash", "_prefix")})
+        got = exact_dedup.exact_dedup(named).collect()
         assert sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got), key=key) == sorted(brute(docs), key=key)
     assert exact_dedup.exact_dedup(empty).count() == 0
 

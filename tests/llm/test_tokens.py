@@ -170,8 +170,28 @@ def test_limits_on_segments_and_loss(spark):
         assert sum(r.loss for r in own) == len(text.split()) + 1
 
 
-def test_place_prefers_what_uses_the_plentiful():
-    # a sequence rich in segments and poor in loss takes the piece without loss first
-    first = next(place(np.array([10, 10]), np.array([10, 0]), (20, 8, 10)))
-    assert first[1] in (0, 1)
-    assert {(s, p) for s, p, *_ in place(np.array([10, 10]), np.array([10, 0]), (20, 8, 10))} == {(0, 0), (0, 1)}
+def test_place_takes_the_largest_dot_product():
+    """Each piece that is placed whole has, of those that fit, the largest product of its demands and the room that is left."""
+    rng = np.random.default_rng(5)
+    others = 0
+    for _ in range(30):
+        n, limits = 40, (100, 6, 40)
+        sizes = rng.integers(1, 60, n)
+        losses = np.minimum(sizes, rng.integers(0, 40, n) * rng.integers(0, 2, n))
+        most = np.array(limits, float)
+        weight = np.array([sizes.mean() / 100, 1 / 6, losses.mean() / 40])
+        demand = np.stack([sizes / 100, np.full(n, 1 / 6), losses / 40], axis=1)
+        left, room, now = set(range(n)), np.array(limits), 0
+        for sequence, piece, start, length, offset in place(sizes, losses, limits):
+            if sequence != now:
+                room, now = np.array(limits), sequence
+            assert offset == limits[0] - room[0]
+            fits = [i for i in left if sizes[i] <= room[0] and losses[i] <= room[2]]
+            if start or not fits:
+                break  # pieces are cut from here on, which changes what they ask for
+            worth = demand @ (weight * room / most)
+            assert length == sizes[piece] and worth[piece] >= max(worth[i] for i in fits) - 1e-12
+            others += sizes[piece] < max(sizes[i] for i in fits)
+            left.discard(piece)
+            room = room - (length, 1, losses[piece])
+    assert others > 20
