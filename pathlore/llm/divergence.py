@@ -176,7 +176,9 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
 
     paths = shares.groupBy("lang", "term").agg(F.array_sort(F.collect_list(F.struct("source", "p", "p0"))).alias("items")).groupBy("lang", "items").agg(F.count(F.lit(1)).alias("times"))
     paths = stored(paths, "divergence-paths")
-    trees = paths.where(F.size("items") > 1).repartitionByRange("lang", "items").sortWithinPartitions("lang", "items").mapInArrow(_trees, "lang string, source string, item string, value long")
+    # dealt by their first items, so that what the driver samples of them is short; many rows with the same ones, by hash
+    dealt = paths.where(F.size("items") > 1).repartitionByRange("lang", F.slice("items", 1, 2), F.xxhash64("items"))
+    trees = dealt.sortWithinPartitions("lang", "items").mapInArrow(_trees, "lang string, source string, item string, value long")
 
     other = groups.select("lang", F.col("source").alias("item"), F.col("p0").alias("q0"))
     base = groups.join(bounded(other, groups), "lang").where("source != item").select("lang", "source", "item", (F.col("v") * distance(F.col("p0"), F.col("q0"))).alias("value"))
