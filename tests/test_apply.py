@@ -103,14 +103,13 @@ def test_a_batch_reads_only_its_shards(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(ap, "_state", lambda spark, folder, v, shards=None: asked.append(shards) or found(spark, folder, v, shards))
     ap.apply_batch(batch(spark, (1, "/v/7.txt", None), (2, "/v/8.txt", 3)), at, "s", 0)
     assert all(len(s) <= 2 for s in asked) and ap.version(spark, at).count == 399
-    base = ap._state(spark, at, ap.version(spark, at), [3]).base
-    assert "PartitionFilters: [isnotnull(shard" in base._jdf.queryExecution().executedPlan().toString() or "shard" in base._jdf.queryExecution().executedPlan().toString()
+    plan = ap._state(spark, at, ap.version(spark, at), [3]).base._jdf.queryExecution().executedPlan().toString()
+    assert "shard" in plan[plan.index("PartitionFilters:") :].split("]")[0]
 
 
-@pytest.mark.parametrize("seed", range(2))
-def test_random_events_equal_a_replay_in_order(spark, tmp_path, seed):
+def test_random_events_equal_a_replay_in_order(spark, tmp_path):
     """Batches in any order and of two streams give what a plain replay of the events by id gives."""
-    rng = random.Random(seed)
+    rng = random.Random(0)
     dirs = ["/v/a", "/v/a/b", "/v/c"]
     paths = [f"{d}/{i}.txt" for d in dirs for i in range(3)]
     start = [f"{d}/" for d in dirs] + paths
@@ -129,7 +128,7 @@ def test_random_events_equal_a_replay_in_order(spark, tmp_path, seed):
             live.pop(p, None)
         if size is not None:
             live[p] = (size, events[-1][1].endswith("/"))
-    groups = [events[i::5] for i in range(5)]
+    groups = [events[i::4] for i in range(4)]
     rng.shuffle(groups)
     for i, group in enumerate(groups):
         ap.apply_batch(batch(spark, *group), at, "st"[i % 2], i)
