@@ -55,7 +55,8 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", g
     places = stored(found.select("k1", "k2", "s.fp", "s.low", F.expr("slice(chars, s.low + 1, s.high - s.low)").alias("chars")), "line-places")
     first = places.groupBy("fp").agg(F.min(F.struct("k1", "k2", "low")).alias("src"), F.count(F.lit(1)).alias("n")).where("n > 1")
     sources = stored(first.select("fp", "src"), "line-sources")
-    later = places.join(bounded(sources), "fp").where(F.struct("k1", "k2", "low") > F.col("src"))
+    # of either size alike: a shuffled join whose hot fingerprints the adaptive planner splits
+    later = places.join(sources, "fp").where(F.struct("k1", "k2", "low") > F.col("src"))
     covered = later.select("k1", "k2", "low", F.posexplode("chars").alias("i", "n")).select("k1", "k2", (F.col("low") + F.col("i")).alias("line"), "n").distinct()
     run = F.col("line") - F.row_number().over(Window.partitionBy("k1", "k2").orderBy("line"))
     runs = covered.withColumn("run", run).groupBy("k1", "k2", "run").agg(F.min("line").alias("low"), (F.max("line") + 1).alias("high"), F.sum("n").alias("chars"))
