@@ -2,12 +2,14 @@
 
 The text's suffixes are classified as smaller (S) or larger (L) than the next one; the leftmost S of each run starts a
 substring. These substrings are sorted by one round of inducing, named, and where names repeat the string of names is
-sorted in turn (by doubling: its alphabet is too large to induce by). A second round induces all suffixes from them.
-Inducing goes bucket by bucket of the first byte, a whole run of a bucket's entries at a time.
+sorted in turn in the same way. A second round induces all suffixes from them. Inducing by bytes goes bucket by bucket,
+a whole run of a bucket's entries at a time; by names, of which there are too many for that, entry by entry.
 """
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 
 
@@ -76,33 +78,42 @@ class _Inducer:
         return sa
 
 
-def _by_doubling(names: np.ndarray) -> np.ndarray:
-    """The order of the suffixes of a string of names."""
-    rank, k = names.astype(np.int64), 1
-    while True:
-        top = int(rank.max()) + 2
-        after = np.zeros(len(rank), np.int64)
-        after[:-k or None] = rank[k:] + 1 if k < len(rank) else 0
-        distinct, rank = np.unique(rank * top + after, return_inverse=True)
-        if len(distinct) == len(rank) or k >= len(rank):
-            return np.argsort(rank, kind="stable")
-        k *= 2
+class _NameInducer:
+    """The same for a string of names, whose buckets are about as many as its entries: entry by entry."""
 
+    def __init__(self, s: np.ndarray, is_s: np.ndarray) -> None:
+        self.s, self.sizes = s, np.bincount(s)
+        self.end = np.cumsum(self.sizes)
+        # what stands before each place: its name and one, negative if S, 0 where nothing does
+        before = np.where(is_s[:-1], -1 - s[:-1], s[:-1] + 1)
+        self.before = array("i", np.append(0, before).astype(np.int32).tobytes())
 
-def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Start of every suffix of a byte string, in order."""
-    if not len(text):
-        return np.zeros(0, np.int64)
-    s = np.append(text.astype(np.int16) + 1, np.int16(0))
-    is_s = _types(s)
-    induce = _Inducer(s, is_s)
-    lms = (np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1).astype(np.int32)
-    sa = induce(lms)
-    is_lms = np.zeros(len(s), bool)
-    is_lms[lms] = True
-    found = sa[is_lms[sa]]
-    ends = np.full(len(s), len(s))
-    ends[lms[:-1]] = lms[1:]
+    def __call__(self, lms: np.ndarray) -> np.ndarray:
+        """All suffixes, given the leftmost S suffixes in their order."""
+        c = self.s[lms]
+        order = np.argsort(c, kind="stable")
+        c, counts = c[order], np.bincount(c, minlength=len(self.sizes))
+        seeded = np.full(len(self.s), -1, np.int32)
+        seeded[(self.end - np.cumsum(counts))[c] + np.arange(len(c))] = lms[order]
+        sa, before = array("i", seeded.tobytes()), self.before
+        head = [0, *(self.end - self.sizes).tolist()]
+        for j in sa:
+            if j > 0 and (x := before[j]) > 0:
+                at = head[x]
+                sa[at] = j - 1
+                head[x] = at + 1
+        tail = [0, *self.end.tolist()]
+        for i in range(len(sa) - 1, -1, -1):
+            j = sa[i]
+            if (x := before[j]) < 0:
+                at = tail[-x] - 1
+                sa[at] = j - 1
+                tail[-x] = at
+        return np.frombuffer(sa, np.int32)
+
+
+def _names(s: np.ndarray, found: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Names of sorted substrings, equal ones alike; ends has the last place of each by its first."""
     a, b = found[:-1], found[1:]
     length = ends[a] - a
     same = (length == ends[b] - b) & (ends[b] < len(s)) & (ends[a] < len(s))
@@ -114,12 +125,33 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         same[live[differ]] = False
         live = live[~differ]
         offset += 1
-    name = np.concatenate([[0], np.cumsum(~same)])
+    return np.concatenate([[0], np.cumsum(~same)])
+
+
+def _sorted(s: np.ndarray, inducer: type[_Inducer] | type[_NameInducer]) -> np.ndarray:
+    """Start of every suffix of a string that ends with its only 0, in order."""
+    is_s = _types(s)
+    lms = (np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1).astype(np.int32)
+    induce = inducer(s, is_s)
+    sa = induce(lms)
+    is_lms = np.zeros(len(s), bool)
+    is_lms[lms] = True
+    found = sa[is_lms[sa]]
+    ends = np.full(len(s), len(s), np.int32)
+    ends[lms[:-1]] = lms[1:]
+    name = _names(s, found, ends)
     if name[-1] + 1 < len(found):
-        names = np.empty(len(s), np.int64)
+        names = np.empty(len(s), np.int32)
         names[found] = name
-        found = lms[_by_doubling(names[lms])]
-    return induce(found)[1:]  # the first round has put the substrings in order alone, other suffixes only by their seeds
+        found = lms[_sorted(names[lms], _NameInducer)]
+    return induce(found)  # the first round has put the substrings in order alone, other suffixes only by their seeds
+
+
+def suffix_array(text: np.ndarray) -> np.ndarray:
+    """Start of every suffix of a byte string, in order."""
+    if not len(text):
+        return np.zeros(0, np.int64)
+    return _sorted(np.append(text.astype(np.int16) + 1, np.int16(0)), _Inducer)[1:]
 
 
 def common_prefixes(text: np.ndarray, sa: np.ndarray) -> np.ndarray:
