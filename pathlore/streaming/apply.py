@@ -6,6 +6,8 @@ records are live follows from all of them together and not from the order in whi
 
 * of several records of an id the one of the largest event id counts;
 * a grave ends the record of its path, and a directory's grave everything at and under it, if of a smaller event id.
+  A path that is gone was a directory if the newest record before that said so, dead or live: what events said of
+  directories, files and paths that are gone is kept event by event, also when deltas go into a new base.
 
 So late and repeated events, batches that run again and streams with a new checkpoint change nothing that newer events
 said. A version is a small pointer file, written last and under its final name at once: before it the former version
@@ -21,12 +23,13 @@ from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field, replace
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pathlore.functions import text as tx
-from pathlore.operators import delta, postings
+from pathlore.operators import postings
 from pathlore.sources import catalog as ct
+from pathlore.sources.work import written
 from pathlore.streaming import events as ev
 
 #: What a batch says of a path: gone, or there with this size and time. A directory that is there comes with its whole
@@ -36,7 +39,8 @@ SCHEMA = "event_id long, path string, gone boolean, size long, is_directory bool
 SHARE, DELTAS, SHARD_ROWS = 0.25, 64, 1_000_000
 #: Event id of records that no event has told of.
 BEFORE = -1
-_GRAVES = "path string, gone_id long, dir_id long"
+#: Events that say a path is gone or a directory that is there (listed anew, if not from BEFORE), and those of files.
+_GRAVES, _FILES = "path string, event_id long, gone boolean", "path string, event_id long"
 
 
 @dataclass(frozen=True)
@@ -93,12 +97,13 @@ def _shard(shards: int) -> Column:
     return F.pmod(F.col("id"), F.lit(shards)).cast("int").alias("shard")
 
 
-def _write_base(spark: SparkSession, folder: str, records: DataFrame, posted: DataFrame, graves: DataFrame, rows: int) -> tuple[str, int]:
+def _write_base(spark: SparkSession, folder: str, records: DataFrame, posted: DataFrame, graves: DataFrame, files: DataFrame, rows: int) -> tuple[str, int]:
     """A new base of records (with event_id), and into how many shards by id it is dealt."""
     name, shards = f"base-{uuid.uuid4().hex}", max(1, rows // SHARD_ROWS)
     records.select(*ct.COLUMNS, "event_id", _shard(shards)).repartition("shard").write.partitionBy("shard").parquet(f"{folder}/{name}/records")
     posted.select("kind", "key", "id").write.parquet(f"{folder}/{name}/postings")
-    graves.select("path", "gone_id", "dir_id").write.parquet(f"{folder}/{name}/graves")
+    graves.select("path", "event_id", "gone").write.parquet(f"{folder}/{name}/graves")
+    files.select("path", "event_id").write.parquet(f"{folder}/{name}/files")
     return name, shards
 
 
@@ -106,7 +111,9 @@ def start(catalog: DataFrame, folder: str, roots: Sequence[str] = ()) -> None:
     """Version 0: a catalog, its postings, and no event. Events of paths outside the roots, if any are given, are left out."""
     spark = catalog.sparkSession
     n = catalog.count()
-    base, shards = _write_base(spark, folder, catalog.withColumn("event_id", F.lit(BEFORE).cast("long")), postings.build(catalog), spark.createDataFrame([], _GRAVES), n)
+    records = catalog.withColumn("event_id", F.lit(BEFORE).cast("long"))
+    dirs = records.where("is_directory").select("path", "event_id", F.lit(False).alias("gone"))
+    base, shards = _write_base(spark, folder, records, postings.build(catalog), dirs, spark.createDataFrame([], _FILES), n)
     _point(spark, folder, Version(0, base, shards, n, roots=tuple(r.rstrip("/") for r in roots), count=n))
 
 
@@ -117,48 +124,64 @@ class State:
     base: DataFrame
     dead: DataFrame | None
     fresh: DataFrame | None
-    graves: DataFrame
 
     def records(self) -> DataFrame:
         if self.dead is None:
             return self.base
-        return self.base.join(self.dead, "id", "left_anti").select(*self.base.columns).unionByName(self.fresh)
+        return self.base.join(self.dead.hint("merge"), "id", "left_anti").select(*self.base.columns).unionByName(self.fresh)
 
 
 def _at_or_above(path: Column) -> Column:
     return F.array_union(ct.ancestors(path), F.array(path))
 
 
+def _told(spark: SparkSession, folder: str, v: Version, table: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).parquet(*[f"{folder}/{d}/{table}" for d in (v.base, *v.deltas)])
+
+
+def _removals(graves: DataFrame, files: DataFrame) -> DataFrame:
+    """above, at: directories with the last event after which nothing older is at or under them. A directory that is
+    listed anew is one, and a path that is gone if the newest record before that says that it was a directory."""
+    both = graves.groupBy("path").agg(F.bool_or("gone").alias("g"), F.bool_or(~F.col("gone")).alias("d")).where("g AND d").select("path")
+    told = graves.select("path", "event_id", "gone", (~F.col("gone")).alias("dir")).unionByName(files.select("path", "event_id", F.lit(False).alias("gone"), F.lit(False).alias("dir")))
+    told = told.join(both.hint("merge"), "path", "left_semi")
+    # what is gone and there under one event id is there after it
+    before = Window.partitionBy("path").orderBy("event_id", F.desc("gone"), "dir").rowsBetween(Window.unboundedPreceding, -1)
+    was = told.withColumn("was", F.last(F.when(~F.col("gone"), F.col("dir")), ignorenulls=True).over(before)).where("gone AND was").select("path", "event_id")
+    listed = graves.where(~F.col("gone") & (F.col("event_id") > BEFORE)).select("path", "event_id")
+    return listed.unionByName(was).groupBy(F.col("path").alias("above")).agg(F.max("event_id").alias("at"))
+
+
 def _state(spark: SparkSession, folder: str, v: Version, shards: Sequence[int] | None = None) -> State:
-    """The version's state; of those shards of the base alone, if told: paths that hash elsewhere are not to be asked for."""
+    """The version's state; of those shards of the base alone, if told: paths that hash elsewhere are not to be asked for.
+
+    Joins whose sides grow with the events shuffle, so that none of them passes through the driver.
+    """
     base = spark.read.parquet(f"{folder}/{v.base}/records")
     base = (base if shards is None else base.where(F.col("shard").isin([int(s) for s in shards]))).select(*ct.COLUMNS, "event_id")
-    graves = spark.read.schema(_GRAVES).parquet(*[f"{folder}/{d}/graves" for d in (v.base, *v.deltas)])
-    graves = graves.groupBy("path").agg(F.max("gone_id").alias("gone_id"), F.max("dir_id").alias("dir_id"))
     if not v.deltas:
-        return State(base, None, None, graves)
-    told = spark.read.schema(base.schema).parquet(*[f"{folder}/{d}/records" for d in v.deltas])
-    newest = told.groupBy("id").agg(F.max(F.struct("event_id", *[c for c in ct.COLUMNS if c != "id"])).alias("r")).select("id", "r.*").select(*base.columns)
-    # a path that is gone was a directory if the newest record before that says so
-    known = base.select("path", "event_id", "is_directory").unionByName(told.select("path", "event_id", "is_directory"))
-    asked = graves.where("gone_id > coalesce(dir_id, -2)").select("path", "gone_id")
-    was = known.join(asked, "path").where("event_id < gone_id").groupBy("path", "gone_id").agg(F.max_by("is_directory", "event_id").alias("was")).where("was")
-    dirs = graves.where("dir_id is not null").select("path", F.col("dir_id").alias("at")).unionByName(was.select("path", F.col("gone_id").alias("at")))
-    dirs = dirs.groupBy(F.col("path").alias("above")).agg(F.max("at").alias("at"))
+        return State(base, None, None)
+    graves = _told(spark, folder, v, "graves", _GRAVES)
+    gone = graves.where("gone").groupBy("path").agg(F.max("event_id").alias("gone_id"))
+    dirs = written(_removals(graves, _told(spark, folder, v, "files", _FILES)), "removals")
     has_dirs = not dirs.isEmpty()
+    told = spark.read.schema(base.schema).parquet(*[f"{folder}/{d}/records" for d in v.deltas])
+    if len(v.deltas) > 1:  # a delta has an id once
+        told = told.groupBy("id").agg(F.max(F.struct("event_id", *[c for c in ct.COLUMNS if c != "id"])).alias("r")).select("id", "r.*").select(*base.columns)
+        told = written(told, "newest")
 
     def buried(rows: DataFrame) -> DataFrame:
         """Ids of rows that a grave ends; without directories' graves no path is cut into its ancestors."""
-        gone = rows.select("id", "path", "event_id").join(graves.where("gone_id is not null").select("path", "gone_id"), "path").where("gone_id > event_id").select("id")
+        ended = rows.select("id", "path", "event_id").join(gone.hint("merge"), "path").where("gone_id > event_id").select("id")
         if not has_dirs:
-            return gone
+            return ended
         under = rows.select("id", "event_id", F.explode(_at_or_above(F.col("path"))).alias("above")).join(dirs, "above").where("at > event_id").select("id")
-        return gone.unionByName(under)
+        return ended.unionByName(under)
 
-    newer = base.select("id", F.col("event_id").alias("old_id")).join(newest.select("id", "event_id"), "id")
+    newer = base.select("id", F.col("event_id").alias("old_id")).join(told.select("id", "event_id").hint("merge"), "id")
     dead = newer.where("event_id > old_id").select("id").unionByName(buried(base)).distinct()
-    stale = newer.where("event_id <= old_id").select("id").unionByName(buried(newest)).distinct()
-    return State(base, dead, newest.join(stale, "id", "left_anti").select(*base.columns), graves.join(dirs.withColumnRenamed("above", "path"), "path", "left").select("path", "gone_id", F.greatest("dir_id", "at").alias("dir_id")))
+    stale = newer.where("event_id <= old_id").select("id").unionByName(buried(told)).distinct()
+    return State(base, dead, told.join(stale.hint("merge"), "id", "left_anti").select(*base.columns))
 
 
 def _postings(spark: SparkSession, folder: str, v: Version, state: State) -> DataFrame:
@@ -166,8 +189,8 @@ def _postings(spark: SparkSession, folder: str, v: Version, state: State) -> Dat
     base = spark.read.parquet(f"{folder}/{v.base}/postings")
     if state.dead is None:
         return base
-    told = spark.read.parquet(*[f"{folder}/{d}/postings" for d in v.deltas]).join(state.fresh.select("id", "event_id"), ["id", "event_id"], "left_semi")
-    return base.join(state.dead, "id", "left_anti").select("kind", "key", "id").unionByName(told.select("kind", "key", "id").distinct())
+    told = spark.read.parquet(*[f"{folder}/{d}/postings" for d in v.deltas]).join(state.fresh.select("id", "event_id").hint("merge"), ["id", "event_id"], "left_semi")
+    return base.join(state.dead.hint("merge"), "id", "left_anti").select("kind", "key", "id").unionByName(told.select("kind", "key", "id").distinct())
 
 
 def latest(spark: SparkSession, folder: str, number: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -178,10 +201,11 @@ def latest(spark: SparkSession, folder: str, number: int | None = None) -> tuple
 
 
 def compact(spark: SparkSession, folder: str) -> Version:
-    """The last version with all deltas in a new base. Graves stay, so that events that come late still find them."""
+    """The last version with all deltas in a new base. What events said of graves, directories and files stays, so that
+    events that come late still find it."""
     v = version(spark, folder)
     state = _state(spark, folder, v)
-    base, shards = _write_base(spark, folder, state.records(), _postings(spark, folder, v, state), state.graves, v.count)
+    base, shards = _write_base(spark, folder, state.records(), _postings(spark, folder, v, state), *(_told(spark, folder, v, t, s).distinct() for t, s in (("graves", _GRAVES), ("files", _FILES))), v.count)
     return _point(spark, folder, replace(v, number=v.number + 1, base=base, shards=shards, base_rows=v.count, deltas=(), delta_rows=0, anchors=0, delta=0))
 
 
@@ -221,8 +245,8 @@ def apply_batch(batch: DataFrame, folder: str, stream: str, number: int) -> Vers
     records = spark.read.parquet(f"{folder}/{name}/records")
     postings.build(records, carry=["event_id"]).write.parquet(f"{folder}/{name}/postings")
     gone, listed = F.coalesce("gone", F.lit(False)), F.coalesce("is_directory", F.lit(False))
-    graves = rows.groupBy("path").agg(F.max(F.when(gone, F.col("event_id"))).alias("gone_id"), F.max(F.when(listed, F.col("event_id"))).alias("dir_id"))
-    graves.where("gone_id is not null or dir_id is not null").write.parquet(f"{folder}/{name}/graves")
+    rows.where(gone | listed).select("path", "event_id", gone.alias("gone")).distinct().write.parquet(f"{folder}/{name}/graves")
+    there.where(~listed).select("path", "event_id").distinct().write.parquet(f"{folder}/{name}/files")
     graves = spark.read.schema(_GRAVES).parquet(f"{folder}/{name}/graves")
 
     n = records.count()
@@ -232,22 +256,16 @@ def apply_batch(batch: DataFrame, folder: str, stream: str, number: int) -> Vers
         return _point(spark, folder, replace(v, number=v.number + 1, applied={**v.applied, stream: number}, anchors=0, delta=0))
     new = replace(v, number=v.number + 1, deltas=(*v.deltas, name), delta_rows=v.delta_rows + n + graves.count(), applied={**v.applied, stream: number}, anchors=anchors, batches=v.batches + 1)
 
-    # how many records more: of the shards of the batch's paths alone, unless a directory takes others with it
-    ids = told.select("path", tx.stable_id(tx.normalize(F.col("path"))).alias("id"))
-    shards = [r[0] for r in ids.select(_shard(v.shards)).distinct().collect()]
-    before = _state(spark, folder, v, shards)
-    dirs = graves.where("dir_id is not null").select("path").unionByName(before.records().where("is_directory").select("path").join(graves, "path", "left_semi").select("path")).distinct()
-    wide = not dirs.isEmpty()
-    states = [_state(spark, folder, x, None if wide else shards) for x in (v, new)]
-
-    def touched(state: State) -> int:
-        live = state.records().select("id", "path")
-        own = live.join(ids.select("id").distinct(), "id", "left_semi").select("id")
-        if wide:
-            own = own.unionByName(delta.under_roots(live.select("path", "id"), dirs.withColumnRenamed("path", "root")).select("id")).distinct()
-        return own.count()
-
-    more = touched(states[1]) - touched(states[0])
+    # how many records more: of the shards of the batch's paths alone, unless one of these is or was a directory, as then
+    # others may come or go with it
+    known = _told(spark, folder, new, "graves", _GRAVES).where("NOT gone").select("path")
+    if not told.join(known.hint("merge"), "path", "left_semi").isEmpty():
+        more = _state(spark, folder, new).records().count() - v.count
+    else:
+        ids = written(told.select("path", tx.stable_id(tx.normalize(F.col("path"))).alias("id")).select("id").distinct(), "touched")
+        shards = [r[0] for r in ids.select(_shard(v.shards)).distinct().collect()]
+        touched = lambda x: _state(spark, folder, x, shards).records().select("id").join(ids.hint("merge"), "id", "left_semi").count()
+        more = touched(new) - touched(v)
     new = replace(new, count=v.count + more, delta=more, added=v.added + max(more, 0), removed=v.removed + max(-more, 0), changed=v.changed + (more == 0))
     _point(spark, folder, new)
     return compact(spark, folder) if new.delta_rows > SHARE * new.base_rows or len(new.deltas) > DELTAS else new
