@@ -17,8 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.utils import AnalysisException
 
-from pathlore.sources.catalog import PACKAGES
+from pathlore.sources.catalog import PACKAGES, ancestors
 from pathlore.sources.work import written
 
 #: An entry of a listing; ``open``: a directory that isn't listed yet.
@@ -139,3 +140,35 @@ def local_listing(spark: SparkSession, root: str, packages: Sequence[str] = PACK
         level = written(again.repartition(partitions).mapInArrow(_deeper(levels, packages), SCHEMA), "listing")
         whole = whole.unionByName(level)
     return whole.drop("open")
+
+
+def mounted(spark: SparkSession, root: str) -> str | None:
+    """The path under which the machines have a folder mounted, if it lies in their own file system: also of a path
+    without a scheme, and of a link of another file system that leads there. None if it doesn't, or isn't there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = fs.resolvePath(at).toUri() if fs.exists(at) else None
+    return found.getPath() if found is not None and found.getScheme() == "file" else None
+
+
+def store_listing(spark: SparkSession, root: str, packages: Sequence[str] = PACKAGES) -> DataFrame:
+    """A listing of a folder in any store that Spark reads: files as its reader finds them, without those that it takes
+    for hidden, and the directories that hold some. A missing root is an empty listing."""
+    try:
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", "modificationTime")
+    except AnalysisException:
+        return spark.createDataFrame([], SCHEMA).drop("open")
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    top = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    below, inside = F.substring("path", len(top) + 1, 2**30), r"/[^/]+\.(" + "|".join(packages or ["$^"]) + ")/"
+    none = F.lit(None).cast("timestamp").alias("created_at")
+    files = found.where(~below.rlike(inside)).select("path", F.col("length").alias("size"), F.lit(False).alias("is_directory"), F.lit(False).alias("is_symlink"), none, F.col("modificationTime").alias("modified_at"))
+    dirs = found.select(F.explode(ancestors(below)).alias("below")).where(~F.col("below").rlike(inside)).distinct()
+    dirs = dirs.select(F.concat(F.lit(top), "below").alias("path"), F.lit(0).cast("long").alias("size"), F.lit(True).alias("is_directory"), F.lit(False).alias("is_symlink"), none, F.lit(None).cast("timestamp").alias("modified_at"))
+    return dirs.unionByName(files)
+
+
+def listing(spark: SparkSession, root: str, packages: Sequence[str] = PACKAGES, levels: int = LEVELS, partitions: int = PARTITIONS) -> DataFrame:
+    """local_listing() of a folder that is mounted, store_listing() of any other."""
+    path = mounted(spark, root)
+    return store_listing(spark, root, packages) if path is None else local_listing(spark, path, packages, levels, partitions)
