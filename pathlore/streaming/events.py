@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,12 +34,17 @@ def debounce(events: DataFrame, gap: str = "250 milliseconds") -> DataFrame:
 RUNS = "monitor string, start timestamp, path string, last_event_id long"
 
 
+#: Lists that the paths of an open run are dealt to, and rows that go to the state or out at once.
+SHARES, AT_ONCE = 16, 10_000
+
+
 class Runs(StatefulProcessor):
     """A monitor's run of events that is open, and the events that the watermark hasn't reached yet.
 
-    Events wait until none before them can come, and then join the open run or end it, in order. A run also ends, by a
-    timer, when the watermark is ``gap`` past its last event. Its paths are a map in the state store, an entry each, and
-    go out in rows; nothing stays of a run that has ended.
+    Events wait until none before them can come, and then join the open run or end it, in order: all that are ready at
+    once, in columns, as each call to the state costs as much as many events. A run also ends, by a timer, when the
+    watermark is ``gap`` past its last event. Its paths are lists in the state store, dealt by hash: only one of them is
+    made distinct at a time, and goes out in rows. Nothing stays of a run that has ended.
     """
 
     def __init__(self, gap_ms: int) -> None:
@@ -48,52 +54,70 @@ class Runs(StatefulProcessor):
         self.handle = handle
         self.waiting = handle.getListState("waiting", "us long, event_id long, path string")
         self.open = handle.getValueState("open", "first long, last long, event_id long")
-        self.paths = handle.getMapState("paths", "path string", "n long")
+        self.paths = [handle.getListState(f"paths{i}", "path string") for i in range(SHARES)]
+
+    def _keep(self, paths: pd.Series) -> None:
+        """Adds distinct paths to those of the open run."""
+        share = pd.util.hash_array(paths.to_numpy(object), categorize=False) % SHARES
+        for i in range(SHARES):
+            told = [(p,) for p in paths[share == i]]
+            for j in range(0, len(told), AT_ONCE):
+                self.paths[i].appendList(told[j : j + AT_ONCE])
 
     def _ended(self, monitor: str) -> Iterator[pd.DataFrame]:
         first, _, event_id = self.open.get()
-        start = pd.Timestamp(first, unit="us", tz="UTC")
-        part: list[str] = []
-        for (path,) in self.paths.keys():
-            part.append(path)
-            if len(part) == 10_000:
-                yield pd.DataFrame({"monitor": monitor, "start": start, "path": part, "last_event_id": event_id})
-                part = []
-        if part:
-            yield pd.DataFrame({"monitor": monitor, "start": start, "path": part, "last_event_id": event_id})
-        self.paths.clear()
+        for kept in self.paths:
+            if kept.exists():
+                yield from self._out(monitor, first, list({p for (p,) in kept.get()}), event_id)
+                kept.clear()
         self.open.clear()
 
-    def _settled(self, monitor: str, watermark: int) -> Iterator[pd.DataFrame]:
-        """Brings the run up to the watermark, in microseconds like the events."""
-        rows = sorted(self.waiting.get()) if self.waiting.exists() else []
-        later = [r for r in rows if r[0] > watermark]
-        for us, event_id, path in rows[: len(rows) - len(later)]:
-            if self.open.exists() and us - self.open.get()[1] >= self.gap:
-                yield from self._ended(monitor)
-            first, _, most = self.open.get() if self.open.exists() else (us, us, event_id)
-            self.open.update((first, us, max(most, event_id)))
-            if path is not None:
-                self.paths.updateValue((path,), (1,))
-        if len(later) < len(rows):
-            if later:
-                self.waiting.put(later)
-            else:
+    def _out(self, monitor: str, first: int, paths: list[str], event_id: int) -> Iterator[pd.DataFrame]:
+        for j in range(0, len(paths), AT_ONCE):
+            yield pd.DataFrame({"monitor": monitor, "start": pd.Timestamp(first, unit="us", tz="UTC"), "path": paths[j : j + AT_ONCE], "last_event_id": event_id})
+
+    def _settled(self, monitor: str, watermark: int, fresh: pd.DataFrame | None = None) -> Iterator[pd.DataFrame]:
+        """Brings the run up to the watermark, in microseconds like the events; fresh ones don't wait yet."""
+        held = self.waiting.exists()
+        rows = pd.DataFrame(self.waiting.get(), columns=["us", "event_id", "path"]) if held else None
+        rows = rows if fresh is None else fresh if rows is None else pd.concat([rows, fresh], ignore_index=True)
+        if rows is not None:
+            ready = rows["us"] <= watermark
+            if not ready.any():
+                rows = None
+            elif held:
                 self.waiting.clear()
+            later = fresh if rows is None else rows[~ready]
+            if later is not None:
+                for j in range(0, len(later), AT_ONCE):
+                    part = later[j : j + AT_ONCE]
+                    self.waiting.appendList(list(zip(part["us"].tolist(), part["event_id"].tolist(), part["path"].tolist(), strict=True)))
+        if rows is not None:
+            rows = rows[ready].sort_values("us", kind="stable")
+            us = rows["us"].to_numpy()
+            last = self.open.get()[1] if self.open.exists() else us[0] - self.gap
+            run = (np.diff(us, prepend=last) >= self.gap).cumsum()  # 0: of the run that is open
+            for number, part in rows.groupby(run, sort=True):
+                if number and self.open.exists():
+                    yield from self._ended(monitor)
+                paths, event_id = part["path"].dropna().drop_duplicates(), int(part["event_id"].max())
+                first = int(part["us"].iloc[0])
+                if number and number < run[-1]:  # begins and ends here
+                    yield from self._out(monitor, first, paths.tolist(), event_id)
+                    continue
+                if self.open.exists():
+                    first, event_id = self.open.get()[0], max(event_id, self.open.get()[2])
+                self.open.update((first, int(part["us"].iloc[-1]), event_id))
+                self._keep(paths)
         if self.open.exists() and watermark >= self.open.get()[1] + self.gap:
             yield from self._ended(monitor)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        last = -1
-        for part in rows:
-            us = part["ts"].astype("datetime64[us]").astype("int64").tolist()
-            told = list(zip(us, part["event_id"].tolist(), part["path"].tolist(), strict=True))
-            if told:
-                self.waiting.appendList(told)
-                last = max(last, *us)
-        yield from self._settled(key[0], 1000 * timerValues.getCurrentWatermarkInMs())
-        if last >= 0:
-            self.handle.registerTimer((last + self.gap) // 1000 + 1)
+        told = [pd.DataFrame({"us": part["ts"].astype("datetime64[us]").astype("int64"), "event_id": part["event_id"], "path": part["path"]}) for part in rows if len(part)]
+        fresh = pd.concat(told, ignore_index=True) if told else None
+        yield from self._settled(key[0], 1000 * timerValues.getCurrentWatermarkInMs(), fresh)
+        if fresh is not None:
+            self.handle.registerTimer((int(fresh["us"].max()) + self.gap) // 1000 + 1)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         yield from self._settled(key[0], 1000 * timerValues.getCurrentWatermarkInMs())
@@ -105,7 +129,7 @@ class Runs(StatefulProcessor):
 def debounce_stream(events: DataFrame, gap_ms: int = 250, late: str = "10 seconds") -> DataFrame:
     """The same on a stream, in append mode: events later than the watermark are dropped, a run comes out once the
     watermark has passed it, and then its state is gone. Needs the RocksDB state store (``state_store``)."""
-    return events.withWatermark("ts", late).groupBy("monitor").transformWithStateInPandas(Runs(gap_ms), RUNS, "Append", "EventTime")
+    return events.withWatermark("ts", late).select("monitor", "ts", "event_id", "path").groupBy("monitor").transformWithStateInPandas(Runs(gap_ms), RUNS, "Append", "EventTime")
 
 
 def state_store(spark: SparkSession) -> None:
@@ -146,34 +170,54 @@ class Monitor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("state", _STATE)
 
+    @staticmethod
+    def _marks(part: pd.DataFrame) -> pd.DataFrame:
+        """What a part's rows say of each group: its flags, its last event, and sums of deltas. Rows don't stay."""
+        event, flags = part["event_id"].notna(), pd.to_numeric(part["flags"]).fillna(0).astype("int64")
+        delta = pd.to_numeric(part["delta"]) if "delta" in part else pd.Series(np.nan, part.index)
+        told = pd.DataFrame({
+            "batch_id": part["batch_id"].astype("int64"), "rescan": event & (flags & RESCAN != 0), "again": event & (flags & RESTART != 0), "e": part["event_id"].astype("Int64"),
+            "us": part["ts"].astype("datetime64[us]").astype("int64").astype("Int64").where(event), "added": delta.clip(lower=0).fillna(0).astype("int64"), "removed": (-delta).clip(lower=0).fillna(0).astype("int64"),
+            "changed": (delta == 0).astype("int64"), "batches": delta.notna().astype("int64"),
+        })
+        return Monitor._one([told.set_index("batch_id")])
+
+    @staticmethod
+    def _one(marks: list[pd.DataFrame]) -> pd.DataFrame:
+        how = dict.fromkeys(("rescan", "again", "e", "us"), "max") | dict.fromkeys(("added", "removed", "changed", "batches"), "sum")
+        return pd.concat(marks).groupby(level=0, sort=True).agg(how)
+
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         stale, last_id, last_us, *sums = self.state.get() if self.state.exists() else (False, None, None, 0, 0, 0, 0)
-        held: dict[int, list[pd.DataFrame]] = {}
+        held, marks = [], []
         for part in rows:
-            for batch_id, group in part.groupby("batch_id"):
-                held.setdefault(int(batch_id), []).append(group)
-        out = []
-        for batch_id in sorted(held):
-            group = pd.concat(held[batch_id])
-            events, deltas = group[group["event_id"].notna()], group["delta"].dropna() if "delta" in group else ()
-            flags = events["flags"].fillna(0).astype(int)
-            if (flags & RESCAN != 0).any():
-                stale = True
-            elif (flags & RESTART != 0).any():
-                stale = False
-            if len(events):
-                last_id = max(int(events["event_id"].max()), last_id if last_id is not None else -(2**63))
-                us = int(events["ts"].astype("datetime64[us]").astype("int64").max())
-                last_us = us if last_us is None else max(us, last_us)
-            for d in deltas:
-                sums = [sums[0] + max(int(d), 0), sums[1] + max(-int(d), 0), sums[2] + (d == 0), sums[3] + 1]
+            marks.append(self._marks(part))
+            if len(marks) == 100:
+                marks = [self._one(marks)]
+            if self.accepted:
+                held.append(part[part["event_id"].notna()])
+        out, dropped = [], []
+        names = [f.split()[0] for f in STATES.split(", ")]
+        for batch_id, rescan, again, e, us, *more in self._one(marks).itertuples() if marks else ():
+            stale = rescan or stale and not again
+            if stale:
+                dropped.append(batch_id)
+            if e is not pd.NA and e == e:  # there is one
+                last_id = max(int(e), last_id if last_id is not None else -(2**63))
+                last_us = int(us) if last_us is None else max(int(us), last_us)
+            sums = [int(a + b) for a, b in zip(sums, more, strict=True)]
             if not self.accepted:
-                out.append((key[0], batch_id, stale, last_id, None if last_us is None else pd.Timestamp(last_us, unit="us", tz="UTC"), *map(int, sums)))
-            elif not stale and len(events):
-                yield events[["event_id", "ts", "monitor", "batch_id", "path", "flags"]]
+                out.append((key[0], batch_id, bool(stale), last_id, None if last_us is None else pd.Timestamp(last_us, unit="us", tz="UTC"), *sums))
+                if len(out) == AT_ONCE:
+                    yield pd.DataFrame(out, columns=names)
+                    out = []
+        for part in held:
+            part = part[~part["batch_id"].isin(dropped)]
+            if len(part):
+                yield part[["event_id", "ts", "monitor", "batch_id", "path", "flags"]]
         self.state.update((stale, last_id, last_us, *map(int, sums)))
         if out:
-            yield pd.DataFrame(out, columns=[f.split()[0] for f in STATES.split(", ")])
+            yield pd.DataFrame(out, columns=names)
 
     def close(self) -> None:
         pass
@@ -187,7 +231,8 @@ def latch_stream(events: DataFrame) -> DataFrame:
 def monitor_stream(events: DataFrame) -> DataFrame:
     """The state of each monitor (STATES) after each group that arrives, of a stream of events and applied batches
     (SCHEMA and ``delta``). Needs ``state_store``."""
-    return events.groupBy("monitor").transformWithStateInPandas(Monitor(False), STATES, "Append", "None")
+    asked = [c for c in ("monitor", "batch_id", "event_id", "ts", "flags", "delta") if c in events.columns]
+    return events.select(*asked).groupBy("monitor").transformWithStateInPandas(Monitor(False), STATES, "Append", "None")
 
 
 def last_event(events: DataFrame) -> DataFrame:
